@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import sstable, token_counts
+from foliospark.llm import dart_minhash, language_id, sstable, token_counts
 
 OPERATORS = {
     "op2_token_counts": token_counts,
     "op3_sstable": sstable,
+    "op7_language_id": language_id,
+    "op8_dart_minhash": dart_minhash,
 }
 
 
