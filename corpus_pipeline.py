@@ -4,15 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from foliospark.llm import dart_minhash, decontaminate, language_id, pfair_mix
 from foliospark.llm.common import cut, table
 from foliospark.llm.sstable import sstable_shards
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language stands; lang becomes the language found."""
+    return language_id.stage(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return dart_minhash.stage(docs)
+
+
+def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that they share with the benchmark."""
+    return decontaminate.stage(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources interleaved by their target weights; small ones come again."""
+    return pfair_mix.stage(docs)
+
+
 def binary_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shards of token ids."""
     return sstable_shards(docs)
 
 
-STAGES = [("binary output", binary_output)]
+STAGES = [
+    ("language ID", identify_language),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", remove_benchmarks),
+    ("mixing sources", mix_sources),
+    ("binary output", binary_output),
+]
 
 #: Compression, signatures, automata and token ids can't be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -81,5 +82,15 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             yield batch.slice(start)
 
 
+def sole(docs: DataFrame) -> DataFrame:
+    """docs without the columns that repeat an exact name; the first of each stays."""
+    return only(docs, *dict.fromkeys(docs.columns))
+
+
+def offsets_array(cuts: np.ndarray, values: pa.Array) -> pa.Array:
+    """Lists of the values between consecutive cuts."""
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
+
+
 def schema_of(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in more)])

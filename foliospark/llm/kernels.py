@@ -119,6 +119,44 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
+def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The column's bytes and, for each word of its texts, start, end, text and the hash of its lower case."""
+    column, buf, offsets = texts_of(column)
+    low = texts_of(lower(column))[1]
+    start, end, owner = words(classes(buf), offsets)
+    return buf, start, end, owner, span_hashes(low, start, end)
+
+
+def gram_hashes(h: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the ``size`` words from each word on, 0 where its text has no more so many."""
+    out = np.zeros(h.size, _U)
+    if h.size >= size:
+        up, down = _powers(max(22, int(h.size).bit_length()))
+        sums = np.zeros(h.size + 1, _U)
+        np.cumsum(h * up[: h.size], out=sums[1:])
+        n = h.size - size + 1
+        out[:n] = np.where(owner[:n] == owner[size - 1 :], mix((sums[size:] - sums[:n]) * down[:n]) | _U(1), _U(0))
+    return out
+
+
+class HashSet:
+    """A set of 64-bit hashes that large arrays are looked up in: by a table of low bits, then exactly."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = np.unique(values.astype(_U))
+        self.mask = _U((1 << max(16, int(self.values.size).bit_length() + 5)) - 1)
+        self.table = np.zeros(int(self.mask) + 1, bool)
+        self.table[(self.values & self.mask).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The indexes of those of h that are in the set."""
+        at = np.flatnonzero(self.table[(h & self.mask).astype(np.int64)])
+        if not at.size or not self.values.size:
+            return at[:0]
+        got = h[at]
+        return at[self.values[np.minimum(np.searchsorted(self.values, got), self.values.size - 1)] == got]
+
+
 def pre_tokens(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Ends of the pre-tokens of the public byte-level BPE pattern, ascending; they cover every byte.
 

@@ -6,13 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import dart_minhash, language_id, sstable, token_counts
+from foliospark.llm import dart_minhash, decontaminate, language_id, line_dedup, pfair_mix, sstable, token_counts
 
 OPERATORS = {
+    "op1_decontaminate": decontaminate,
     "op2_token_counts": token_counts,
     "op3_sstable": sstable,
+    "op4_line_dedup": line_dedup,
     "op7_language_id": language_id,
     "op8_dart_minhash": dart_minhash,
+    "op9_pfair_mix": pfair_mix,
 }
 
 
