@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliospark.llm import dart_minhash, decontaminate, language_id, line_dedup, pfair_mix, sstable, token_counts
+from foliospark.llm import dart_minhash, decontaminate, impact_search, language_id, license_scan, line_crf, line_dedup, pfair_mix, sstable, token_counts
 
 OPERATORS = {
     "op1_decontaminate": decontaminate,
     "op2_token_counts": token_counts,
     "op3_sstable": sstable,
     "op4_line_dedup": line_dedup,
+    "op5_impact_search": impact_search,
+    "op6_line_crf": line_crf,
     "op7_language_id": language_id,
     "op8_dart_minhash": dart_minhash,
     "op9_pfair_mix": pfair_mix,
+    "op10_license_scan": license_scan,
 }
 
 
