@@ -1,15 +1,453 @@
-"""The queries for the engine's own operators and their SQL, by name."""
+"""The queries for the engine's own operators and their SQL, by name.
+
+The driver's tables hold no Office files, so each query forges packages from table rows (see forge.py) and extracts
+them again; the SQL says the same of the table itself.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foliospark import api
+from foliospark.functions import cells as C
+from foliospark.plans import forge as G
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+ROWS = 500
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _number(x: float, decimals: int = 2) -> str:
+    return f"{x:.{decimals}f}"
+
+
+# Workbooks of orders: numbers, shared strings, inline dates.
+
+
+def orders_book(pdf) -> bytes:
+    strings = sorted({*pdf.o_orderstatus, *pdf.o_orderpriority})
+    at = {s: i for i, s in enumerate(strings)}
+    rows = []
+    for i, r in enumerate(pdf.itertuples(index=False), 1):
+        rows.append(
+            G.cell(i, 0, None, r.o_orderkey) + G.cell(i, 1, None, r.o_custkey) + G.cell(i, 2, "s", at[r.o_orderstatus]) + G.cell(i, 3, None, _number(r.o_totalprice))
+            + G.cell(i, 4, "inlineStr", f"{r.o_orderdate:%Y-%m-%d}") + G.cell(i, 5, "s", at[r.o_orderpriority])
+        )
+    return G.workbook([("Orders", "", G.sheet_xml(rows))], strings)
+
+
+def orders_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.forged(G.grouped(read(spark, sf_dir, "orders"), "o_orderkey", ROWS), "g", ["o_orderkey"], "orders-{}.xlsx", orders_book)
+
+
+_ORDERS = f"SELECT *, CAST(floor(o_orderkey / {ROWS}) AS BIGINT) AS g, row_number() OVER (PARTITION BY floor(o_orderkey / {ROWS}) ORDER BY o_orderkey) - 1 AS row_ord FROM orders"
+
+
+@query(
+    f"SELECT 'orders-' || g || '.xlsx' AS path, row_ord, concat_ws(',', o_orderkey, o_custkey, o_orderstatus, printf('%.2f', o_totalprice), strftime(o_orderdate, '%Y-%m-%d'), o_orderpriority) AS line FROM ({_ORDERS})"
+)
+def xlsx_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.csv_lines(orders_packages(spark, sf_dir)).select("path", "row_ord", "line")
+
+
+@query(f"SELECT 'orders-' || g || '.xlsx' AS path, row_ord, o_orderkey FROM ({_ORDERS}) WHERE row_ord < 7")
+def xlsx_row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = api.visit_rows(orders_packages(spark, sf_dir), max_rows=7)
+    return rows.select("path", "row_ord", F.get("cells", F.lit(0))["raw"].cast("bigint").alias("o_orderkey"))
+
+
+@query(
+    f"""SELECT 'orders-' || g || '.xlsx' AS path, row_ord,
+  '{{"schema_version":1,"file":"orders-' || g || '.xlsx","row_index":' || row_ord || ',"cells":[{{"column_index":0,"kind":"number","raw":"' || o_orderkey || '","has_formula":false}},{{"column_index":1,"kind":"number","raw":"' || o_custkey
+  || '","has_formula":false}},{{"column_index":2,"kind":"string","raw":"' || (list_position(strings, o_orderstatus) - 1) || '","value":"' || o_orderstatus || '","has_formula":false}},{{"column_index":3,"kind":"number","raw":"' || printf('%.2f', o_totalprice)
+  || '","has_formula":false}},{{"column_index":4,"kind":"string","raw":"' || strftime(o_orderdate, '%Y-%m-%d') || '","value":"' || strftime(o_orderdate, '%Y-%m-%d') || '","has_formula":false}},{{"column_index":5,"kind":"string","raw":"'
+  || (list_position(strings, o_orderpriority) - 1) || '","value":"' || o_orderpriority || '","has_formula":false}}]}}' AS value
+FROM ({_ORDERS}) JOIN (SELECT CAST(floor(o_orderkey / {ROWS}) AS BIGINT) AS g, list_sort(list_distinct(list_concat(list(o_orderstatus), list(o_orderpriority)))) AS strings FROM orders GROUP BY 1) USING (g)"""
+)
+def xlsx_rows_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.rows_jsonl(orders_packages(spark, sf_dir)).select("path", "row_ord", "value")
+
+
+TYPED = [("o_orderkey", 0, "int64", False), ("o_custkey", 1, "int64", False), ("o_orderstatus", 2, "utf8", True), ("o_totalprice", 3, "float64", True), ("nothing", 9, "utf8", True)]
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, CAST(printf('%.2f', o_totalprice) AS DOUBLE) AS o_totalprice, CAST(NULL AS VARCHAR) AS nothing FROM orders")
+def xlsx_to_typed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.typed_table(orders_packages(spark, sf_dir), TYPED).drop("path", "row_ord")
+
+
+# Every kind of cell.
+
+
+def customer_book(pdf) -> bytes:
+    strings = sorted(set(pdf.c_mktsegment))
+    rows = []
+    for i, r in enumerate(pdf.itertuples(index=False), 1):
+        error = r.c_nationkey % 7 == 0
+        rows.append(
+            G.cell(i, 0, None, r.c_custkey) + G.cell(i, 1, "str", r.c_name, formula="A1") + G.cell(i, 2, "b", int(r.c_nationkey % 2 == 0)) + (G.cell(i, 3, "e", "#N/A") if error else G.cell(i, 3, None, None))
+            + G.cell(i, 5, "s", strings.index(r.c_mktsegment))
+        )
+    return G.workbook([("Customers", "", G.sheet_xml(rows))], strings)
+
+
+def customer_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.forged(G.grouped(read(spark, sf_dir, "customer"), "c_custkey", ROWS), "g", ["c_custkey"], "customers-{}.xlsx", customer_book)
+
+
+@query("""
+SELECT c_custkey, 0 AS column_index, 'number' AS kind, CAST(c_custkey AS VARCHAR) AS raw, CAST(NULL AS VARCHAR) AS value, CAST(NULL AS BOOLEAN) AS bool_value, false AS has_formula FROM customer
+UNION ALL SELECT c_custkey, 1, 'string', c_name, c_name, NULL, true FROM customer
+UNION ALL SELECT c_custkey, 2, 'boolean', CAST(CAST(c_nationkey % 2 = 0 AS INT) AS VARCHAR), NULL, c_nationkey % 2 = 0, false FROM customer
+UNION ALL SELECT c_custkey, 3, CASE WHEN c_nationkey % 7 = 0 THEN 'error' ELSE 'blank' END, CASE WHEN c_nationkey % 7 = 0 THEN '#N/A' END, NULL, NULL, false FROM customer
+UNION ALL SELECT c_custkey, 5, 'string', CAST(list_position(s, c_mktsegment) - 1 AS VARCHAR), c_mktsegment, NULL, false FROM customer
+  JOIN (SELECT floor(c_custkey / 500) AS g, list_sort(list(DISTINCT c_mktsegment)) AS s FROM customer GROUP BY 1) ON g = floor(c_custkey / 500)""")
+def xlsx_typed_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = api.visit_rows(customer_packages(spark, sf_dir)).select(F.get("cells", F.lit(0))["raw"].cast("bigint").alias("c_custkey"), F.inline("cells"))
+    return rows.drop("formatted")
+
+
+@query("SELECT c_custkey, c_mktsegment AS value FROM customer")
+def xlsx_shared_string_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relational form of the lookup: raw indexes joined with the strings relation."""
+    pk = customer_packages(spark, sf_dir)
+    rows = api.visit_rows(pk).select("path", F.get("cells", F.lit(0))["raw"].cast("bigint").alias("c_custkey"), F.element_at("cells", -1)["raw"].cast("int").alias("idx"))
+    return rows.join(api.shared_strings(pk), ["path", "idx"]).select("c_custkey", "value")
+
+
+# Formats.
+
+
+def lineitem_book(pdf) -> bytes:
+    rows = []
+    for i, r in enumerate(pdf.itertuples(index=False), 1):
+        serial = (r.l_shipdate.to_pydatetime() - __import__("datetime").datetime(1899, 12, 30)).days
+        rows.append(
+            G.cell(i, 0, None, r.l_orderkey) + G.cell(i, 1, None, r.l_linenumber) + G.cell(i, 2, None, serial, 1) + G.cell(i, 3, None, _number(r.l_discount, 4), 2) + G.cell(i, 4, None, _number(r.l_extendedprice, 4), 3)
+            + G.cell(i, 5, None, _number(r.l_tax, 4), 4) + G.cell(i, 6, None, _number(-r.l_quantity, 1), 5) + G.cell(i, 7, None, serial, 6)
+        )
+    return G.workbook([("Lines", "", G.sheet_xml(rows))], formats=[0, 14, 10, 2, 44, "#,##0.0", 'yyyy"y" hh:mm'])
+
+
+def lineitem_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.forged(G.grouped(read(spark, sf_dir, "lineitem"), "l_orderkey", ROWS), "g", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "lines-{}.xlsx", lineitem_book)
+
+
+@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS shipdate, strftime(l_shipdate, '%Y-%m-%dT00:00:00') AS shiptime FROM lineitem")
+def xlsx_formatted_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lambda i, f: F.get("cells", F.lit(i))[f]
+    rows = api.visit_rows(lineitem_packages(spark, sf_dir), True)
+    return rows.select(own(0, "raw").cast("bigint").alias("l_orderkey"), own(1, "raw").cast("int").alias("l_linenumber"), own(2, "formatted").alias("shipdate"), own(7, "formatted").alias("shiptime"))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, printf('%.2f', CAST(printf('%.4f', l_discount) AS DOUBLE) * 100) || '%' AS discount, printf('%.2f', CAST(printf('%.4f', l_extendedprice) AS DOUBLE)) AS price,"
+    " '$' || printf('%.2f', CAST(printf('%.4f', l_tax) AS DOUBLE)) AS tax, printf('%.1f', -l_quantity) AS quantity FROM lineitem"
+)
+def xlsx_formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lambda i, f: F.get("cells", F.lit(i))[f]
+    rows = api.visit_rows(lineitem_packages(spark, sf_dir), True)
+    return rows.select(
+        own(0, "raw").cast("bigint").alias("l_orderkey"), own(1, "raw").cast("int").alias("l_linenumber"), own(3, "formatted").alias("discount"), own(4, "formatted").alias("price"), own(5, "formatted").alias("tax"), own(6, "formatted").alias("quantity")
+    )
+
+
+def events_book(pdf) -> bytes:
+    rows = []
+    for i, r in enumerate(pdf.itertuples(index=False), 1):
+        t = r.ts
+        rows.append(
+            G.cell(i, 0, None, r.event_id) + G.cell(i, 1, None, repr((t.hour * 3600 + t.minute * 60 + t.second) / 86400), 1) + ("" if r.user_id % 3 == 0 else G.cell(i, 2, None, r.user_id)) + G.cell(i, 3, "inlineStr", r.event_type)
+            + G.cell(i, 4, "inlineStr" if i % 100 == 0 else None, _number(r.value, 3)) + G.cell(i, 5, "b", int(r.event_id % 2)) + (G.cell(i, 6, None, r.event_id) if i < 10 else G.cell(i, 6, None, _number(r.value, 3)))
+        )
+    return G.workbook([("Events", "", G.sheet_xml(rows))], formats=[0, 45])
+
+
+def events_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.forged(G.grouped(read(spark, sf_dir, "events"), "event_id", ROWS), "g", ["event_id"], "events-{}.xlsx", events_book)
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%H:%M:%S') AS clock FROM events")
+def xlsx_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = api.visit_rows(events_packages(spark, sf_dir), True)
+    return rows.select(F.get("cells", F.lit(0))["raw"].cast("bigint").alias("event_id"), F.get("cells", F.lit(1))["formatted"].alias("clock"))
+
+
+@query(f"""
+WITH e AS (SELECT *, CAST(floor(event_id / {ROWS}) AS BIGINT) AS g, row_number() OVER (PARTITION BY floor(event_id / {ROWS}) ORDER BY event_id) AS i FROM events),
+b AS (SELECT g, count(*) AS n, bool_or(user_id % 3 = 0) AS holes, bool_and(user_id % 3 = 0) AS empty, count(*) >= 100 AS mixed, count(*) >= 10 AS decimals FROM e GROUP BY g)
+SELECT 'events-' || g || '.xlsx' AS path, c AS column_index, chr(65 + c) AS column,
+  CASE c WHEN 0 THEN 'int64' WHEN 1 THEN 'time' WHEN 2 THEN CASE WHEN empty THEN 'null' ELSE 'int64' END WHEN 3 THEN 'utf8' WHEN 4 THEN CASE WHEN mixed THEN 'utf8' ELSE 'float64' END WHEN 5 THEN 'bool' ELSE CASE WHEN decimals THEN 'float64' ELSE 'int64' END END AS type,
+  c = 2 AND holes AS nullable, n AS examined_rows,
+  CASE WHEN c = 4 AND mixed THEN 'E: observed utf8 after float64 at worksheet row 99; promoted to utf8' ELSE '' END AS warnings
+FROM b, (SELECT CAST(unnest(range(7)) AS INT) AS c)""")
+def xlsx_infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.infer_schema(events_packages(spark, sf_dir))
+    return found.select("path", "column_index", "column", "type", "nullable", "examined_rows", F.array_join("warnings", "; ").alias("warnings"))
+
+
+# Sheets.
+
+
+def nation_book(pdf) -> bytes:
+    states = ("", "hidden", "veryHidden")
+    return G.workbook([(r.n_name, states[r.n_regionkey % 3], G.sheet_xml([G.cell(1, 0, None, r.n_nationkey)])) for r in pdf.itertuples(index=False)])
+
+
+def nation_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.forged(G.grouped(read(spark, sf_dir, "nation"), "n_nationkey", 10), "g", ["n_nationkey"], "nations-{}.xlsx", nation_book)
+
+
+_NATIONS = "SELECT *, CAST(floor(n_nationkey / 10) AS BIGINT) AS g, CASE n_regionkey % 3 WHEN 0 THEN 'visible' WHEN 1 THEN 'hidden' ELSE 'veryHidden' END AS visibility FROM nation"
+
+
+@query(f"SELECT 'nations-' || g || '.xlsx' AS path, CAST(row_number() OVER (PARTITION BY g ORDER BY n_nationkey) AS INT) AS index, n_name AS name, visibility FROM ({_NATIONS}) WHERE visibility = 'visible'")
+def xlsx_sheet_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.list_sheets(nation_packages(spark, sf_dir))
+
+
+@query(f"SELECT 'nations-' || g || '.xlsx' AS path, CAST(row_number() OVER (PARTITION BY g ORDER BY n_nationkey) AS INT) AS index, n_name AS name, visibility FROM ({_NATIONS})")
+def xlsx_hidden_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.list_sheets(nation_packages(spark, sf_dir), include_hidden=True)
+
+
+@query(f"SELECT 'nations-' || g || '.xlsx' AS path, CAST(row_number() OVER (PARTITION BY g ORDER BY n_nationkey) AS INT) AS sheet_index, n_name AS sheet_name, CAST(n_nationkey AS VARCHAR) AS line FROM ({_NATIONS})")
+def xlsx_all_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.csv_lines(nation_packages(spark, sf_dir), all_sheets=True, include_hidden=True).select("path", "sheet_index", "sheet_name", "line")
+
+
+@query(f"SELECT 'nations-' || g || '.xlsx' AS path, n_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n_nationkey) AS i FROM ({_NATIONS}) WHERE visibility = 'visible') WHERE i = 2")
+def xlsx_sheet_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = api.visit_rows(nation_packages(spark, sf_dir), sheet_index=2, mode="dropmalformed")
+    return rows.select("path", F.get("cells", F.lit(0))["raw"].cast("int").alias("n_nationkey"))
+
+
+def part_book(pdf) -> bytes:
+    """Cells out of order, one of them twice, every third without a size, and a quoted name."""
+    rows = []
+    for i, r in enumerate(pdf.itertuples(index=False), 1):
+        rows.append(G.cell(i, 3, "inlineStr", f'{r.p_name}, "{r.p_brand}"') + G.cell(i, 0, None, -1) + ("" if r.p_partkey % 3 == 0 else G.cell(i, 1, None, r.p_size)) + G.cell(i, 0, None, r.p_partkey))
+    return G.workbook([("Parts", "", G.sheet_xml(rows))])
+
+
+@query("SELECT p_partkey || ',' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE CAST(p_size AS VARCHAR) END || ',,\"' || p_name || ', \"\"' || p_brand || '\"\"\"' AS line FROM part")
+def xlsx_sparse_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.csv_lines(G.forged(G.grouped(read(spark, sf_dir, "part"), "p_partkey", ROWS), "g", ["p_partkey"], "parts-{}.xlsx", part_book)).select("line")
+
+
+# Word documents.
+
+
+def docx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(pdf) -> bytes:
+        r = pdf.iloc[0]
+        return G.document("".join(map(G.paragraph, r.text.split("\n"))), [("header", "header1.xml", f"<w:hdr>{G.paragraph(r.source)}</w:hdr>")])
+
+    return G.forged(read(spark, sf_dir, "documents"), "doc_id", ["doc_id"], "doc-{}.docx", make)
+
+
+_DOC = "regexp_replace(text, '\\n+', chr(10), 'g')"
+_DOC = f"CASE WHEN {_DOC} LIKE '%' || chr(10) THEN {_DOC} ELSE {_DOC} || chr(10) END"
+
+
+@query(f"SELECT 'doc-' || doc_id || '.docx' AS path, {_DOC} || source || chr(10) AS text FROM documents")
+def docx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.extract_text(docx_packages(spark, sf_dir)).select("path", "text")
+
+
+@query(
+    f"SELECT 'doc-' || doc_id || '.docx' AS path, 'main' AS part_type, 'word/document.xml' AS part_path, 1 AS ordinal, {_DOC} AS text FROM documents"
+    " UNION ALL SELECT 'doc-' || doc_id || '.docx', 'header', 'word/header1.xml', 2, source || chr(10) FROM documents"
+)
+def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.text_blocks(docx_packages(spark, sf_dir))
+
+
+@query("""
+SELECT 'doc-' || doc_id || '.docx' AS path, coalesce(string_agg(line || chr(10), '' ORDER BY i) FILTER (i % 2 = 1), '') AS text
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents) GROUP BY doc_id""")
+def docx_deleted_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(pdf) -> bytes:
+        lines = pdf.iloc[0].text.split("\n")
+        return G.document("".join(f"<w:del>{G.paragraph(x)}</w:del>" if i % 2 else G.paragraph(x) for i, x in enumerate(lines)))
+
+    return api.extract_text(G.forged(read(spark, sf_dir, "documents"), "doc_id", ["doc_id"], "doc-{}.docx", make)).select("path", "text")
+
+
+def region_document(pdf) -> bytes:
+    """A row a nation: key with a span, name, and a nested table with the region."""
+    rows = []
+    for r in pdf.itertuples(index=False):
+        span, before = 1 + r.n_nationkey % 3, r.n_nationkey % 2
+        nested = f"<w:tbl><w:tr><w:tc>{G.paragraph(r.n_regionkey)}</w:tc></w:tr></w:tbl>"
+        rows.append(
+            f'<w:tr><w:trPr><w:gridBefore w:val="{before}"/></w:trPr><w:tc><w:tcPr><w:gridSpan w:val="{span}"/></w:tcPr>{G.paragraph(r.n_nationkey)}</w:tc>'
+            f'<w:tc><w:tcPr><w:vMerge w:val="restart"/></w:tcPr>{G.paragraph(r.n_name)}{nested}</w:tc></w:tr>'
+        )
+    return G.document("<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/></w:tblGrid>" + "".join(rows) + "</w:tbl>")
+
+
+@query("""
+WITH n AS (SELECT *, 'region-' || n_regionkey || '.docx' AS path, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS row_ordinal, 1 + n_nationkey % 3 AS span, n_nationkey % 2 AS before FROM nation)
+SELECT path, '' AS nest, row_ordinal, 1 AS cell_ordinal, CAST(before AS INT) AS grid_start, CAST(span AS INT) AS grid_span, 'none' AS vertical_merge, CAST(n_nationkey AS VARCHAR) AS text, 2 AS grid_column_count FROM n
+UNION ALL SELECT path, '', row_ordinal, 2, before + span, 1, 'restart', n_name, 2 FROM n
+UNION ALL SELECT path, row_ordinal || '.2.2', 1, 1, 0, 1, 'none', CAST(n_regionkey AS VARCHAR), -1 FROM n""")
+def docx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.docx_table_cells(G.forged(read(spark, sf_dir, "nation"), "n_regionkey", ["n_nationkey"], "region-{}.docx", region_document))
+    nest = F.array_join(F.transform("nest", lambda x: x.cast("string")), ".")
+    return found.select("path", nest.alias("nest"), "row_ordinal", "cell_ordinal", "grid_start", "grid_span", "vertical_merge", F.array_join("paragraphs", "\n").alias("text"), F.coalesce("grid_column_count", F.lit(-1)).alias("grid_column_count"))
+
+
+# Presentations.
+
+
+def pptx_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(pdf) -> bytes:
+        return G.presentation([("".join(map(G.slide_paragraph, r.text.split("\n"))), G.slide_paragraph(r.role)) for r in pdf.itertuples(index=False)])
+
+    rows = read(spark, sf_dir, "conversations").where("text is not null and role is not null")
+    return G.forged(rows, "conv_id", ["turn", "role", "text"], "conv-{}.pptx", make)
+
+
+_TURNS = "SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i, list_aggregate(list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''), lambda x: x || chr(10)), 'string_agg', '') AS body FROM conversations WHERE text IS NOT NULL AND role IS NOT NULL"
+
+
+@query(f"SELECT 'conv-' || conv_id || '.pptx' AS path, string_agg(coalesce(body, '') || role || chr(10), '' ORDER BY i) AS text FROM ({_TURNS}) GROUP BY conv_id")
+def pptx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.extract_text(pptx_packages(spark, sf_dir)).select("path", "text")
+
+
+@query(f"""
+SELECT path, part_type, part_path, CAST(row_number() OVER (PARTITION BY path ORDER BY i, k) AS INT) AS ordinal, text FROM (
+  SELECT 'conv-' || conv_id || '.pptx' AS path, 'slide' AS part_type, 'ppt/slides/slide' || i || '.xml' AS part_path, body AS text, i, 0 AS k FROM ({_TURNS})
+  UNION ALL SELECT 'conv-' || conv_id || '.pptx', 'notes', 'ppt/notesSlides/notesSlide' || i || '.xml', role || chr(10), i, 1 FROM ({_TURNS})) WHERE text <> ''""")
+def pptx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.text_blocks(pptx_packages(spark, sf_dir))
+
+
+# Properties, audit, types and modes.
+
+
+def supplier_document(pdf) -> bytes:
+    r = pdf.iloc[0]
+    app = {"Application": "Forge", "Company": r.s_name, "Words": int(r.s_suppkey) * 3} | ({"Pages": "many"} if r.s_suppkey % 2 else {"Pages": 7})
+    extra = G.properties({"creator": r.s_name, "revision": int(r.s_nationkey)}, app, {"key": int(r.s_suppkey), "nation": int(r.s_nationkey)} if r.s_suppkey % 3 == 0 else None)
+    return G.document(G.paragraph("x"), extra=extra)
+
+
+@query("""
+SELECT 'supplier-' || s_suppkey || '.docx' AS path, s_name AS author, CAST(s_nationkey AS VARCHAR) AS revision, 'Forge' AS application, s_name AS company, s_suppkey * 3 AS word_count, CASE WHEN s_suppkey % 2 = 0 THEN 7 ELSE -1 END AS page_count,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'key=' || s_suppkey || ',nation=' || s_nationkey ELSE '' END AS custom, false AS has_macros FROM supplier""")
+def doc_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.read_info(G.forged(read(spark, sf_dir, "supplier"), "s_suppkey", ["s_suppkey"], "supplier-{}.docx", supplier_document))
+    custom = F.coalesce(F.array_join(F.transform(F.map_entries("custom_properties"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), F.lit(""))
+    return found.select("path", "author", "revision", "application", "company", "word_count", F.coalesce("page_count", F.lit(-1)).alias("page_count"), custom.alias("custom"), "has_macros")
+
+
+def audit_book(pdf) -> bytes:
+    r = pdf.iloc[0]
+    k = int(r.s_suppkey)
+    macro = ((("xl/macros.bin", "application/vnd.ms-office.vbaProject"),), {"xl/macros.bin": "x"}) if k % 2 == 0 else ((), {})
+    extra = macro[1] | (G.properties(custom={"a": 1}) if k % 3 == 0 else {})
+    links = (("rId90", "hyperlink", "https://example.invalid/x"),) if k % 5 == 0 else ()
+    return G.workbook([("A", "", G.sheet_xml([])), ("B", "hidden" if k % 7 == 0 else "", G.sheet_xml([]))], extra=extra, overrides=macro[0], extra_rels=links, external=("rId90",))
+
+
+_SUPPLIER = "SELECT 'audit-' || s_suppkey || '.xlsx' AS path, s_suppkey AS k FROM supplier"
+
+
+@query(f"""
+SELECT path, row_number() OVER (PARTITION BY path ORDER BY o) AS ord, kind, severity, part_path, message FROM (
+  SELECT path, 1 AS o, 'macros' AS kind, 'high' AS severity, '[Content_Types].xml' AS part_path, 'VBA macro content is present or declared' AS message FROM ({_SUPPLIER}) WHERE k % 2 = 0
+  UNION ALL SELECT path, 2, 'custom_properties', 'info', 'docProps/custom.xml', '1 custom document properties are present' FROM ({_SUPPLIER}) WHERE k % 3 = 0
+  UNION ALL SELECT path, 3, 'hidden_sheet', 'warning', 'xl/workbook.xml', 'worksheet ''B'' is hidden' FROM ({_SUPPLIER}) WHERE k % 7 = 0
+  UNION ALL SELECT path, 4, 'hyperlink', 'warning', 'xl/_rels/workbook.xml.rels', 'relationship target ''https://example.invalid/x'' is suspicious: external relationship targets are not supported' FROM ({_SUPPLIER}) WHERE k % 5 = 0)""")
+def audit_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.audit_signals(G.forged(read(spark, sf_dir, "supplier"), "s_suppkey", ["s_suppkey"], "audit-{}.xlsx", audit_book))
+    return found.withColumn("ord", F.col("ord").cast("bigint"))
+
+
+def mixed_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as documents, workbooks and presentations in turn, every seventh no ZIP at all, every eleventh without its main part."""
+
+    def make(pdf) -> bytes:
+        k = int(pdf.s_suppkey.iloc[0])
+        if k % 7 == 0:
+            return b"not a package"
+        if k % 11 == 0:
+            return G.package("docx", {})
+        return (G.document(G.paragraph(k)), G.workbook([("A", "", G.sheet_xml([]))]), G.presentation([(G.slide_paragraph(k), None)]))[k % 3]
+
+    return G.forged(read(spark, sf_dir, "supplier"), "s_suppkey", ["s_suppkey"], "mixed-{}.bin", make)
+
+
+_TYPE = "CASE WHEN s_suppkey % 11 = 0 THEN 'docx' ELSE CASE s_suppkey % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'xlsx' ELSE 'pptx' END END"
+
+
+@query(f"SELECT document_type, count(*) AS n FROM (SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'E002' ELSE {_TYPE} END AS document_type FROM supplier) GROUP BY 1")
+def detect_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = api.detect_type(mixed_packages(spark, sf_dir))
+    return found.groupBy(F.coalesce("error.code", "document_type").alias("document_type")).agg(F.count("*").alias("n"))
+
+
+@query(f"""
+SELECT 'mixed-' || s_suppkey || '.bin' AS path, CASE WHEN s_suppkey % 7 = 0 THEN 'E002' WHEN s_suppkey % 11 = 0 THEN 'E003' WHEN {_TYPE} = 'xlsx' THEN 'E010' ELSE '' END AS code,
+  CASE WHEN s_suppkey % 7 = 0 OR s_suppkey % 11 = 0 OR {_TYPE} = 'xlsx' THEN '' ELSE s_suppkey || chr(10) END AS text FROM supplier""")
+def batch_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permissive: a row for every input, with its text or its error's code."""
+    found = api.extract_text(mixed_packages(spark, sf_dir), mode="permissive")
+    return found.select("path", F.coalesce("error.code", F.lit("")).alias("code"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+# Scalar functions.
+
+
+@query("""
+SELECT CAST(i AS BIGINT) AS i, CASE WHEN i < 26 THEN chr(CAST(65 + i AS INT)) WHEN i < 702 THEN chr(CAST(65 + (i - 26) // 26 AS INT)) || chr(CAST(65 + (i - 26) % 26 AS INT))
+  ELSE chr(CAST(65 + (i - 702) // 676 AS INT)) || chr(CAST(65 + (i - 702) // 26 % 26 AS INT)) || chr(CAST(65 + (i - 702) % 26 AS INT)) END AS name, CAST(i AS BIGINT) AS back FROM range(16384) t(i)""")
+def scalar_xl_col_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.range(16384).select(F.col("id").alias("i"), C.column_name(F.col("id")).alias("name")).withColumn("back", C.column_index(F.concat("name", F.lit("7"))))
+
+
+@query("""SELECT item_id, CASE WHEN contains(text, ',') OR contains(text, '"') OR contains(text, chr(10)) OR contains(text, chr(13)) THEN '"' || replace(text, '"', '""') || '"' ELSE text END AS field FROM benchmark""")
+def scalar_csv_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select("item_id", C.csv_field(F.col("text"), ",").alias("field"))
+
+
+@query("""SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_type || ' / ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'sheet') AS slug FROM part""")
+def scalar_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select("p_partkey", C.slug(F.concat("p_type", F.lit(" / "), "p_brand")).alias("slug"))
+
+
+@query("""
+SELECT n_nationkey, CASE n_nationkey % 6 WHEN 0 THEN 'word/' || n_name WHEN 1 THEN n_name WHEN 2 THEN 'media/' || n_name WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE NULL END AS part,
+  CASE n_nationkey % 6 WHEN 3 THEN 'target escapes the OOXML package root' WHEN 4 THEN 'target is external or absolute outside the package' WHEN 5 THEN 'external relationship targets are not supported' END AS reason FROM nation""")
+def scalar_resolve_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.element_at(F.array(*map(F.lit, ("./", "/", "../media/x/../", "../../", "https://", ""))), (F.col("n_nationkey") % 6 + 1).cast("int"))
+    own = C.resolve_part(F.lit("word"), F.concat(heads, "n_name"), F.when(F.col("n_nationkey") % 6 == 5, "External"))
+    return read(spark, sf_dir, "nation").select("n_nationkey", own.alias("r")).select("n_nationkey", "r.part", "r.reason")
