@@ -29,6 +29,7 @@ PLAIN[list(b".,;:'\"!?()-")] = True
 TERMINAL = np.zeros(256, bool)
 TERMINAL[list(b".!?:;\"')")] = True
 OWN = 13
+FIT_CHUNK_BYTES = 1 << 20
 
 
 def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,8 +142,11 @@ class Crf:
         return _sigmoid(r + b)
 
 
-def _gradient(w, a, z, y, layout, link) -> tuple[np.ndarray, np.ndarray]:
+def _gradient(w, a, z, y, layout, link, chain: bool) -> tuple[np.ndarray, np.ndarray]:
     e = w[0] + z @ w[1:]
+    if not chain:  # without transitions the lines are independent
+        rest = y - _sigmoid(e)
+        return np.concatenate([[rest.sum()], rest @ z]), np.zeros((2, 2))
     r, b = messages(e, a, layout)
     rest = y - _sigmoid(r + b)
     left, right = r[link - 1], e[link] + b[link]
@@ -160,20 +164,31 @@ def _ascend(w, a, z, y, text, steps: int, chain: bool, penalty: float = 1e-3) ->
     both = np.concatenate([w, a.reshape(-1)])
     m = v = np.zeros_like(both)
     for i in range(1, steps + 1):
-        gw, ga = _gradient(both[:-4], both[-4:].reshape(2, 2), z, y, layout, link)
-        g = np.concatenate([gw, ga.reshape(-1) * chain]) / max(1, len(y)) - penalty * both
+        gw, ga = _gradient(both[:-4], both[-4:].reshape(2, 2), z, y, layout, link, chain)
+        g = np.concatenate([gw, ga.reshape(-1)]) / max(1, len(y)) - penalty * both
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         both = both + 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     return both[:-4], both[-4:].reshape(2, 2)
 
 
+def _features_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The features and the text of each line, some texts at a time: the kernels' work space is many times a chunk's bytes."""
+    found, batch = [], pa.record_batch([pa.array(texts, pa.string())], names=["text"])
+    done = 0
+    for b in chunks([batch], "text", FIT_CHUNK_BYTES):
+        x, text, _ = line_features(b.column("text"))
+        found.append((x, text + done))
+        done += b.num_rows
+    return (np.concatenate([x for x, _ in found]), np.concatenate([t for _, t in found])) if found else (np.zeros((0, 3 * OWN + 2)), np.zeros(0, np.int64))
+
+
 def fit(texts: list[str], labels: list[int], steps: int = 150) -> Crf | None:
     """The field for labelled documents; None unless both labels have lines.
 
     Lines first take their document's label, and a model without transitions learns them. As bad documents also
     have good lines, those that it is sure of become good, unless no bad one would be left; then the field is fitted.
     """
-    x, text, _ = line_features(pa.array(texts, pa.string()))
+    x, text = _features_of(texts)
     label = np.asarray(labels, float)
     y = label[text]
     if not (y == 0).any() or not (y == 1).any():
