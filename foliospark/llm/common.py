@@ -12,7 +12,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Text that one vectorised step takes at a time; it bounds a Python worker's memory, not what is processed.
 CHUNK_BYTES = 8 << 20
@@ -82,15 +81,12 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             yield batch.slice(start)
 
 
-def sole(docs: DataFrame) -> DataFrame:
-    """docs without the columns that repeat an exact name; the first of each stays."""
-    return only(docs, *dict.fromkeys(docs.columns))
+def inner(docs: DataFrame, *without: str) -> tuple[DataFrame, list[str]]:
+    """docs under the names _0, _1, ..., which nothing clashes with, and their own names; ``without`` leaves out columns of these names in any case."""
+    docs = only(docs, *dict.fromkeys(c for c in docs.columns if c.lower() not in without))
+    return docs.toDF(*(f"_{i}" for i in range(len(docs.columns)))), docs.columns
 
 
 def offsets_array(cuts: np.ndarray, values: pa.Array) -> pa.Array:
     """Lists of the values between consecutive cuts."""
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), values)
-
-
-def schema_of(df: DataFrame, *more: tuple[str, T.DataType]) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in more)])

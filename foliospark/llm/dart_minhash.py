@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliospark.llm import kernels as K
-from foliospark.llm.common import chunks, cut, only, remove, table
+from foliospark.llm.common import chunks, cut, inner, only, remove, table
 
 #: Coordinates, bands, and the estimated similarity from which two texts are near duplicates.
 COORDINATES, BANDS, THRESHOLD = 128, 32, 0.5
@@ -217,9 +217,11 @@ def stage(docs: DataFrame) -> DataFrame:
     A kept identifier that has several texts keeps a row of each; rows without identifier all stay.
     """
     gone = near_duplicates(docs).select("doc_id").distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return kept.withColumn("_again", F.row_number().over(again)).where("_again = 1 or doc_id is null").drop("_again")
+    own, names = inner(docs)
+    key, text = (f"_{names.index(c)}" for c in ("doc_id", "text"))
+    kept = own.join(gone, own[key] == gone["doc_id"], "left_anti")
+    again = Window.partitionBy(key, F.xxhash64(text)).orderBy(key)
+    return kept.withColumn("again", F.row_number().over(again)).where(F.col("again").eqNullSafe(1) | F.col(key).isNull()).drop("again").toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

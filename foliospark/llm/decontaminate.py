@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm import kernels as K
-from foliospark.llm.common import chunks, offsets_array, only, sole, table
+from foliospark.llm.common import chunks, inner, offsets_array, only, table
 
 LENGTH_LIMIT, COVERAGE_LIMIT, LEAST_ITEM = 8, 0.8, 4
 #: Words of one automaton; more items make more automata, which each document passes in turn.
@@ -184,19 +184,14 @@ def _clean(b: pa.RecordBatch, at: int, own: Matcher) -> tuple[pa.Array, list[pa.
     return texts if out is None else pa.array(out, pa.string()), [pa.array(counts), pa.array(removed), pa.array(most), offsets_array(np.cumsum(cuts), spans)]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length_limit: int = LENGTH_LIMIT, coverage_limit: float = COVERAGE_LIMIT, least_item: int = LEAST_ITEM) -> DataFrame:
-    """All columns of docs with the spans cut out of text, then n_words, n_removed, longest and spans of its words.
+ADDED = ("n_words", "n_removed", "longest", "spans")
 
-    The matcher is broadcast: about 200 bytes a benchmark word, whatever the corpus. One narrow Arrow pass, no
-    shuffle. A null text stays null with 0 words; an empty one has none; a text without a match is returned as it
-    is; items that are null, empty or repeat another change nothing; items of fewer than ``least_item`` words
-    aren't matched by coverage, being ordinary phrases; without items nothing goes. Repeated rows are treated
-    alike, long texts stream whole, columns of docs that have the new names are replaced, no rows give no rows.
-    """
+
+def _found(docs: DataFrame, items: DataFrame, length_limit: int, coverage_limit: float, least_item: int) -> tuple[DataFrame, list[str]]:
+    """The result under inner names, then ADDED; and the columns' own names."""
     shared = docs.sparkSession.sparkContext.broadcast(matcher(items, length_limit, coverage_limit, least_item))
-    added = ("n_words", "n_removed", "longest", "spans")
-    docs = only(docs, *dict.fromkeys(c for c in docs.columns if c.lower() not in added))
-    at = docs.columns.index("text")
+    docs, names = inner(docs, *ADDED)
+    at = names.index("text")
 
     def run(batches):
         own = shared.value
@@ -204,19 +199,38 @@ def decontaminate(docs: DataFrame, items: DataFrame, length_limit: int = LENGTH_
             texts, found = _clean(b, at, own)
             columns = list(b.columns)
             columns[at] = texts
-            yield pa.record_batch([*columns, *found], names=[*b.schema.names, *added])
+            yield pa.record_batch([*columns, *found], names=[*b.schema.names, *ADDED])
+
+    count = F.lit(0).cast("bigint")
+    bare = docs.limit(0).select("*", *(count.alias(c) for c in ADDED[:3]), F.lit(None).cast("array<struct<first: bigint, last: bigint>>").alias("spans"))
+    return docs.mapInArrow(run, bare.schema), names
+
 
-    bare = docs.limit(0).withColumns({"n_words": F.lit(0).cast("bigint"), "n_removed": F.lit(0).cast("bigint"), "longest": F.lit(0).cast("bigint"), "spans": F.lit(None).cast("array<struct<first: bigint, last: bigint>>")})
-    return docs.mapInArrow(run, bare.schema)
+def decontaminate(docs: DataFrame, items: DataFrame, length_limit: int = LENGTH_LIMIT, coverage_limit: float = COVERAGE_LIMIT, least_item: int = LEAST_ITEM) -> DataFrame:
+    """All columns of docs with the spans cut out of text, then n_words, n_removed, longest and spans of its words.
+
+    The matcher is broadcast: about 200 bytes a benchmark word, whatever the corpus. One narrow Arrow pass, no
+    shuffle. A null text stays null with 0 words; an empty one has none; a text without a match is returned as it
+    is; items that are null, empty or repeat another change nothing; items of fewer than ``least_item`` words
+    aren't matched by coverage, being ordinary phrases; without items nothing goes. Repeated rows are treated
+    alike, long texts stream whole, columns of docs that have the new names are replaced, no rows give no rows.
+    """
+    found, names = _found(docs, items, length_limit, coverage_limit, least_item)
+    return found.toDF(*names, *ADDED)
 
 
 def stage(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs with the columns they have: contaminated spans are cut out of text, n_chars follows, and a document of which no word is left goes."""
-    docs = sole(docs)
-    found = decontaminate(docs, items).where("n_removed = 0 or n_removed < n_words")
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    """docs with the columns they have: contaminated spans are cut out of text, n_chars follows, and a document of which no word is left goes.
+
+    Columns named like decontaminate's new ones aren't kept.
+    """
+    found, names = _found(docs, items, LENGTH_LIMIT, COVERAGE_LIMIT, LEAST_ITEM)
+    found = found.where("n_removed = 0 or n_removed < n_words")
+    if "n_chars" in names:
+        own = f"_{names.index('n_chars')}"
+        kind = found.schema[own].dataType
+        found = found.withColumn(own, F.when(F.col("n_removed") > 0, F.length(f"_{names.index('text')}").cast(kind)).otherwise(F.col(own)))
+    return found.drop(*ADDED).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import chunks, only, table
+from foliospark.llm.common import chunks, inner, only, table
 
 LEVEL, PIECE_BYTES = 6, 4096
+#: Share by which the runner-up must be larger.
+MARGIN = 0.005
 
 
 def interleaved(texts: list[str], most: int) -> bytes:
@@ -81,20 +83,14 @@ def on_worker(shared) -> Classifier:
     return made
 
 
-def identify(docs: DataFrame, labelled: DataFrame | None = None, margin: float = 0.005, **fit) -> DataFrame:
-    """All columns of docs, then predicted_lang, lang_margin and lang_keep, for every row.
+ADDED = ("predicted_lang", "lang_margin", "lang_keep")
 
-    The dictionaries come from ``labelled`` (docs itself if None; see fit_dictionaries) and are broadcast: 64 KB a
-    language, whatever the data. One narrow Arrow pass, no shuffle. A null, empty or blank text is rejected with
-    null language and margin, and so is every text when no row is labelled; a tie has margin 0 and is rejected,
-    which a text of a few bytes often is; with one language all else stands. Repeated rows get equal results; long
-    texts count whole; columns of docs that have the new names already are replaced; no rows give no rows.
-    """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((fit_dictionaries(docs if labelled is None else labelled, **fit), margin))
-    added = ("predicted_lang", "lang_margin", "lang_keep")
-    docs = only(docs, *dict.fromkeys(c for c in docs.columns if c.lower() not in added))
-    at = docs.columns.index("text")
+
+def _found(docs: DataFrame, labelled: DataFrame | None, margin: float, **fit) -> tuple[DataFrame, list[str]]:
+    """The result under inner names, then ADDED; and the columns' own names."""
+    shared = docs.sparkSession.sparkContext.broadcast((fit_dictionaries(docs if labelled is None else labelled, **fit), margin))
+    docs, names = inner(docs, *ADDED)
+    at = names.index("text")
 
     def run(batches):
         own = on_worker(shared)
@@ -102,17 +98,36 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, margin: float =
             found = [own(t) for t in b.column(at).to_pylist()]
             yield pa.record_batch(
                 [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
-                names=[*b.schema.names, *added],
+                names=[*b.schema.names, *ADDED],
             )
 
-    schema = docs.limit(0).withColumns({"predicted_lang": F.lit("").cast("string"), "lang_margin": F.lit(0.0), "lang_keep": F.lit(True)}).schema
-    return docs.mapInArrow(run, schema)
+    bare = docs.limit(0).select("*", F.lit("").alias("predicted_lang"), F.lit(0.0).alias("lang_margin"), F.lit(True).alias("lang_keep"))
+    return docs.mapInArrow(run, bare.schema), names
+
+
+def identify(docs: DataFrame, labelled: DataFrame | None = None, margin: float = MARGIN, **fit) -> DataFrame:
+    """All columns of docs, then predicted_lang, lang_margin and lang_keep, for every row.
+
+    The dictionaries come from ``labelled`` (docs itself if None; see fit_dictionaries) and are broadcast: 64 KB a
+    language, whatever the data. One narrow Arrow pass, no shuffle. A null, empty or blank text is rejected with
+    null language and margin, and so is every text when no row is labelled; a tie has margin 0 and is rejected,
+    which a text of a few bytes often is; with one language all else stands. Repeated rows get equal results; long
+    texts count whole; columns of docs that have the new names already are replaced; no rows give no rows.
+    """
+    found, names = _found(docs, labelled, margin, **fit)
+    return found.toDF(*names, *ADDED)
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose language stands, with the same columns; lang becomes the language found."""
-    kept = identify(docs).where("lang_keep")
-    return kept.select(*(F.col("predicted_lang").alias("lang") if c == "lang" else c for c in docs.columns))
+    """The rows of docs whose language stands, with the columns they have; lang becomes the language found.
+
+    Columns named like identify's new ones aren't kept.
+    """
+    found, names = _found(docs, None, MARGIN)
+    found = found.where("lang_keep")
+    if "lang" in names:
+        found = found.withColumn(f"_{names.index('lang')}", F.col("predicted_lang"))
+    return found.drop(*ADDED).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import cut, only, sole, table
+from foliospark.llm.common import cut, inner, only, table
 
 #: Characters of a block, slots of a period at least, and the power of a source's size that its weight follows.
 BLOCK_CHARS, PERIOD, POWER = 1 << 20, 1000, 0.7
@@ -87,6 +87,27 @@ def plan(docs: DataFrame, weights: dict | None, block_chars: int, period: int, p
 NEW = ("mix_block", "mix_epoch", "mix_slot")
 
 
+def _mixed(docs: DataFrame, weights: dict | None, block_chars: int, period: int, power: float) -> tuple[DataFrame, list[str]]:
+    """The mix under inner names, then NEW; and the columns' own names."""
+    made = plan(docs, weights, block_chars, period, power)
+    own, names = inner(docs, *NEW)
+    if made is None:
+        return own.limit(0).select("*", *(F.lit(None).cast("bigint").alias(c) for c in NEW)), names
+    doc_id, text, source = (own[f"_{names.index(c)}"] for c in ("doc_id", "text", "source"))
+    joined = own.join(made, source.eqNullSafe(made["mix_source"]))
+    # 0 and 1 keep the two kinds of key apart; a null text hashes to its seed.
+    key = F.when(doc_id.isNull(), F.xxhash64(F.lit(1), text)).otherwise(F.xxhash64(F.lit(0), doc_id))
+    j = F.col("mix_block") + F.col("mix_epoch") * F.col("n_blocks")
+    placed = (
+        joined.withColumn("mix_block", F.pmod(key, F.col("n_blocks")))
+        .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n_slots div period + 1) * share div n_blocks"))))
+        .withColumn("mix_slot", F.expr("((mix_block + mix_epoch * n_blocks) div share) * period") + F.element_at("slots", (j % F.col("share") + 1).cast("int")))
+        .where("mix_slot < n_slots")
+    )
+    order = ["mix_slot", f"_{names.index('doc_id')}"]
+    return placed.select(*own.columns, *NEW).repartitionByRange(*order).sortWithinPartitions(*order), names
+
+
 def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, power: float = POWER) -> DataFrame:
     """All columns of docs, then mix_block, mix_epoch and mix_slot, ordered by slot: the mix is read from top to bottom.
 
@@ -101,30 +122,17 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     repeated rows are each kept and share a block; a text of more than a block stays whole. Columns that have the
     new names are replaced. No rows, or no weight, give no rows.
     """
-    docs = only(docs, *dict.fromkeys(c for c in docs.columns if c.lower() not in NEW))
-    made = plan(docs, weights, block_chars, period, power)
-    if made is None:
-        return docs.limit(0).select("*", *(F.lit(None).cast("bigint").alias(c) for c in NEW))
-    inner = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))
-    at = {c: inner[f"_{i}"] for i, c in enumerate(docs.columns)}
-    joined = inner.join(made, at["source"].eqNullSafe(made["mix_source"]))
-    key = F.coalesce(F.xxhash64(F.lit("block"), at["doc_id"]) if "doc_id" in at else F.lit(None), F.lit(0))
-    key = F.when(at["doc_id"].isNull(), F.xxhash64(F.lit("block"), at["text"])).otherwise(key) if "doc_id" in at else F.xxhash64(F.lit("block"), at["text"])
-    j = F.col("mix_block") + F.col("mix_epoch") * F.col("n_blocks")
-    placed = (
-        joined.withColumn("mix_block", F.pmod(key, F.col("n_blocks")))
-        .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n_slots div period + 1) * share div n_blocks"))))
-        .withColumn("mix_slot", F.expr("((mix_block + mix_epoch * n_blocks) div share) * period") + F.element_at("slots", (j % F.col("share") + 1).cast("int")))
-        .where("mix_slot < n_slots")
-    )
-    out = placed.select(*inner.columns, *NEW).repartitionByRange("mix_slot", "_0").sortWithinPartitions("mix_slot", "_0")
-    return out.toDF(*docs.columns, *NEW)
+    found, names = _mixed(docs, weights, block_chars, period, power)
+    return found.toDF(*names, *NEW)
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The mix with the columns of docs: in the order of the slots, the rows of sources that start over repeated."""
-    docs = sole(docs)
-    return mix(docs).select(*docs.columns)
+    """The mix with the columns of docs: in the order of the slots, the rows of sources that start over repeated.
+
+    Columns named like mix's new ones aren't kept.
+    """
+    found, names = _mixed(docs, None, BLOCK_CHARS, PERIOD, POWER)
+    return found.drop(*NEW).toDF(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
