@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from foliospark.llm import kernels as K
 
 #: Merged pre-tokens that a worker remembers before it starts anew; it changes speed alone.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 
 def default_vocabulary() -> str:

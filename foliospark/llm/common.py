@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text that one vectorised step takes at a time; it bounds a Python worker's memory, not what is processed.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = (2 << 20) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

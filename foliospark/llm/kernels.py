@@ -101,8 +101,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(2)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+#: Powers that are kept, for as many bytes as a usual chunk has; a longer text's are made for it and let go.
+KEPT_BITS = 21
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    bits = int(size).bit_length()
+    return _kept_powers() if bits <= KEPT_BITS else _make_powers(bits)
+
+
+@functools.cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _make_powers(KEPT_BITS)
+
+
+def _make_powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
     with np.errstate(over="ignore"):
         inverse = _U(pow(int(_BASE), -1, 1 << 64))
@@ -113,7 +126,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the spans' bytes, from prefix sums of a polynomial; equal bytes give equal hashes anywhere."""
-    up, down = _powers(max(22, int(buf.size).bit_length()))
+    up, down = _powers(buf.size)
     sums = np.zeros(buf.size + 1, _U)
     np.cumsum((buf.astype(_U) + _U(1)) * up[: buf.size], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
@@ -131,7 +144,7 @@ def gram_hashes(h: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     """The hash of the ``size`` words from each word on, 0 where its text has no more so many."""
     out = np.zeros(h.size, _U)
     if h.size >= size:
-        up, down = _powers(max(22, int(h.size).bit_length()))
+        up, down = _powers(h.size)
         sums = np.zeros(h.size + 1, _U)
         np.cumsum(h * up[: h.size], out=sums[1:])
         n = h.size - size + 1
