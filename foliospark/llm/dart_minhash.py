@@ -183,31 +183,44 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("v").alias("node"), F.col("u").alias("root"))
 
 
+def _close(pairs: DataFrame, signed: DataFrame, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose signatures agree in at least ``threshold`` of the coordinates."""
+    left, right = (signed.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").where(agreement("sig_a", "sig_b") >= threshold).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, k: int = COORDINATES, bands: int = BANDS) -> DataFrame:
     """(doc_id, kept_doc_id) for every document that has a near duplicate of a lesser identifier; kept_doc_id is its group's least.
 
     1. Signatures, in one Arrow pass, are written to the shared folder: 512 bytes a document.
     2. Documents with the same signature become one: the least identifier stands for them, and only it is banded.
-    3. Within a band's bucket each document pairs with the bucket's least and with the one before it: two pairs a
-       member, so that a bucket of any size is linear, and one that isn't like the least is still tried with another.
-    4. Pairs are kept where the signatures agree in at least ``threshold`` of the coordinates; components of the kept
-       pairs are the groups.
+    3. Within a band's bucket each document is compared with the bucket's least; those that are like it are in one group
+       whatever they are to each other. Each of the others is compared with every document of the bucket. So every two
+       documents that share a bucket are compared or in one group, without a cap, and a bucket of any size that is one
+       group is linear.
+    4. Two documents are alike where the signatures agree in at least ``threshold`` of the coordinates; the components of the
+       pairs that are alike are the groups.
 
     A bucket is a sorted window, which spills; no side is broadcast by this code. Texts without a word, null texts and
     null identifiers are never duplicates. Rows that repeat an identifier with one text are one document; with
     several texts, the identifier is in the group of each. Ties have no effect: the least identifier stands. No rows
     give no rows, extra columns are ignored, a long text counts whole.
     """
-    signed, _ = cut(sign(docs, k, bands))
+    spark = docs.sparkSession
+    signed, signed_path = cut(sign(docs, k, bands))
     same = signed.groupBy("sig").agg(F.min("doc_id").alias("rep"))
     twins = signed.select("doc_id", "sig").join(same, "sig").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
     lone = signed.join(same.select("sig", F.col("rep").alias("doc_id")), ["sig", "doc_id"], "left_semi").select("doc_id", F.posexplode("bands").alias("band", "key"))
-    bucket = Window.partitionBy("band", "key").orderBy("doc_id")
-    near = lone.select("doc_id", F.min("doc_id").over(bucket).alias("least"), F.lag("doc_id").over(bucket).alias("before"))
-    pairs = near.select(F.explode(F.array_distinct(F.array("least", "before"))).alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct()
-    left, right = (signed.select(F.col("doc_id").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    close = pairs.join(left, "a").join(right, "b").where(agreement("sig_a", "sig_b") >= threshold).select("a", "b")
-    groups = components(close.unionByName(twins))
+    bucket = Window.partitionBy("band", "key")
+    near, near_path = cut(lone.select("doc_id", "band", "key", F.min("doc_id").over(bucket).alias("least"), F.max("doc_id").over(bucket).alias("most")).where("least < most").drop("most"))
+    members = near.where("least < doc_id")
+    with_least, least_path = cut(_close(members.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), signed, threshold))
+    others = members.join(with_least.select(F.col("a").alias("least"), F.col("b").alias("doc_id")), ["least", "doc_id"], "left_anti")
+    against = near.select("band", "key", F.col("doc_id").alias("other"))
+    rest = others.join(against, ["band", "key"]).where("other != doc_id and other != least").select(F.least("doc_id", "other").alias("a"), F.greatest("doc_id", "other").alias("b")).distinct()
+    groups = components(with_least.unionByName(_close(rest, signed, threshold)).unionByName(twins))
+    for path in (signed_path, near_path, least_path):  # the components are written
+        remove(spark, path)
     return groups.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_doc_id"))
 
 
