@@ -68,7 +68,7 @@ def sheet_xml(rows: list[str]) -> str:
     return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{own}</sheetData></worksheet>'
 
 
-def workbook(sheets: list[tuple[str, str, str]], strings: list[str] = (), formats: list[int | str] = (), date1904: bool = False, extra: dict | None = None, overrides=(), extra_rels=(), external=()) -> bytes:
+def workbook(sheets: list[tuple[str, str, str]], strings: list[str] = (), formats: list[int | str] = (), date1904: bool = False, extra: dict | None = None, overrides=(), extra_rels=(), external=(), deflate: bool = False) -> bytes:
     """(name, state, worksheet XML) of each sheet; formats are built-in numbers or codes."""
     own = "".join(f'<sheet name="{esc(n)}" sheetId="{i}"{f" state=\"{s}\"" if s else ""} r:id="rId{i}"/>' for i, (n, s, _) in enumerate(sheets, 1))
     head = '<workbookPr date1904="1"/>' if date1904 else ""
@@ -85,7 +85,7 @@ def workbook(sheets: list[tuple[str, str, str]], strings: list[str] = (), format
         ids = {f: 164 + i for i, f in enumerate(custom)}
         numbers = "".join(f'<numFmt numFmtId="{i}" formatCode="{esc(f).replace(chr(34), "&quot;")}"/>' for f, i in ids.items())
         parts["xl/styles.xml"] = f"<styleSheet><numFmts>{numbers}</numFmts><cellXfs>" + "".join(f'<xf numFmtId="{ids.get(f, f)}"/>' for f in formats) + "</cellXfs></styleSheet>"
-    return package("xlsx", parts | (extra or {}), tuple(overrides))
+    return package("xlsx", parts | (extra or {}), tuple(overrides), deflate)
 
 
 def paragraph(text: str) -> str:
