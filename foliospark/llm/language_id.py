@@ -2,7 +2,8 @@
 
 For each language, lines of a bounded sample of labelled rows become a raw-content zstandard dictionary. A text
 is compressed with each, in pieces so short that the dictionary and not the text itself explains them, and the
-sums are compared. The best language stands if the runner-up needs at least ``margin`` more, else it is rejected.
+sums are compared. Each piece follows a primer, the dictionary's last bytes, whose own cost is taken off: alone, a text
+of a few words would be stored as it is and cost the same in every language. The best language stands if the runner-up needs at least ``margin`` more, else it is rejected.
 """
 
 from __future__ import annotations
@@ -11,11 +12,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from foliospark.llm.common import chunks, inner, only, table
 
-LEVEL, PIECE_BYTES = 6, 4096
+LEVEL, PIECE_BYTES, PRIMER_BYTES = 12, 4096, 256
 #: Share by which the runner-up must be larger.
 MARGIN = 0.005
 
@@ -60,20 +62,22 @@ class Classifier:
         for lang, data in sorted(dictionaries.items()):
             own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             own.precompute_compress(level=LEVEL)
-            self.packers.append((lang, zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress))
+            pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+            primer = data[-PRIMER_BYTES:]
+            self.packers.append((lang, pack, primer, len(pack(primer))))
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
-        """Compressed bytes and language, the smallest first, equal ones by name."""
+        """Compressed bytes, without the primer's, and language, the smallest first, equal ones by name."""
         data = text.lower().encode()
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-        return sorted((sum(len(pack(p)) for p in pieces), lang) for lang, pack in self.packers)
+        return sorted((sum(len(pack(primer + p)) - own for p in pieces), lang) for lang, pack, primer, own in self.packers)
 
     def __call__(self, text: str | None) -> tuple[str | None, float | None, bool]:
         """Best language, its margin, and whether it stands."""
         if not text or text.isspace() or not self.packers:
             return None, None, False
         sizes = self.sizes(text)
-        gap = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / sizes[0][0]
+        gap = 1.0 if len(sizes) == 1 else (sizes[1][0] - sizes[0][0]) / max(1, sizes[0][0])
         return sizes[0][1], gap, gap >= self.margin
 
 
@@ -101,8 +105,8 @@ def _found(docs: DataFrame, labelled: DataFrame | None, margin: float, **fit) ->
                 names=[*b.schema.names, *ADDED],
             )
 
-    bare = docs.limit(0).select("*", F.lit("").alias("predicted_lang"), F.lit(0.0).alias("lang_margin"), F.lit(True).alias("lang_keep"))
-    return docs.mapInArrow(run, bare.schema), names
+    kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *map(T.StructField, ADDED, kinds)])), names
 
 
 def identify(docs: DataFrame, labelled: DataFrame | None = None, margin: float = MARGIN, **fit) -> DataFrame:

@@ -5,9 +5,10 @@ from foliospark.llm import language_id as L
 
 def test_held_out_rows_and_clean_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    found = L.identify(docs.where("doc_id % 2 = 1"), labelled=docs.where("doc_id % 2 = 0")).where("length(text) > 200").collect()
-    assert sum(r.predicted_lang == r.lang for r in found) > 0.99 * len(found)
-    assert sum(r.lang_keep for r in found) > 0.99 * len(found)
+    rows = L.identify(docs.where("doc_id % 2 = 1"), labelled=docs.where("doc_id % 2 = 0")).collect()
+    for found, right, kept in ((rows, 0.98, 0.99), ([r for r in rows if len(r.text) < 100], 0.93, 0.95)):
+        assert sum(r.predicted_lang == r.lang for r in found) > right * len(found)
+        assert sum(r.lang_keep for r in found) > kept * len(found)
 
 
 def test_sizes_are_those_of_plain_compression():
@@ -20,8 +21,9 @@ def test_sizes_are_those_of_plain_compression():
         for lang, data in texts.items():
             pack = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
             raw = text.lower().encode()
-            want.append((sum(len(pack.compress(raw[i : i + L.PIECE_BYTES])) for i in range(0, len(raw), L.PIECE_BYTES)), lang))
-        assert [lang for _, lang in own.sizes(text)] == [lang for _, lang in sorted(want)]
+            primer = data[-L.PRIMER_BYTES :]
+            want.append((sum(len(pack.compress(primer + raw[i : i + L.PIECE_BYTES])) - len(pack.compress(primer)) for i in range(0, len(raw), L.PIECE_BYTES)), lang))
+        assert own.sizes(text) == sorted(want)
     assert own("words of one kind and some words of one kind")[::2] == ("a", True)
 
 
