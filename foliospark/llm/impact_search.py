@@ -65,7 +65,7 @@ class Index:
         acc, at, step = self.acc, 0, STEP
         acc[:] = 0
         while True:
-            stop = min(segments.size, int(np.searchsorted(done, (done[at - 1] if at else 0) + step)) + 1)
+            stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + step, "right")))
             n = sizes[at:stop]
             place = np.repeat(self.segment[segments[at:stop]] - np.cumsum(n) + n, n) + np.arange(n.sum())
             np.add.at(acc, self.docs[place], np.repeat(impact[at:stop], n))
