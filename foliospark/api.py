@@ -97,9 +97,9 @@ def shared_strings(pk: DataFrame, limits: Limits = LIMITS) -> DataFrame:
 def scan_rows(
     pk: DataFrame,
     sheet: str | None = None,
-    sheet_index: int | None = None,
     all_sheets: bool = False,
     include_hidden: bool = False,
+    sheet_index: int | None = None,
     formatted: bool = False,
     max_rows: int | None = None,
     limits: Limits = LIMITS,
@@ -149,7 +149,7 @@ def csv_lines(pk: DataFrame, delimiter: str = ",", formatted: bool = False, **op
     return rows.select("path", "sheet_index", "sheet_name", "row_ord", C.csv_line(F.col("cells"), F.col("date1904"), own, formatted).alias("line"))
 
 
-def rows_jsonl(pk: DataFrame, formatted: bool = False, sheet: str | None = None, sheet_index: int | None = None, **options) -> DataFrame:
+def rows_jsonl(pk: DataFrame, sheet: str | None = None, formatted: bool = False, sheet_index: int | None = None, **options) -> DataFrame:
     """path, row_ord and one JSON line a worksheet row; selectors are echoed if they were given."""
     rows = visit_rows(pk, formatted, sheet=sheet, sheet_index=sheet_index, **options)
 
@@ -169,7 +169,7 @@ def _json_text(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
-TYPES = ("null", "bool", "int64", "float64", "date", "time", "datetime", "utf8")
+TYPES = tuple("null bool int64 float64 date time datetime utf8".split())
 _SHAPE = {"datetime": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "date": r"^\d{4}-\d{2}-\d{2}$", "time": r"^\d{2}:\d{2}:\d{2}$"}
 
 
@@ -276,7 +276,7 @@ def _converted(c: Column, kind: str) -> tuple[Column, Column]:
         "date": F.when(number & shown.rlike(_SHAPE["date"]), shown.try_cast("date")),
         "time": F.when(number & shown.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), (F.substring(shown, 1, 2).cast("bigint") * 3600 + F.substring(shown, 4, 2).cast("bigint") * 60 + F.substring(shown, 7, 2).cast("bigint")) * 1000000),
         "datetime": F.when(number & shown.rlike(_SHAPE["datetime"]), shown.try_cast("timestamp_ntz")),
-        "null": F.lit(None).cast("void"),
+        "null": F.lit(None).cast("void"),  # nothing but an absent cell fits
     }[kind]
     actual = F.when((c["kind"] == "boolean") & c["bool_value"].isNull(), "invalid boolean").when(c["kind"] == "error", "worksheet error").when(number & shown.isNotNull(), F.concat(F.lit("number "), shown)).otherwise(c["kind"])
     return value, actual

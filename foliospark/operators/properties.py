@@ -87,8 +87,9 @@ def info(archive: Archive) -> tuple[dict, list[dict]]:
     return {**{f: out.get(f) for f in FIELDS}, "custom_properties": sorted(custom.items()) or None, "has_macros": macros}, found
 
 
-def _signal(kind: str, severity: str, path: str, message: str) -> dict:
-    return {"kind": kind, "severity": severity, "path": path, "message": message}
+def _signal(kind: str, path: str, message: str) -> dict:
+    """A warning, but for macros, which weigh more, and custom properties, which weigh less."""
+    return {"kind": kind, "severity": {"macros": "high", "custom_properties": "info"}.get(kind, "warning"), "path": path, "message": message}
 
 
 EXTERNAL = {"hyperlink": "hyperlink", "externallink": "external_link", "attachedtemplate": "attached_template"}
@@ -104,9 +105,9 @@ def _workbook(archive: Archive, found: list[dict]) -> list[dict]:
             if name == "sheet":
                 own = X.attributes(raw)
                 if own.get("state", "").lower() in ("hidden", "veryhidden"):
-                    out.append(_signal("hidden_sheet", "warning", path, f"worksheet '{own.get('name', '<unnamed>')}' is {own['state']}"))
+                    out.append(_signal("hidden_sheet", path, f"worksheet '{own.get('name', '<unnamed>')}' is {own['state']}"))
             elif name == "workbookProtection":
-                out.append(_signal("workbook_protection", "warning", path, "workbook protection settings are present"))
+                out.append(_signal("workbook_protection", path, "workbook protection settings are present"))
     except X.XmlFault as e:
         found.append(E.malformed(path, e))
     return out
@@ -127,11 +128,11 @@ def _targets(archive: Archive, found: list[dict]) -> list[dict]:
             try:
                 P.resolve(P.rels_base(path), r, path)
             except E.EngineError as e:
-                out.append(_signal(EXTERNAL.get(kind, "relationship_target"), "warning", path, f"relationship target '{e.target}' is suspicious: {e.reason}"))
+                out.append(_signal(EXTERNAL.get(kind, "relationship_target"), path, f"relationship target '{e.target}' is suspicious: {e.reason}"))
                 continue
             if kind in INTERNAL:
                 name, words = INTERNAL[kind]
-                out.append(_signal(name, "warning", path, f"internal {words} relationship targets '{r.target}'"))
+                out.append(_signal(name, path, f"internal {words} relationship targets '{r.target}'"))
     return out
 
 
@@ -141,11 +142,11 @@ def audit(archive: Archive) -> tuple[dict, list[dict], list[dict]]:
     own, found = info(archive)
     out = []
     if own["has_macros"]:
-        out.append(_signal("macros", "high", "[Content_Types].xml", "VBA macro content is present or declared"))
+        out.append(_signal("macros", "[Content_Types].xml", "VBA macro content is present or declared"))
     if own["custom_properties"]:
-        out.append(_signal("custom_properties", "info", "docProps/custom.xml", f"{len(own['custom_properties'])} custom document properties are present"))
+        out.append(_signal("custom_properties", "docProps/custom.xml", f"{len(own['custom_properties'])} custom document properties are present"))
     if kind == "xlsx" and archive.has("xl/workbook.xml"):
         out += _workbook(archive, found)
     out += _targets(archive, found)
-    out += [_signal("parser_warning", "warning", w["path"], f"warning[{w['category']}/{w['code']}]: {w['message']}") for w in found]
+    out += [_signal("parser_warning", w["path"], f"warning[{w['category']}/{w['code']}]: {w['message']}") for w in found]
     return {**own, "document_type": kind}, out, found

@@ -9,11 +9,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from foliospark import errors as E
-from foliospark.operators import docx, pptx, properties, xlsx
+from foliospark.operators import docx, pptx, properties, sheet_columns, xlsx
 from foliospark.sources import package as P
 from foliospark.sources.archive import Archive, Limits
 
@@ -211,7 +212,7 @@ _ROWS = pa.schema([("path", _S), ("sheet_index", pa.int32()), ("sheet_name", _S)
 
 def _row_batch(path: str, index: int, name: str, first: int, date1904: bool, rows: list[tuple[int, dict[int, xlsx.Cell]]]) -> pa.RecordBatch:
     """A batch of worksheet rows, built by column."""
-    n, offsets, columns, cells = len(rows), [0], [], []
+    offsets, columns, cells = [0], [], []
     for _, own in rows:
         columns.extend(own)
         cells.extend(own.values())
@@ -221,11 +222,24 @@ def _row_batch(path: str, index: int, name: str, first: int, date1904: bool, row
         [pa.array(columns, pa.int32()), pa.array(kinds, _S), pa.array(raws, _S), pa.array(values, _S), pa.array(truths, pa.bool_()), pa.array(formats, _S), pa.array(formulas, pa.bool_())],
         fields=list(_CELL),
     )
+    return _rows_of(path, index, name, first, date1904, pa.array([i for i, _ in rows], pa.int64()), pa.array(offsets, pa.int32()), flat)
+
+
+def _column_batches(path: str, index: int, name: str, date1904: bool, own: sheet_columns.Columns) -> Iterator[pa.RecordBatch]:
+    flat = pa.StructArray.from_arrays([pa.array(own.column.astype(np.int32)), own.kind, own.raw, own.value, own.boolean, own.format, own.formula], fields=list(_CELL))
+    for first in range(0, own.index.size, BATCH_ROWS):
+        last = min(first + BATCH_ROWS, own.index.size)
+        a, z = int(own.offsets[first]), int(own.offsets[last])
+        yield _rows_of(path, index, name, first, date1904, pa.array(own.index[first:last]), pa.array((own.offsets[first : last + 1] - a).astype(np.int32)), flat.slice(a, z - a))
+
+
+def _rows_of(path: str, index: int, name: str, first: int, date1904: bool, row_index: pa.Array, offsets: pa.Array, flat: pa.StructArray) -> pa.RecordBatch:
+    n = len(row_index)
     return pa.RecordBatch.from_arrays(
         [
             pa.repeat(pa.scalar(path, _S), n), pa.repeat(pa.scalar(index, pa.int32()), n), pa.repeat(pa.scalar(name, _S), n),
-            pa.array(range(first, first + n), pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.repeat(pa.scalar(date1904), n),
-            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.nulls(n, _WARNINGS), pa.nulls(n, _ERROR),
+            pa.array(range(first, first + n), pa.int64()), row_index, pa.repeat(pa.scalar(date1904), n),
+            pa.ListArray.from_arrays(offsets, flat), pa.nulls(n, _WARNINGS), pa.nulls(n, _ERROR),
         ],
         schema=_ROWS,
     )
@@ -251,7 +265,12 @@ def rows(
         reader, data = xlsx.sheet_reader(opened, own, worksheet_limits)
         held: list = []
         first = n = 0
-        for row in reader.rows(data):
+        rows = reader.columns(data) if max_rows is None else None
+        if rows is not None:
+            found, rows = rows
+            yield from _column_batches(path, index, own.name, opened.book.date1904, found)
+            first = n = found.index.size
+        for row in reader.rows(data) if rows is None else rows:
             held.append(row)
             n += 1
             if len(held) >= BATCH_ROWS:

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 from foliospark import errors as E
+from foliospark.operators import sheet_columns
 from foliospark.sources import package as P
 from foliospark.sources import xml as X
 from foliospark.sources.archive import Archive, Limits
@@ -291,6 +292,23 @@ class SheetReader:
             del self.warnings[kept:]
         yield from self._general(X.tokens(data, done, None, opened), state)
 
+    def columns(self, data: bytes) -> tuple[sheet_columns.Columns, list[tuple[int, dict[int, Cell]]]] | None:
+        """The rows by column, and those that follow the sheet's data, of which there usually are none; None where rows() is needed."""
+        begin, end = data.find(b"<sheetData>"), data.find(b"</sheetData>")
+        if begin < 0 or end < begin:
+            return None
+        begin += len(b"<sheetData>")
+        opened: list[bytes] = []
+        state: dict = {"next": 0, "row": None, "cells": {}, "most": -1}
+        before = SheetReader(self.path, self.strings, self.formats)
+        if list(before._general(X.tokens(data, 0, begin, opened), state)) or before.warnings or state["row"] is not None or state.get("cell") or not opened or opened[-1] != b"sheetData":
+            return None
+        found = sheet_columns.read(data, begin, end, self.strings, self.formats)
+        if found is None:
+            return None
+        state["next"] = int(found.index[-1]) + 1 if found.index.size else 0
+        return found, list(self._general(X.tokens(data, end, None, opened), state))
+
     def _general(self, tokens, state: dict) -> Iterator[tuple[int, dict[int, Cell]]]:
         try:
             for kind, name, raw in tokens:

@@ -81,12 +81,23 @@ def xlsx_row_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "row_ord", F.get("cells", F.lit(0))["raw"].cast("bigint").alias("o_orderkey"))
 
 
+def _json_cell(i: int, kind: str, raw: str, value: str | None = None) -> str:
+    """SQL for a cell in JSON, of SQL texts."""
+    shown = f""" || '","value":"' || {value}""" if value else ""
+    return f"""'{{"column_index":{i}' || ',"kind":"{kind}' || '","raw":"' || {raw}{shown} || '","has_formula":false}}'"""
+
+
+_JSON_CELLS = " || ',' || ".join(
+    _json_cell(*c)
+    for c in (
+        (0, "number", "o_orderkey"), (1, "number", "o_custkey"), (2, "string", "(list_position(strings, o_orderstatus) - 1)", "o_orderstatus"), (3, "number", "printf('%.2f', o_totalprice)"),
+        (4, "string", "strftime(o_orderdate, '%Y-%m-%d')", "strftime(o_orderdate, '%Y-%m-%d')"), (5, "string", "(list_position(strings, o_orderpriority) - 1)", "o_orderpriority"),
+    )
+)
+
+
 @query(
-    f"""SELECT 'orders-' || g || '.xlsx' AS path, row_ord,
-  '{{"schema_version":1,"file":"orders-' || g || '.xlsx","row_index":' || row_ord || ',"cells":[{{"column_index":0,"kind":"number","raw":"' || o_orderkey || '","has_formula":false}},{{"column_index":1,"kind":"number","raw":"' || o_custkey
-  || '","has_formula":false}},{{"column_index":2,"kind":"string","raw":"' || (list_position(strings, o_orderstatus) - 1) || '","value":"' || o_orderstatus || '","has_formula":false}},{{"column_index":3,"kind":"number","raw":"' || printf('%.2f', o_totalprice)
-  || '","has_formula":false}},{{"column_index":4,"kind":"string","raw":"' || strftime(o_orderdate, '%Y-%m-%d') || '","value":"' || strftime(o_orderdate, '%Y-%m-%d') || '","has_formula":false}},{{"column_index":5,"kind":"string","raw":"'
-  || (list_position(strings, o_orderpriority) - 1) || '","value":"' || o_orderpriority || '","has_formula":false}}]}}' AS value
+    f"""SELECT 'orders-' || g || '.xlsx' AS path, row_ord, '{{"schema_version":1,' || '"file":"orders-' || g || '.xlsx","row_index":' || row_ord || ',"cells":[' || {_JSON_CELLS} || ']}}' AS value
 FROM ({_ORDERS}) JOIN (SELECT CAST(floor(o_orderkey / {ROWS}) AS BIGINT) AS g, list_sort(list_distinct(list_concat(list(o_orderstatus), list(o_orderpriority)))) AS strings FROM orders GROUP BY 1) USING (g)"""
 )
 def xlsx_rows_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:

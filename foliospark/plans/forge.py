@@ -9,13 +9,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-_P = "http://schemas.openxmlformats.org/package/2006"
-_MAIN = {
-    "docx": ("word/document.xml", "application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"),
-    "xlsx": ("xl/workbook.xml", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"),
-    "pptx": ("ppt/presentation.xml", "application/vnd.openxmlformats-officedocument.presentationml.presentation.main+xml"),
-}
+from foliospark.sources.package import FALLBACK, MAIN_TYPES
+
+_SCHEMAS = "http://schemas.openxmlformats.org"
+_R, _P = f"{_SCHEMAS}/officeDocument/2006/relationships", f"{_SCHEMAS}/package/2006"
+_MAIN = {kind: (FALLBACK[kind], content_type) for content_type, kind in MAIN_TYPES.items()}
 
 
 def esc(text: object) -> str:
@@ -65,7 +63,7 @@ def cell(row: int, column: int, kind: str | None, text: str | None, style: int |
 def sheet_xml(rows: list[str]) -> str:
     """Rows are their cells' XML; they are numbered from 1."""
     own = "".join(f'<row r="{i}">{r}</row>' for i, r in enumerate(rows, 1))
-    return f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{own}</sheetData></worksheet>'
+    return f'<worksheet xmlns="{_SCHEMAS}/spreadsheetml/2006/main"><sheetData>{own}</sheetData></worksheet>'
 
 
 def workbook(sheets: list[tuple[str, str, str]], strings: list[str] = (), formats: list[int | str] = (), date1904: bool = False, extra: dict | None = None, overrides=(), extra_rels=(), external=(), deflate: bool = False) -> bytes:

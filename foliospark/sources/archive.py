@@ -86,4 +86,4 @@ class Archive:
     @staticmethod
     def _fits(path: str, size: int, limits: Limits) -> None:
         if size > limits.max_part_bytes:
-            raise E.EngineError(E.TOO_LARGE, f"OOXML part is too large: {path} is {size} bytes; limit is {limits.max_part_bytes} bytes")
+            raise E.EngineError(E.TOO_LARGE, f"part {path} has {size} bytes, over the limit of {limits.max_part_bytes}")

@@ -16,7 +16,7 @@ MAIN_TYPES = {
     f"{_BASE}spreadsheetml.sheet.main+xml": "xlsx",
 }
 FALLBACK = {"docx": "word/document.xml", "xlsx": "xl/workbook.xml", "pptx": "ppt/presentation.xml"}
-MACRO_PARTS = ("word/vbaProject.bin", "xl/vbaProject.bin", "ppt/vbaProject.bin")
+MACRO_PARTS = tuple(f"{folder}/vbaProject.bin" for folder in ("word", "xl", "ppt"))
 MACRO_TYPE = "application/vnd.ms-office.vbaproject"
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*:")
 

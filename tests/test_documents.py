@@ -18,6 +18,19 @@ def cell(*paragraphs, properties=""):
     return f"<w:tc>{properties}{''.join(paragraphs)}</w:tc>"
 
 
+def row(*cells, properties=""):
+    return f"<w:tr>{properties and f'<w:trPr>{properties}</w:trPr>'}{''.join(cells)}</w:tr>"
+
+
+def table(*rows, grid=0):
+    return f"<w:tbl>{grid and '<w:tblGrid>' + '<w:gridCol/>' * grid + '</w:tblGrid>' or ''}{''.join(rows)}</w:tbl>"
+
+
+def run(*parts):
+    """A paragraph of texts and, in tuples, empty elements."""
+    return "<w:p>" + "".join(f"<w:{p[0]}/>" if isinstance(p, tuple) else f"<w:t>{p}</w:t>" for p in parts) + "</w:p>"
+
+
 @pytest.mark.parametrize(
     ("body", "want"),
     [
@@ -25,13 +38,13 @@ def cell(*paragraphs, properties=""):
         ("<w:p/>" + P("a"), "a\n"),
         ("<w:p></w:p>" + P("a"), "\na\n"),
         (P("a") + "<w:p></w:p><w:p></w:p>" + P("b"), "a\nb\n"),
-        ("<w:p><w:t>a</w:t><w:tab/><w:t>b</w:t><w:br/><w:br/><w:t>c</w:t><w:tab></w:tab></w:p>", "a\tb\nc\n"),
-        ("<w:p><w:t>a &amp; b</w:t><w:t><![CDATA[&lt;x]]></w:t></w:p>", "a & b<x\n"),
+        (run("a", ("tab",), "b", ("br",), ("br",), "c").replace("c<", "c</w:t><w:t></w:t><w:tab></w:tab><w:t><"), "a\tb\nc\n"),
+        (run("a &amp; b", "<![CDATA[&lt;x]]>"), "a & b<x\n"),
         (f"<w:del>{P('gone')}</w:del><w:ins>{P('stays')}</w:ins><w:moveFrom>{P('gone')}</w:moveFrom><w:moveTo>{P('too')}</w:moveTo>", "stays\ntoo\n"),
         ("<w:p><w:instrText>FIELD</w:instrText><w:t>shown</w:t></w:p>", "shown\n"),
-        (f"<w:tbl><w:tr>{cell(P('a'), P('b'))}{cell(P('c'))}</w:tr><w:tr>{cell(P('d'))}</w:tr></w:tbl>" + P("e"), "a b\tc\nd\ne\n"),
-        (f"<w:tbl><w:tr>{cell(P('a'), f'<w:tbl><w:tr>{cell(P(chr(120)))}{cell(P(chr(121)))}</w:tr></w:tbl>', P('z'))}</w:tr></w:tbl>", "a x\ty z\n"),
-        ("<w:tbl><w:tr><w:trPr><w:del/></w:trPr>" + cell(P("kept")) + "</w:tr></w:tbl>", "kept\n"),
+        (table(row(cell(P("a"), P("b")), cell(P("c"))), row(cell(P("d")))) + P("e"), "a b\tc\nd\ne\n"),
+        (table(row(cell(P("a"), table(row(cell(P("x")), cell(P("y")))), P("z")))), "a x\ty z\n"),
+        (table(row(cell(P("kept")), properties="<w:del/>")), "kept\n"),
     ],
 )
 def test_flattened_text(body, want):
@@ -63,13 +76,19 @@ def test_a_missing_related_part_is_a_warning_and_an_external_one_an_error():
     assert e.value.code == E.BAD_TARGET
 
 
-TABLE = (
-    "<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/><w:gridCol/></w:tblGrid>"
-    f"<w:tr><w:trPr><w:gridBefore w:val='1'/><w:gridAfter w:val='x'/></w:trPr>{cell('<w:p/>', P('a'), properties='<w:tcPr><w:gridSpan w:val=' + chr(34) + '2' + chr(34) + '/></w:tcPr>')}"
-    + cell("<w:p><w:t>b</w:t><w:tab/><w:br/><w:br/></w:p>", properties="<w:tcPr><w:vMerge w:val='RESTART'/><w:gridSpan w:val='0'/></w:tcPr>")
-    + "</w:tr>"
-    f"<w:tr><w:trPr><w:del/></w:trPr>{cell(P('deleted'))}</w:tr>"
-    f"<w:tr>{cell(P('c'), f'<w:tbl><w:tr>{cell(P(chr(110)))}</w:tr></w:tbl>', properties='<w:tcPr><w:vMerge/></w:tcPr>')}{cell(properties='<w:tcPr><w:vMerge w:val=' + chr(34) + 'odd' + chr(34) + '/></w:tcPr>')}</w:tr></w:tbl>"
+def cell_properties(*items):
+    return "<w:tcPr>" + "".join(f"<w:{n}" + (f' w:val="{v}"' if v is not None else "") + "/>" for n, v in items) + "</w:tcPr>"
+
+
+TABLE = table(
+    row(
+        cell("<w:p/>", P("a"), properties=cell_properties(("gridSpan", 2))),
+        cell(run("b", ("tab",), ("br",), ("br",)), properties=cell_properties(("vMerge", "RESTART"), ("gridSpan", 0))),
+        properties="<w:gridBefore w:val='1'/><w:gridAfter w:val='x'/>",
+    ),
+    row(cell(P("deleted")), properties="<w:del/>"),
+    row(cell(P("c"), table(row(cell(P("n")))), properties=cell_properties(("vMerge", None))), cell(properties=cell_properties(("vMerge", "odd")))),
+    grid=3,
 )
 
 
@@ -88,7 +107,7 @@ def test_table_semantics():
 
 
 def test_a_malformed_table_keeps_its_closed_rows():
-    got, found = docx.part_tables(f"<d><w:tbl><w:tr>{cell(P('a'))}</w:tr><w:tr><w:tc><w:tbl><w:tr>{cell(P('b'))}</w:tr><".encode(), "p")
+    got, found = docx.part_tables(f"<d><w:tbl>{row(cell(P('a')))}<w:tr><w:tc><w:tbl>{row(cell(P('b')))}<".encode(), "p")
     assert len(got) == 1 and not got[0]["complete"] and len(got[0]["rows"]) == 1 and found[0]["code"] == E.W_XML
     got, found = docx.part_tables(f"<d><w:tbl><w:tr>{cell(P('a'))}".encode(), "p")
     assert got == [] and len(found) == 1

@@ -36,13 +36,14 @@ def test_json_forms(spark):
     doc = G.document(G.paragraph("hi"), extra=G.properties({"creator": "A"}, custom={"k": "v"}))
     pk = api.from_bytes(spark, [("a.docx", doc), ("b.docx", b"junk")])
     lines = {r.path: json.loads(r.value) for r in api.text_jsonl(pk).collect()}
-    assert lines["a.docx"] == {"file": "a.docx", "document_type": "docx", "text": "hi\n"}
+    assert lines["a.docx"] == dict(file="a.docx", document_type="docx", text="hi\n")
     assert lines["b.docx"]["error"]["code"] == "E002"
-    assert json.loads(api.info_json(pk.where("path = 'a.docx'")).first().value) == {"file": "a.docx", "author": "A", "custom_properties": {"k": "v"}, "has_macros": False}
+    assert json.loads(api.info_json(pk.where("path = 'a.docx'")).first().value) == dict(file="a.docx", author="A", custom_properties={"k": "v"}, has_macros=False)
     audits = {r.path: json.loads(r.value) for r in api.audit_jsonl(pk).collect()}
     assert audits["a.docx"]["signals"][0]["kind"] == "custom_properties" and audits["b.docx"]["error"]["code"] == "E002"
     rows = json.loads(api.rows_jsonl(api.from_bytes(spark, [("q\"x.xlsx", G.workbook([("S", "", G.sheet_xml([G.cell(1, 0, "str", 'a"\n\\') + G.cell(1, 1, "b", 1)]))]))]), sheet="S").first().value)
-    assert rows == {"schema_version": 1, "file": 'q"x.xlsx', "sheet_name": "S", "row_index": 0, "cells": [{"column_index": 0, "kind": "string", "raw": 'a"\n\\', "value": 'a"\n\\', "has_formula": False}, {"column_index": 1, "kind": "boolean", "raw": "1", "value": True, "has_formula": False}]}
+    own = dict(column_index=0, kind="string", raw='a"\n\\', value='a"\n\\', has_formula=False)
+    assert rows == dict(schema_version=1, file='q"x.xlsx', sheet_name="S", row_index=0, cells=[own, dict(column_index=1, kind="boolean", raw="1", value=True, has_formula=False)])
     assert api.joined_text(api.from_bytes(spark, [("1", doc), ("2", doc)])) == "hi\n\n---\nhi\n"
     assert api.relationships(pk.where("path = 'a.docx'")).first().part == "word/document.xml"
 

@@ -22,11 +22,9 @@ def rows(sheet_data, strings=("zero", "one"), formats=None):
 
 
 def test_cell_types():
-    body = (
-        '<row r="3"><c r="A3"><v>1.50</v></c><c r="B3" t="s"><v>1</v></c><c r="C3" t="b"><v>1</v></c><c r="D3" t="b"><v>maybe</v></c><c r="E3" t="str"><f>X</f><v>s</v></c>'
-        '<c r="F3" t="inlineStr"><is><r><t>a</t></r><r><t>b</t></r></is></c><c r="G3" t="e"><v>#N/A</v></c><c r="H3"/><c r="I3" t="d"><v>2020-01-01</v></c><c r="J3" t="s"><v>9</v></c><c r="K3" t="s"><v>x</v></c></row>'
-    )
-    got, found = rows(body)
+    cells = [(None, "1.50"), ("s", 1), ("b", 1), ("b", "maybe"), ("str", "s", None, "X"), ("inlineStr", "ab"), ("e", "#N/A"), (None, None), ("d", "2020-01-01"), ("s", 9), ("s", "x")]
+    body = "".join(G.cell(3, i, *c) for i, c in enumerate(cells)).replace(">ab<", "></t><r><t>a</t></r><r><t>b<")
+    got, found = rows(f'<row r="3">{body}</row>')
     assert got[0][0] == 2
     own = [(c.kind, c.raw, c.value, c.boolean, c.formula) for c in got[0][1].values()]
     assert own == [
@@ -37,13 +35,14 @@ def test_cell_types():
 
 
 def test_rows_and_columns_without_references():
-    body = '<row><c><v>1</v></c><c r="D1"><v>2</v></c><c><v>3</v></c><c r="B1"><v>4</v></c><c r="B1"><v>5</v></c></row><row r="9"/><row/><row r="0"><c r="7"><v>6</v></c></row><c><v>stray</v></c>'
+    c = lambda v, r="": f"<c{f' r={chr(39)}{r}{chr(39)}' if r else ''}><v>{v}</v></c>"
+    body = f'<row>{c(1)}{c(2, "D1")}{c(3)}{c(4, "B1")}{c(5, "B1")}</row><row r="9"/><row/><row r="0">{c(6, 7)}</row>{c("stray")}'
     got, _ = rows(body)
     assert [(i, {k: c.raw for k, c in own.items()}) for i, own in got] == [(0, {0: "1", 1: "5", 3: "2", 4: "3"}), (8, {}), (9, {}), (10, {0: "6"})]
 
 
 def test_a_malformed_sheet_keeps_complete_rows():
-    got, found = rows('<row r="1"><c r="A1"><v>1</v></c></row><row r="2"><c r="A2"><v>2<')
+    got, found = rows(f'<row r="1">{G.cell(1, 0, None, 1)}</row><row r="2">{G.cell(2, 0, None, 2)[:-9]}<')
     assert len(got) == 1 and [w["code"] for w in found] == [E.W_XML]
 
 
@@ -64,6 +63,23 @@ def test_the_fast_way_gives_what_the_tokenizer_does(table, odd, gap, closed):
     want = list(slow._general(X.tokens(data.encode()), {"next": 0, "row": None, "cells": {}, "most": -1}))
     assert [(i, list(c.items())) for i, c in fast.rows(data.encode())] == [(i, list(c.items())) for i, c in want]
     assert fast.warnings == slow.warnings
+    whole = xlsx.SheetReader("s", ["zero"], [None, "decimal:1"])
+    if (found := whole.columns(data.encode())) is not None:
+        own, tail = found
+        fields = list(zip(own.kind.to_pylist(), own.raw.to_pylist(), own.value.to_pylist(), own.boolean.to_pylist(), own.format.to_pylist(), own.formula.to_pylist(), strict=True))
+        got = [(int(i), [(int(own.column[j]), xlsx.Cell(*fields[j])) for j in range(a, z)]) for i, a, z in zip(own.index, own.offsets, own.offsets[1:], strict=False)]
+        assert got + [(i, list(c.items())) for i, c in tail] == [(i, list(c.items())) for i, c in want] and whole.warnings == slow.warnings
+
+
+def test_usual_sheets_are_read_by_column():
+    lines = [G.cell(i, 0, None, i, 1) + G.cell(i, 1, "s", 0) + G.cell(i, 2, "b", 1) + G.cell(i, 3, "inlineStr", "é x") + G.cell(i, 4, None, None) + G.cell(i, 27, "e", "#N/A", formula="A1") for i in range(1, 50)]
+    data = G.sheet_xml(lines).encode()
+    reader = xlsx.SheetReader("s", ["zero"], [None, "decimal:1"])
+    own, tail = reader.columns(data)
+    assert tail == [] and own.index.size == 49 and own.column[:6].tolist() == [0, 1, 2, 3, 4, 27]
+    assert own.kind[:6].to_pylist() == ["number", "string", "boolean", "string", "blank", "error"] and own.format[0].as_py() == "decimal:1"
+    for odd in (b"<v>&amp;</v>", b"<v>9999</v>", b"<v> 1</v>"):
+        assert reader.columns(data.replace(b"<v>0</v>", odd, 1)) is None
 
 
 @pytest.mark.parametrize(
@@ -229,7 +245,7 @@ def test_shared_strings_and_styles():
 
 
 def test_max_rows_leaves_the_sheet(spark):
-    broken = "<worksheet><sheetData>" + "".join(f'<row r="{i}"><c r="A{i}"><v>{i}</v></c></row>' for i in range(1, 6)) + "<"
+    broken = "<worksheet><sheetData>" + "".join(f'<row r="{i}">{G.cell(i, 0, None, i)}</row>' for i in range(1, 6)) + "<"
     pk = api.from_bytes(spark, [("a.xlsx", G.workbook([("S", "", broken)]))])
     assert api.visit_rows(pk, max_rows=3).count() == 3 and api.row_warnings(pk, max_rows=3).collect() == []
     assert [r.code for r in api.row_warnings(pk).collect()] == [E.W_XML]
