@@ -30,7 +30,9 @@ def parser() -> argparse.ArgumentParser:
             which.add_argument("--all-sheets", action="store_true")
             own.add_argument("--output-dir")
     for command in ("info", "audit"):
-        top.add_parser(command).add_argument("files", nargs="+")
+        own = top.add_parser(command)
+        own.add_argument("files", nargs="+")
+        own.add_argument("--format", choices=("text", "json", "jsonl")[: 2 + (command == "audit")], default="text")
     infer = top.add_parser("infer")
     infer.add_argument("files", nargs=1)
     infer.add_argument("--sample-rows", type=int)
@@ -44,11 +46,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     pk = api.from_bytes(spark, [("<stdin>", sys.stdin.buffer.read()) if f == "-" else (f, open(f, "rb").read()) for f in a.files])
     show = lambda df, *order: print("\n".join(r[0] for r in df.orderBy(*order).select(df.columns[-1]).toLocalIterator()))
+    print_all = lambda df: print("\n".join(r[-1] for r in df.toLocalIterator()))
     try:
         if a.command == "info":
-            show(api.info_json(pk), "path")
+            print_all(api.info_text(pk) if a.format == "text" else api.info_json(pk))
         elif a.command == "audit":
-            show(api.audit_jsonl(pk), "path")
+            print_all({"text": api.audit_text, "json": api.audit_json, "jsonl": api.audit_jsonl}[a.format](pk))
         elif a.command == "infer":
             show(api.schema_report(pk, a.sample_rows), "path")
         elif a.what == "text":
@@ -57,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 print(api.joined_text(pk, a.files if "-" not in a.files else None), end="")
         elif a.what == "tables":
-            show(api.docx_tables(pk).select("path", "tables_json"), "path")
+            show(api.tables_json(pk), "path")
         else:
             options = {"sheet": a.sheet, "sheet_index": a.sheet_index, "include_hidden": a.include_hidden, "formatted": a.formatted}
             if a.what == "rows":
@@ -67,7 +70,7 @@ def main(argv: list[str] | None = None) -> int:
             elif a.all_sheets:
                 if not a.output_dir:
                     raise E.EngineError(E.ARGUMENT, "invalid argument: --all-sheets needs --output-dir")
-                failed = api.export_all_sheets(pk, a.output_dir, a.delimiter, a.formatted, a.include_hidden).where("code is not null").count()
+                failed = api.export_all_sheets(pk, a.output_dir, a.delimiter, a.formatted, a.include_hidden).where("error is not null").count()
                 return 1 if failed else 0
             else:
                 show(api.csv_lines(pk, a.delimiter, **options), "path", "row_ord")

@@ -15,6 +15,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark import __version__
 from foliospark import errors as E
 from foliospark.functions import cells as C
 from foliospark.operators import shred
@@ -245,22 +246,31 @@ def infer_schema(pk: DataFrame, sample_rows: int | None = None, **options) -> Da
         ),
     )["hit"]
     label = C.column_name(F.col("column_index"))
-    warned = F.array_compact(
-        F.array(
-            F.when(F.col("fallback").isNotNull(), F.concat(label, F.lit(": "), F.col("fallback.reason"), F.lit(" at worksheet row "), F.col("fallback.row_index").cast("string"), F.lit("; inferred utf8"))),
-            F.when(steps.isNotNull(), F.concat(label, F.lit(": observed "), steps["after"], F.lit(" after "), steps["before"], F.lit(" at worksheet row "), steps["row_index"].cast("string"), F.lit("; promoted to utf8"))),
-            F.lit("schema inference used a row sample; results are approximate" if sample_rows is not None else None).cast("string"),
-        )
-    )
+    def warning(code: str, row_ord: Column, message: Column) -> Column:
+        return F.struct(row_ord.cast("bigint").alias("row_ord"), F.lit(code).alias("code"), message.alias("message"))
+
+    fallback = F.concat(label, F.lit(": "), F.col("fallback.reason"), F.lit(" at worksheet row "), F.col("fallback.row_index").cast("string"), F.lit("; inferred utf8"))
+    conflict = F.concat(label, F.lit(": observed "), steps["after"], F.lit(" after "), steps["before"], F.lit(" at worksheet row "), steps["row_index"].cast("string"), F.lit("; promoted to utf8"))
+    warned = F.array_compact(F.array(F.when(F.col("fallback").isNotNull(), warning("utf8_fallback", F.col("fallback.row_ord"), fallback)), F.when(steps.isNotNull(), warning("type_conflict", steps["row_ord"], conflict))))
     return joined.select(*key, "column_index", label.alias("column"), final.alias("type"), hole.isNotNull().alias("nullable"), observed.alias("observed_types"), "examined_rows", warned.alias("warnings"))
 
 
-def schema_report(pk: DataFrame, sample_rows: int | None = None, **options) -> DataFrame:
+def schema_report(pk: DataFrame, sample_rows: int | None = None, sheet: str | None = None, **options) -> DataFrame:
     """path, sheet_index and the inference report of each selected sheet as JSON."""
-    own = infer_schema(pk, sample_rows, **options)
-    column = F.struct("column_index", F.col("column").alias("name"), "type", "nullable", "observed_types", "warnings")
-    by = own.groupBy("path", "sheet_index", "sheet_name").agg(F.max("examined_rows").alias("examined_rows"), F.array_sort(F.collect_list(column)).alias("columns"))
-    report = F.struct(F.lit(1).alias("schema_version"), F.lit(True).alias("experimental"), F.col("path").alias("file"), "sheet_name", "sheet_index", F.struct(F.lit("sample" if sample_rows else "full").alias("mode"), "examined_rows").alias("scan"), F.lit("none").alias("header_policy"), "columns")
+    own = infer_schema(pk, sample_rows, sheet=sheet, **options)
+    column = F.struct("column_index", F.col("column").alias("name"), F.col("type").alias("logical_type"), "nullable", "observed_types")
+    by = own.groupBy("path", "sheet_index").agg(
+        F.max("examined_rows").alias("examined_rows"),
+        F.array_sort(F.collect_list(column)).alias("columns"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("warnings", lambda w: F.struct(w["row_ord"].alias("row_ord"), F.col("column_index").alias("column_index"), (w["code"] == "type_conflict").alias("later"), w["code"].alias("code"), w["message"].alias("message")))))).alias("found"),
+    )
+    found = F.transform("found", lambda w: F.struct(w["code"].alias("code"), w["message"].alias("message"), w["column_index"].alias("column_index")))
+    if sample_rows is not None:
+        sampled = F.struct(F.lit("sampled_result").alias("code"), F.lit("schema inference used a row sample; results are approximate").alias("message"), F.lit(None).cast("int").alias("column_index"))
+        found = F.concat(found, F.array(sampled))
+    scan = F.struct(F.lit("full" if sample_rows is None else "sampled").alias("mode"), F.lit(sample_rows).cast("int").alias("sample_rows"), "examined_rows")
+    chosen = [F.lit(sheet).cast("string").alias("sheet_name"), F.lit(options.get("sheet_index")).cast("int").alias("sheet_index")]
+    report = F.struct(F.lit(1).alias("schema_version"), F.lit(True).alias("experimental"), F.col("path").alias("file"), *chosen, scan.alias("scan"), F.lit("none").alias("header_policy"), "columns", found.alias("warnings"))
     return by.select("path", "sheet_index", F.to_json(report).alias("value"))
 
 
@@ -347,25 +357,70 @@ def record_batches(pk: DataFrame, schema: list[tuple[str, int, str, bool]], batc
     return table.to_batches(max_chunksize=batch_rows)
 
 
+def _some(warnings: str = "warnings") -> Column:
+    """The warnings, or nothing where there are none."""
+    return F.when(F.size(warnings) > 0, F.col(warnings)).alias("warnings")
+
+
+def text_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
+    own = extract_text(pk, limits, mode)
+    return own.select("path", F.to_json(F.struct(F.col("path").alias("file"), "text")).alias("value"))
+
+
 def text_jsonl(pk: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """path and one JSON line a package: its text or its error, and its warnings if there are any."""
     own = extract_text(pk, limits, "permissive")
     kind = F.coalesce(F.col("document_type"), F.lit("unknown"))
-    record = F.struct(F.col("path").alias("file"), kind.alias("document_type"), "text", "error", F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"))
-    return own.select("path", F.to_json(record).alias("value"))
+    return own.select("path", F.to_json(F.struct(F.col("path").alias("file"), kind.alias("document_type"), "text", "error", _some())).alias("value"))
+
+
+def structured_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
+    own = structured_text(pk, limits, mode)
+    return own.select("path", F.to_json(F.struct(F.col("path").alias("file"), "document_type", "blocks")).alias("value"))
+
+
+def tables_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
+    """path and all tables of a document as JSON, with the warnings."""
+    own = docx_tables(pk, limits, mode)
+    head = F.concat(F.lit('{"schema_version":1,"file":'), _json_text(F.col("path")), F.lit(',"document_type":"docx","tables":'))
+    return own.select("path", F.concat(head, F.col("tables_json"), F.lit(',"warnings":'), F.to_json(F.coalesce("warnings", F.from_json(F.lit("[]"), f"array<{E.WARNING_TYPE}>"))), F.lit("}")).alias("value"))
+
+
+def _metadata(own: DataFrame, *without: str) -> list[Column]:
+    return [F.col("path").alias("file"), *(F.col(c) for c in own.columns if c not in ("path", "document_type", "signals", "warnings", "error", *without))]
 
 
 def info_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
     own = read_info(pk, limits, mode)
-    return own.select("path", F.to_json(F.struct(F.col("path").alias("file"), *[c for c in own.columns if c not in ("path", "warnings", "error")])).alias("value"))
+    return own.select("path", F.to_json(F.struct(F.lit(__version__).alias("engine_version"), *_metadata(own))).alias("value"))
+
+
+def info_text(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
+    """One line a known field of a package, but for custom properties."""
+    own = read_info(pk, limits, mode)
+    lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{n}: "), c.cast("string"))) for n, c in ((c, F.col(c)) for c in own.columns if c not in ("path", "custom_properties", "warnings", "error"))]
+    return own.select("path", F.explode(F.array_compact(F.array(F.concat(F.lit("file: "), "path"), *lines))).alias("line"))
+
+
+def audit_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
+    """path and one JSON document a package: document type, metadata and signals."""
+    own = read_audit(pk, limits, mode)
+    return own.select("path", F.to_json(F.struct(F.lit(__version__).alias("engine_version"), F.col("path").alias("file"), "document_type", F.struct(*_metadata(own)).alias("metadata"), "signals")).alias("value"))
 
 
 def audit_jsonl(pk: DataFrame, limits: Limits = LIMITS) -> DataFrame:
-    """path and one JSON line a package: document type, metadata and signals, or the error."""
+    """path and one JSON line a package: its audit or its error, and its warnings if there are any."""
     own = read_audit(pk, limits, "permissive")
-    meta = [c for c in own.columns if c not in ("path", "document_type", "signals", "warnings", "error")]
-    record = F.struct(F.col("path").alias("file"), "document_type", F.when(F.col("error").isNull(), F.struct(F.col("path").alias("file"), *meta)).alias("metadata"), "signals", "error")
-    return own.select("path", F.to_json(record).alias("value"))
+    audit = F.struct(F.lit(__version__).alias("engine_version"), F.col("path").alias("file"), "document_type", F.struct(*_metadata(own)).alias("metadata"), "signals")
+    kind = F.coalesce("document_type", F.lit("unknown"))
+    return own.select("path", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col("path").alias("file"), kind.alias("document_type"), F.when(F.col("error").isNull(), audit).alias("audit"), "error", _some())).alias("value"))
+
+
+def audit_text(pk: DataFrame, limits: Limits = LIMITS) -> DataFrame:
+    """The number of a package's signals, then a line each."""
+    own = read_audit(pk, limits)
+    lines = F.transform("signals", lambda s: F.concat(F.lit("- "), s["severity"], F.lit(" "), s["kind"], F.lit(" "), s["path"], F.lit(": "), s["message"]))
+    return own.select("path", F.explode(F.concat(F.array(F.concat(F.lit("signal_count: "), F.size("signals").cast("string"))), lines)).alias("line"))
 
 
 def joined_text(pk: DataFrame, order: list[str] | None = None, limits: Limits = LIMITS) -> str:
@@ -388,16 +443,16 @@ def sheet_list_text(pk: DataFrame, include_hidden: bool = False) -> DataFrame:
 
 
 def export_all_sheets(pk: DataFrame, folder: str, delimiter: str = ",", formatted: bool = False, include_hidden: bool = False) -> DataFrame:
-    """Writes a CSV file for each sheet of each package below ``folder``, and the manifest beside them; gives the manifest.
+    """Writes a CSV file for each sheet of each package, in a folder of the package below ``folder``, and its manifest beside them.
 
-    A sheet's file is written by the task that reads it, row by row, in a folder that all tasks share; a sheet that fails
-    keeps the rows before and has its error in the manifest.
+    A sheet's file is written by the task that reads it, row by row, so ``folder`` is one that all tasks share; a sheet that
+    fails keeps the rows before. Gives a row a sheet: path, index, name, visibility, csv_path, warnings, error; a package that
+    can't be read has one without a sheet.
     """
     own = parse_delimiter(delimiter)
     scanned = scan_rows(pk, all_sheets=True, include_hidden=include_hidden, formatted=formatted, mode="permissive")
-    lines = scanned.select(
-        "path", "sheet_index", "sheet_name", C.slug(F.col("sheet_name")).alias("slug"), "row_ord", F.when(F.col("row_ord").isNotNull(), C.csv_line(F.col("cells"), F.col("date1904"), own, formatted)).alias("line"), F.col("error.code").alias("code"), F.col("error.message").alias("message")
-    )
+    line = F.when(F.col("row_ord").isNotNull(), C.csv_line(F.col("cells"), F.col("date1904"), own, formatted))
+    lines = scanned.select("path", "sheet_index", "sheet_name", C.slug(F.col("sheet_name")).alias("slug"), line.alias("line"), F.to_json(F.struct("warnings", "error")).alias("status"))
 
     def write(batches):
         import pandas as pd
@@ -407,27 +462,36 @@ def export_all_sheets(pk: DataFrame, folder: str, delimiter: str = ",", formatte
             out = []
             for r in pdf.itertuples(index=False):
                 if pd.isna(r.sheet_index):
-                    out.append((r.path, None, None, None, r.code, r.message))
+                    out.append((r.path, None, None, None, r.status))
                     continue
                 key = (r.path, int(r.sheet_index))
                 if key != at:
                     if target:
                         target.close()
-                    stem = Path(re.sub(r"^[a-z]+:/*", "/", r.path)).stem
-                    where = Path(folder) / stem
+                    where = Path(folder) / _stem(r.path)
                     where.mkdir(parents=True, exist_ok=True)
-                    target, at = (where / f"{key[1]:03d}-{r.slug}.csv").open("w", encoding="utf-8", newline=""), key
-                if not pd.isna(r.row_ord):
+                    target, at = open(where / f"{key[1]:03d}-{r.slug}.csv", mode="w", newline="", encoding="utf-8"), key
+                if r.line is not None:
                     target.write(f"{r.line}\n")
                 else:
                     target.close()
-                    out.append((r.path, key[1], r.sheet_name, Path(target.name).name, r.code, r.message))
+                    out.append((r.path, key[1], r.sheet_name, Path(target.name).name, r.status))
                     target = at = None
-            yield pd.DataFrame(out, columns=["path", "sheet_index", "sheet_name", "file", "code", "message"])
-
-    found = lines.mapInPandas(write, "path string, sheet_index int, sheet_name string, file string, code string, message string").collect()
-    spark = pk.sparkSession
-    manifest = [r.asDict() for r in sorted(found, key=lambda r: (r.path, r.sheet_index or 0))]
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    (Path(folder) / "manifest.json").write_text(json.dumps({"schema_version": 1, "sheets": manifest}, ensure_ascii=False, indent=2), encoding="utf-8")
-    return spark.createDataFrame(manifest or [], "path string, sheet_index int, sheet_name string, file string, code string, message string")
+            yield pd.DataFrame(out, columns=["path", "index", "name", "csv_path", "status"])
+
+    found = lines.mapInPandas(write, "path string, index int, name string, csv_path string, status string").collect()
+    states = {(r.path, r["index"]): r.visibility for r in shred.sheets(pk, include_hidden, LIMITS, "dropmalformed").select("path", F.inline("sheets")).collect()}
+    rows = []
+    for r in sorted(found, key=lambda r: (r.path, r["index"] or 0)):
+        status = json.loads(r.status)
+        rows.append({"path": r.path, "index": r["index"], "name": r.name, "visibility": states.get((r.path, r["index"])), "csv_path": r.csv_path, "warnings": status.get("warnings") or [], "error": status.get("error")})
+    for path in dict.fromkeys(r["path"] for r in rows):
+        sheets = [{k: v for k, v in r.items() if k != "path" and v is not None} for r in rows if r["path"] == path and r["index"] is not None]
+        where = Path(folder) / _stem(path)
+        where.mkdir(parents=True, exist_ok=True)
+        (where / "manifest.json").write_text(json.dumps({"engine_version": __version__, "file": path, "sheets": sheets}, ensure_ascii=False, indent=2), encoding="utf-8")
+    return pk.sparkSession.createDataFrame(rows, f"path string, index int, name string, visibility string, csv_path string, warnings array<{E.WARNING_TYPE}>, error {E.ERROR_TYPE}")
+
+
+def _stem(path: str) -> str:
+    return Path(re.sub(r"^[a-z0-9]+:/*", "/", path)).stem

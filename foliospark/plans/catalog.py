@@ -219,7 +219,7 @@ SELECT 'events-' || g || '.xlsx' AS path, c AS column_index, chr(65 + c) AS colu
 FROM b, (SELECT CAST(unnest(range(7)) AS INT) AS c)""")
 def xlsx_infer_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = api.infer_schema(events_packages(spark, sf_dir))
-    return found.select("path", "column_index", "column", "type", "nullable", "examined_rows", F.array_join("warnings", "; ").alias("warnings"))
+    return found.select("path", "column_index", "column", "type", "nullable", "examined_rows", F.array_join(F.transform("warnings", lambda w: w["message"]), "; ").alias("warnings"))
 
 
 # Sheets.

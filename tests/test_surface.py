@@ -5,7 +5,7 @@ import json
 import duckdb
 import pytest
 
-from foliospark import api
+from foliospark import __version__, api
 from foliospark.plans import catalog
 from foliospark.plans import forge as G
 
@@ -38,12 +38,18 @@ def test_json_forms(spark):
     lines = {r.path: json.loads(r.value) for r in api.text_jsonl(pk).collect()}
     assert lines["a.docx"] == dict(file="a.docx", document_type="docx", text="hi\n")
     assert lines["b.docx"]["error"]["code"] == "E002"
-    assert json.loads(api.info_json(pk.where("path = 'a.docx'")).first().value) == dict(file="a.docx", author="A", custom_properties={"k": "v"}, has_macros=False)
+    assert json.loads(api.info_json(pk.where("path = 'a.docx'")).first().value) == dict(engine_version=__version__, file="a.docx", author="A", custom_properties={"k": "v"}, has_macros=False)
     audits = {r.path: json.loads(r.value) for r in api.audit_jsonl(pk).collect()}
-    assert audits["a.docx"]["signals"][0]["kind"] == "custom_properties" and audits["b.docx"]["error"]["code"] == "E002"
+    assert audits["a.docx"]["audit"]["signals"][0]["kind"] == "custom_properties" and audits["b.docx"]["error"]["code"] == "E002"
     rows = json.loads(api.rows_jsonl(api.from_bytes(spark, [("q\"x.xlsx", G.workbook([("S", "", G.sheet_xml([G.cell(1, 0, "str", 'a"\n\\') + G.cell(1, 1, "b", 1)]))]))]), sheet="S").first().value)
     own = dict(column_index=0, kind="string", raw='a"\n\\', value='a"\n\\', has_formula=False)
     assert rows == dict(schema_version=1, file='q"x.xlsx', sheet_name="S", row_index=0, cells=[own, dict(column_index=1, kind="boolean", raw="1", value=True, has_formula=False)])
+    one = pk.where("path = 'a.docx'")
+    assert json.loads(api.structured_json(one).first().value)["blocks"][0]["ordinal"] == 1
+    assert json.loads(api.tables_json(one).first().value) == dict(schema_version=1, file="a.docx", document_type="docx", tables=[], warnings=[])
+    assert json.loads(api.audit_json(one).first().value)["metadata"]["author"] == "A" and json.loads(api.text_json(one).first().value)["text"] == "hi\n"
+    assert [r.line for r in api.audit_text(one).collect()] == ["signal_count: 1", "- info custom_properties docProps/custom.xml: 1 custom document properties are present"]
+    assert [r.line for r in api.info_text(one).collect()] == ["file: a.docx", "author: A", "has_macros: false"]
     assert api.joined_text(api.from_bytes(spark, [("1", doc), ("2", doc)])) == "hi\n\n---\nhi\n"
     assert api.relationships(pk.where("path = 'a.docx'")).first().part == "word/document.xml"
 

@@ -166,10 +166,12 @@ def test_modes_and_limits(spark):
 
 def test_all_sheets_with_manifest(spark, tmp_path):
     pk = api.from_bytes(spark, [("dir/book.xlsx", BOOK)])
-    got = api.export_all_sheets(pk, str(tmp_path / "out"), include_hidden=True).orderBy("sheet_index").collect()
-    assert [r.file for r in got] == ["001-sales-q1.csv", "002-hidden.csv", "003-twice.csv", "004-twice.csv", "005-ops-q1.csv"]
+    got = api.export_all_sheets(pk, str(tmp_path / "out"), include_hidden=True).orderBy("index").collect()
+    assert [r.csv_path for r in got] == ["001-sales-q1.csv", "002-hidden.csv", "003-twice.csv", "004-twice.csv", "005-ops-q1.csv"]
     assert (tmp_path / "out/book/005-ops-q1.csv").read_text() == "4\n"
-    assert len(json.loads((tmp_path / "out/manifest.json").read_text())["sheets"]) == 5
+    assert [r.visibility for r in got] == ["visible", "hidden", "visible", "visible", "veryHidden"]
+    manifest = json.loads((tmp_path / "out/book/manifest.json").read_text())
+    assert manifest["file"] == "dir/book.xlsx" and len(manifest["sheets"]) == 5 and manifest["sheets"][1]["warnings"] == []
 
 
 def test_inference(spark):
@@ -185,12 +187,15 @@ def test_inference(spark):
         "A": ("float64", False, ["int64", "float64"]), "B": ("float64", True, ["float64", "int64", "null"]), "C": ("utf8", False, ["utf8", "int64"]), "D": ("utf8", False, ["bool", "utf8"]),
         "E": ("utf8", True, ["null", "utf8"]), "F": ("date", True, ["date", "null"]), "G": ("null", True, ["null"]),
     }
-    assert list(got["D"].warnings) == ["D: invalid boolean encoding at worksheet row 1; inferred utf8", "D: observed utf8 after bool at worksheet row 1; promoted to utf8"]
-    assert list(got["C"].warnings) == ["C: observed int64 after utf8 at worksheet row 1; promoted to utf8"] and list(got["A"].warnings) == []
+    said = {k: [w.message for w in r.warnings] for k, r in got.items()}
+    assert said["D"] == ["D: invalid boolean encoding at worksheet row 1; inferred utf8", "D: observed utf8 after bool at worksheet row 1; promoted to utf8"]
+    assert said["C"] == ["C: observed int64 after utf8 at worksheet row 1; promoted to utf8"] and said["A"] == []
     sampled = {r.column: r.type for r in api.infer_schema(pk, sample_rows=1).collect()}
     assert sampled == {"A": "int64", "B": "float64", "C": "utf8", "D": "bool", "E": "null", "F": "date"}
     report = json.loads(api.schema_report(pk).first().value)
-    assert report["header_policy"] == "none" and len(report["columns"]) == 7
+    assert report["header_policy"] == "none" and len(report["columns"]) == 7 and report["scan"] == {"mode": "full", "examined_rows": 3}
+    assert [(w["code"], w["column_index"]) for w in report["warnings"]] == [("type_conflict", 2), ("utf8_fallback", 3), ("type_conflict", 3), ("utf8_fallback", 4)]
+    assert json.loads(api.schema_report(pk, 1).first().value)["warnings"][-1]["code"] == "sampled_result"
 
 
 KINDS = st.sampled_from([None, "i", "f", "s", "b", "e", "blank"])
