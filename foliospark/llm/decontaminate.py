@@ -85,7 +85,7 @@ class Automaton:
         return new
 
     def stream(self, words: list[int]) -> tuple[list[tuple[int, int]], int]:
-        """Merged (first, end) of the words that go, and the longest match."""
+        """Merged (first, end) of the words that go, and the longest run of them in an item."""
         v = n = most = 0
         out: list[tuple[int, int]] = []
         for i, c in enumerate(words):
@@ -95,9 +95,8 @@ class Automaton:
             if c not in self.next[v]:
                 continue
             v, n = self.next[v][c], n + 1
-            most = max(most, n)
             if gone := n if self._goes(n, v) else self.best[self.link[v]]:
-                first = i + 1 - gone
+                most, first = max(most, gone), i + 1 - gone
                 while out and out[-1][1] >= first:
                     first = min(first, out.pop()[0])
                 out.append((first, i + 1))
@@ -122,7 +121,7 @@ class Matcher:
                 group, size = [], 0
 
     def spans(self, owner: np.ndarray, h: np.ndarray) -> tuple[dict[int, list[tuple[int, int]]], dict[int, int]]:
-        """By text, the merged (first, end) words that go, numbered over all texts, and the longest match."""
+        """By text, the merged (first, end) words that go, numbered over all texts, and the longest run of them in an item."""
         hits = self.seeds.find(K.gram_hashes(h, owner, self.q))
         if not hits.size:
             return {}, {}
@@ -237,4 +236,31 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contaminated documents: what was found in them and their cleaned text."""
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_removed > 0")
-    return found.select("doc_id", "n_words", "n_removed", "longest", F.size("spans").alias("n_spans"), "spans", "text")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_removed", "longest", F.size("spans").cast("bigint").alias("n_spans"), spans.alias("spans"), "text")
+
+
+_WORD = r"[\p{L}\p{N}\p{M}]+"
+#: An item of n words asks for runs of k, the least that goes; runs of k words are joined, and those on one diagonal are one match.
+ORACLE_SQL = rf"""
+WITH item_words AS (SELECT row_number() OVER () AS item, regexp_extract_all(lower(text), '{_WORD}') AS w FROM (SELECT DISTINCT text FROM benchmark WHERE text IS NOT NULL)),
+sized AS (SELECT item, w, CAST(CASE WHEN len(w) >= {LEAST_ITEM} THEN least({LENGTH_LIMIT}, ceil({COVERAGE_LIMIT} * len(w))) ELSE {LENGTH_LIMIT} END AS BIGINT) AS k FROM item_words WHERE len(w) > 0),
+item_grams AS (SELECT item, k, j, array_to_string(w[j : j + k - 1], ' ') AS gram FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM sized)),
+doc_words AS (SELECT doc_id, text, regexp_extract_all(lower(text), '{_WORD}') AS w FROM documents WHERE text IS NOT NULL),
+doc_grams AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS gram FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc_words, (SELECT DISTINCT k FROM sized))),
+hits AS (SELECT doc_id, item, k, i, i - j AS diagonal FROM doc_grams JOIN item_grams USING (k, gram)),
+runs AS (SELECT doc_id, count(*) + k - 1 AS n FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, diagonal ORDER BY i) AS island FROM hits) GROUP BY doc_id, item, k, diagonal, island),
+longest AS (SELECT doc_id, max(n) AS longest FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS word FROM hits),
+spans AS (SELECT doc_id, min(word) AS a, max(word) AS z FROM (SELECT *, word - row_number() OVER (PARTITION BY doc_id ORDER BY word) AS island FROM gone) GROUP BY doc_id, island),
+listed AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, string_agg((a - 1) || '-' || (z - 1), ',' ORDER BY a) AS spans FROM spans GROUP BY doc_id),
+pieces AS (
+  SELECT doc_id, pos, piece, is_word, sum(CAST(is_word AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY pos) AS word
+  FROM (SELECT doc_id, pos, piece, regexp_matches(piece, '^{_WORD}') AS is_word
+        FROM (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, regexp_extract_all(text, '{_WORD}|[^\p{{L}}\p{{N}}\p{{M}}]+') AS p FROM doc_words SEMI JOIN gone USING (doc_id))))),
+cleaned AS (
+  SELECT p.doc_id, coalesce(string_agg(piece, '' ORDER BY pos) FILTER (NOT (g.word IS NOT NULL AND (is_word OR h.word IS NOT NULL))), '') AS text
+  FROM pieces p LEFT JOIN gone g ON g.doc_id = p.doc_id AND g.word = p.word LEFT JOIN gone h ON h.doc_id = p.doc_id AND h.word = p.word + 1 GROUP BY p.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, CAST(longest AS BIGINT) AS longest, CAST(n_spans AS BIGINT) AS n_spans, spans, c.text
+FROM listed JOIN longest USING (doc_id) JOIN cleaned c USING (doc_id) JOIN doc_words USING (doc_id)
+"""

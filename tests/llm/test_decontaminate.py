@@ -88,3 +88,12 @@ def test_whole_table_against_brute_force(spark):
         if gone:
             want[r.doc_id] = len(gone)
     assert {r.doc_id: r.n_removed for r in D.query(spark, sf).collect()} == want
+
+
+def test_whole_table_equals_the_sql(spark):
+    import duckdb
+
+    for t in ("documents", "benchmark"):
+        duckdb.execute(f"create or replace view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    want = sorted(duckdb.execute(D.ORACLE_SQL).fetchall())
+    assert want and sorted(tuple(r) for r in D.query(spark, "/root/testdata/sf0.001").collect()) == want
