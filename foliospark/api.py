@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
@@ -125,6 +125,16 @@ def visit_rows(pk: DataFrame, formatted: bool = False, **options) -> DataFrame:
     return rows.select("path", "sheet_index", "sheet_name", "row_ord", "row_index", typed.alias("cells"))
 
 
+def for_each_row(pk: DataFrame, callback: Callable[[Row], bool | None], formatted: bool = False, **options) -> int:
+    """Calls back with each worksheet row, in order, until it gives False; the number of calls. Rows come to the driver a partition at a time."""
+    n = 0
+    for row in visit_rows(pk, formatted, **options).orderBy("path", "sheet_index", "row_ord").toLocalIterator():
+        n += 1
+        if callback(row) is False:
+            break
+    return n
+
+
 def cells(pk: DataFrame, formatted: bool = False, **options) -> DataFrame:
     """One row a cell."""
     return visit_rows(pk, formatted, **options).select("path", "sheet_index", "sheet_name", "row_ord", "row_index", F.inline("cells"))

@@ -335,4 +335,5 @@ def _public(table: dict) -> dict:
             cells.append({"cell_ordinal": j, "grid_start": at, "grid_span": cell["grid_span"], "vertical_merge": cell["vertical_merge"], "complete": True, "blocks": own})
             at += cell["grid_span"]
         rows.append({"row_ordinal": i, "grid_before": row["grid_before"], "grid_after": row["grid_after"], "complete": True, "cells": cells})
-    return {"complete": table["complete"], "grid_column_count": table["grid_column_count"], "rows": rows}
+    counted = {} if table["grid_column_count"] is None else {"grid_column_count": table["grid_column_count"]}
+    return {"complete": table["complete"], **counted, "rows": rows}

@@ -114,7 +114,7 @@ _CELL_SQL = (
 
 def _flat(table: dict, base: dict, nest: list[int]) -> Iterator[dict]:
     """The cells of a table and of those within it; nest holds row, cell and place of each table around."""
-    own = base | {"nest": nest, "table_complete": table["complete"], "grid_column_count": table["grid_column_count"]}
+    own = base | {"nest": nest, "table_complete": table["complete"], "grid_column_count": table.get("grid_column_count")}
     for row in table["rows"]:
         for cell in row["cells"]:
             yield own | {k: row[k] for k in ("row_ordinal", "grid_before", "grid_after")} | {k: cell[k] for k in ("cell_ordinal", "grid_start", "grid_span", "vertical_merge")} | {"paragraphs": [b["text"] for b in cell["blocks"] if b["type"] == "paragraph"]}

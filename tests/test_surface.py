@@ -112,3 +112,29 @@ def test_the_entry_works_without_the_other_subpackage(spark, monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(__spark_entry__)
+
+
+def test_contracts_read_what_is_written(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.contracts import CONTRACTS
+
+    doc = G.document("<w:tbl><w:tr><w:tc>" + G.paragraph("a") + "</w:tc></w:tr></w:tbl>", extra=G.properties({"creator": "A"}))
+    docs = api.from_bytes(spark, [("a.docx", doc)])
+    books = api.from_bytes(spark, [("a.xlsx", G.workbook([("S", "", G.sheet_xml([G.cell(1, 0, None, 1)]))]))])
+    made = {
+        "info": api.info_json(docs), "text": api.text_json(docs), "text-jsonl": api.text_jsonl(docs), "structured-text": api.structured_json(docs), "docx-tables": api.tables_json(docs), "audit": api.audit_json(docs),
+        "audit-jsonl": api.audit_jsonl(docs), "rows-jsonl": api.rows_jsonl(books), "schema": api.schema_report(books),
+    }
+    assert {*made, "manifest"} == set(CONTRACTS)
+    for name, df in made.items():
+        row = df.select("value", F.from_json("value", CONTRACTS[name], {"mode": "FAILFAST"}).alias("r"), F.schema_of_json(F.lit(df.first().value)).alias("kind")).first()
+        assert row.r.file in ("a.docx", "a.xlsx")
+        again = json.loads(df.select(F.to_json(F.from_json("value", CONTRACTS[name])).alias("v")).first().v)
+        assert again == json.loads(row.value)
+
+
+def test_a_callback_stops_the_rows(spark):
+    pk = api.from_bytes(spark, [("a.xlsx", G.workbook([("S", "", G.sheet_xml([G.cell(i, 0, None, i) for i in range(1, 9)]))]))])
+    seen = []
+    assert api.for_each_row(pk, lambda r: seen.append(r.row_index) or len(seen) < 3) == 3 and seen == [0, 1, 2]
