@@ -3,7 +3,8 @@
 A source of weight w has its block j released at slot floor(j / w), due by slot ceil((j + 1) / w): the Pfair windows of
 Baruah et al., "Proportionate Progress" (1996). One block goes into a slot; of the released ones the earliest deadline
 is next (ties by the source's place), which for weights that sum to 1 meets every deadline, so after any number of
-slots t each source has had w * t blocks give or take less than one.
+slots t each source has had w * t blocks give or take less than one. Blocks are cut from a source's running total of
+characters, so this holds for characters too.
 
 Weights are rounded to w = p / period with whole p, so the windows repeat with the period: the schedule of one period is
 made on the driver, and block j of a source stands in slot (j // p) * period + its slot of j % p. That is an expression,
@@ -17,11 +18,14 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.llm.common import cut, inner, only, table
 
 #: Characters of a block, slots of a period at least, and the power of a source's size that its weight follows.
 BLOCK_CHARS, PERIOD, POWER = 1 << 20, 1000, 0.7
+#: Characters, about, over which one group of rows is added up.
+BUCKET_CHARS = 1 << 24
 
 
 def whole_shares(weights: dict, period: int) -> dict:
@@ -68,22 +72,47 @@ def target_weights(sizes: dict, weights: dict | None, power: float) -> dict:
 
 
 def plan(docs: DataFrame, weights: dict | None, block_chars: int, period: int, power: float) -> DataFrame | None:
-    """One row a source: blocks, share of the period, period, its slots, and the slots of the whole mix. None without a source."""
+    """One row a source: characters, of it and of a block, buckets, share of the period, period, its slots, and the slots of the whole mix. None without a source.
+
+    A block is no longer than the smallest source, else that would have to come again and again only to fill its first.
+    """
     spark = docs.sparkSession
-    sizes = {r[0]: (r[1], r[2]) for r in only(docs, "source", "text").groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint")), F.count("*")).collect()}
-    wanted = target_weights({s: n for s, (n, _) in sizes.items()}, weights, power)
+    sizes = {r[0]: r[1] for r in only(docs, "source", "text").groupBy("source").agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))).collect()}
+    wanted = target_weights(sizes, weights, power)
     if not wanted:
         return None
-    period = max(period, 16 * len(wanted))
-    shares = whole_shares(wanted, period)
-    slots = schedule(shares, period)
-    blocks = {s: max(1, min(sizes[s][1], -(-sizes[s][0] // block_chars))) for s in wanted}
-    total = max(math.ceil(blocks[s] * period / shares[s]) for s in wanted)
-    rows = [(s, blocks[s], shares[s], period, slots[s], total) for s in sorted(wanted, key=str)]
-    made, _ = cut(spark.createDataFrame(rows, f"mix_source {docs.schema['source'].dataType.simpleString()}, n_blocks bigint, share bigint, period bigint, slots array<bigint>, n_slots bigint").coalesce(1))
+    mixed = {s: w for s, w in wanted.items() if sizes[s]}
+    block = min([block_chars, *(sizes[s] for s in mixed)])
+    period = max(period, 16 * len(mixed))
+    shares, slots = dict.fromkeys(wanted, 1), dict.fromkeys(wanted, [0])
+    if mixed:
+        shares |= (found := whole_shares(mixed, period))
+        slots |= schedule(found, period)
+    total = max((-(-(-(-sizes[s] // block) * period) // shares[s]) for s in mixed), default=1)
+    rows = [(s, sizes[s], block, -(-sizes[s] // BUCKET_CHARS) or 1, shares[s], period, slots[s], total) for s in sorted(wanted, key=str)]
+    made, _ = cut(spark.createDataFrame(rows, f"mix_source {docs.schema['source'].dataType.simpleString()}, n_chars bigint, block_chars bigint, n_buckets bigint, share bigint, period bigint, slots array<bigint>, n_slots bigint").coalesce(1))
     return made
 
 
+def starts(own: DataFrame, made: DataFrame, doc_id, text, source) -> DataFrame:
+    """The rows of own with their source's plan and mix_start, the characters of their source before them.
+
+    A source's rows stand in the order of buckets by hash, then hash. So the characters before a bucket come from one
+    aggregation with a row a bucket, and no task adds up more than a bucket.
+    """
+    # 0 and 1 keep the two kinds of key apart; a null text hashes to its seed.
+    key = F.when(doc_id.isNull(), F.xxhash64(F.lit(1), text)).otherwise(F.xxhash64(F.lit(0), doc_id))
+    length = F.coalesce(F.length(text), F.lit(0)).cast("bigint")
+    few = made.select("mix_source", "n_buckets")
+    keyed = lambda plans: own.join(plans, source.eqNullSafe(plans["mix_source"])).withColumn("mix_bucket", F.pmod(key, F.col("n_buckets")))
+    sums = keyed(few).groupBy("mix_source", "mix_bucket").agg(F.sum(length).alias("mix_sum"))
+    before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums, _ = cut(sums.select(F.col("mix_source").alias("at_source"), F.col("mix_bucket").alias("at_bucket"), F.coalesce(F.sum("mix_sum").over(before), F.lit(0)).alias("mix_before")))
+    inside = Window.partitionBy("mix_source", "mix_bucket").orderBy(key, doc_id, text).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = keyed(made.drop("slots")).withColumn("mix_inside", F.coalesce(F.sum(length).over(inside), F.lit(0)))
+    return ordered.join(sums, F.col("mix_source").eqNullSafe(F.col("at_source")) & (F.col("mix_bucket") == F.col("at_bucket"))).withColumn("mix_start", F.col("mix_before") + F.col("mix_inside"))
+
+
 NEW = ("mix_block", "mix_epoch", "mix_slot")
 
 
@@ -94,14 +123,16 @@ def _mixed(docs: DataFrame, weights: dict | None, block_chars: int, period: int,
     if made is None:
         return own.limit(0).select("*", *(F.lit(None).cast("bigint").alias(c) for c in NEW)), names
     doc_id, text, source = (own[f"_{names.index(c)}"] for c in ("doc_id", "text", "source"))
-    joined = own.join(made, source.eqNullSafe(made["mix_source"]))
-    # 0 and 1 keep the two kinds of key apart; a null text hashes to its seed.
-    key = F.when(doc_id.isNull(), F.xxhash64(F.lit(1), text)).otherwise(F.xxhash64(F.lit(0), doc_id))
-    j = F.col("mix_block") + F.col("mix_epoch") * F.col("n_blocks")
+    slots = made.select(F.col("mix_source").alias("slots_source"), "slots")
     placed = (
-        joined.withColumn("mix_block", F.pmod(key, F.col("n_blocks")))
-        .withColumn("mix_epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("(n_slots div period + 1) * share div n_blocks"))))
-        .withColumn("mix_slot", F.expr("((mix_block + mix_epoch * n_blocks) div share) * period") + F.element_at("slots", (j % F.col("share") + 1).cast("int")))
+        starts(own, made, doc_id, text, source)
+        # An empty text after a source's last character belongs to the last block.
+        .withColumn("mix_from", F.expr("least(mix_start, greatest(n_chars - 1, 0))"))
+        .withColumn("mix_block", F.expr("mix_from div block_chars"))
+        .withColumn("mix_epoch", F.explode(F.expr("sequence(0L, if(n_chars = 0, 0L, (n_slots div period + 1) * share * block_chars div n_chars))")))
+        .withColumn("mix_j", F.expr("(mix_epoch * n_chars + mix_from) div block_chars"))
+        .join(slots, F.col("mix_source").eqNullSafe(F.col("slots_source")))
+        .withColumn("mix_slot", F.expr("(mix_j div share) * period") + F.element_at("slots", (F.col("mix_j") % F.col("share") + 1).cast("int")))
         .where("mix_slot < n_slots")
     )
     order = ["mix_slot", f"_{names.index('doc_id')}"]
@@ -111,15 +142,20 @@ def _mixed(docs: DataFrame, weights: dict | None, block_chars: int, period: int,
 def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, period: int = PERIOD, power: float = POWER) -> DataFrame:
     """All columns of docs, then mix_block, mix_epoch and mix_slot, ordered by slot: the mix is read from top to bottom.
 
-    ``weights`` gives the share of each source; without it a source's weight is its characters to the ``power``, over all
-    rows. A source's rows fall into blocks of about ``block_chars`` by the hash of their identifier. The mix has as many
-    slots as let every source appear whole at least once; a source that needs more blocks than it has starts over, each
-    time an epoch, and the last may be partial. So no row is lost and the shares hold up to a block anywhere in the mix.
-
-    One aggregation with a row a source (that table, with the schedule, is written, so its size decides how it is
-    joined), then one exchange by ranges of slots. Null sources are a source of their own. A source with no or weight 0
-    in ``weights`` isn't part of the mix. A null text counts no characters, a null identifier goes by the text's hash,
-    repeated rows are each kept and share a block; a text of more than a block stays whole. Columns that have the
+    ``weights`` gives the share of each source in characters, rounded to the period, 1 of it at least; without it a
+    source's weight is its characters to the ``power``, over all rows. A source's rows, ordered by the hash of their
+    identifier, are one run of characters, started over as often as the mix needs, each time an epoch. Every
+    ``block_chars`` of that run, or the smallest source's characters if these are fewer, are a block and have a slot; a
+    row stands in the slot of its first character, and mix_block counts the blocks from the source's first row. The mix
+    has as many slots as let every source appear whole at least once; the last epoch may be partial. So no row is lost,
+    and anywhere in the mix a source's characters are its share of the slots' give or take a block and its longest text.
+
+    Two aggregations, with a row a source and a row a bucket of about 16 Mi characters (these tables are written, so
+    their size decides how they are joined), an exchange of the rows by bucket for the running totals, then one of the
+    mix by ranges of slots. Null sources are a source of their own. A source with no or weight 0 in ``weights`` isn't
+    part of the mix. A source without a character can have no share: its rows come once, in the first slot. A null text
+    counts no characters, a null identifier goes by the text's hash, repeated rows are each kept and follow each other;
+    a text of more than a block stays whole, and its source's next slots are those that it fills. Columns that have the
     new names are replaced. No rows, or no weight, give no rows.
     """
     found, names = _mixed(docs, weights, block_chars, period, power)

@@ -68,3 +68,50 @@ def test_rough_rows(rough, none):
     assert sorted(((r[0], r[1]) for r in first), key=str) == sorted(((r[0], r[1]) for r in rough.collect()), key=str)
     assert P.stage(rough).columns == [c for c in rough.columns if c != "mix_slot"]
     assert P.mix(none).collect() == [] and P.stage(none).collect() == []
+
+
+def off(got, weights, period, block):
+    """The largest deviation in characters of a source from its share of the slots so far, at any slot."""
+    shares, had, worst = P.whole_shares(weights, period), Counter(), Counter()
+    per_slot = {}
+    for r in got:
+        per_slot.setdefault(r.mix_slot, Counter())[r.source] += len(r.text)
+    for t in range(max(per_slot) + 1):
+        had.update(per_slot.get(t, {}))
+        for s, p in shares.items():
+            worst[s] = max(worst[s], abs(had[s] - p * (t + 1) / period * block))
+    return worst
+
+
+def test_shares_hold_in_characters_of_tiny_sources(spark):
+    sizes = {"a": 2000, "b": 11, "c": 1}  # c is less than a block, b just more than one
+    weights = {"a": 0.9, "b": 0.07, "c": 0.03}
+    got = P.mix(docs(spark, sizes, length=100), weights, block_chars=1000, period=100).collect()
+    chars = Counter()
+    for r in got:
+        chars[r.source] += len(r.text)
+    assert {r.doc_id for r in got if r.mix_epoch == 0} == {1000 * i + j for i, n in enumerate(sizes.values()) for j in range(n)}
+    for s, p in P.whole_shares(weights, 100).items():
+        assert abs(chars[s] - chars.total() * p / 100) <= 200  # a block and a text
+    assert max(off(got, weights, 100, 100).values()) <= 200
+
+
+def test_shares_hold_in_characters_of_long_documents(spark):
+    long = [(j, "x" * 1000, "long") for j in range(100)] + [(1000, "x" * 5500, "long")]
+    rows = long + [(10_000 + j, "y" * 100, "short") for j in range(1000)] + [(20_000, "", "short"), (20_001, None, "short"), (20_002, "", "empty")]
+    got = P.mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string").fillna(""), {"long": 1, "short": 1, "empty": 1}, block_chars=1024, period=100).collect()
+    worst = off(got, {"long": 1, "short": 1}, 100, 1024)
+    assert worst["long"] <= 1024 + 5500 and worst["short"] <= 1024 + 100
+    assert {r.doc_id for r in got if r.mix_epoch == 0} == {r[0] for r in rows}
+    assert [(r.mix_slot, r.mix_epoch) for r in got if r.source == "empty"] == [(0, 0)]
+
+
+def test_running_totals_go_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(P, "BUCKET_CHARS", 700)
+    rows = [(i, "x" * (i % 37), "ab"[i % 2]) for i in range(600)]
+    own = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    made = P.plan(own, None, 500, 100, 1.0)
+    got = P.starts(own, made, own["doc_id"], own["text"], own["source"]).collect()
+    for s in "ab":
+        mine = sorted((r.mix_start, r.mix_start + len(r.text)) for r in got if r.source == s)
+        assert len(mine) == 300 and mine[0][0] == 0 and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
