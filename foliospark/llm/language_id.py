@@ -8,6 +8,8 @@ of a few words would be stored as it is and cost the same in every language. The
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -36,24 +38,23 @@ def interleaved(texts: list[str], most: int) -> bytes:
     return "\n".join(out).encode()[-most:]
 
 
-def fit_dictionaries(docs: DataFrame, per_language: int = 60, max_languages: int = 64, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
+def fit_dictionaries(docs: DataFrame, per_language: int = 60, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
     """A dictionary for each language in docs.lang, from at most ``per_language`` rows of each, those of the least hash.
 
-    These bounds are what the fit may see: of more than ``max_languages`` labels the most frequent count. The
-    choice reads only doc_id and lang and keeps a few rows a partition; texts are fetched for the chosen rows.
-    Rows without a label, an identifier or a text don't take part.
+    These bounds are what the fit may see of a language; every label counts, however many there are. The
+    choice reads only doc_id and lang and keeps a few rows a partition; texts are fetched for the chosen rows, and
+    the driver has those of a partition at a time. Rows without a label, an identifier or a text don't take part.
     """
     docs = only(docs, "doc_id", "lang", "text")
     narrow = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang")
-    top = [r.lang for r in narrow.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = narrow.where(F.col("lang").isin(top)).withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= per_language)
-    ids = sorted({r.doc_id for r in chosen.select("doc_id").collect()})  # per_language * max_languages at most
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isin(top) & F.col("text").isNotNull()).dropDuplicates(["doc_id"]).collect() if ids else []
-    by: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: r.doc_id):
-        by.setdefault(r.lang, []).append(r.text)
-    return {lang: d for lang, texts in sorted(by.items()) if len(d := interleaved(texts, dictionary_bytes)) >= 8}
+    chosen = narrow.withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= per_language).select("doc_id", "lang").distinct()
+    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id")
+    out: dict[str, bytes] = {}
+    for lang, own in groupby(rows.toLocalIterator(), key=lambda r: r.lang):
+        if len(d := interleaved([r.text for r in own], dictionary_bytes)) >= 8:
+            out[lang] = d
+    return out
 
 
 class Classifier:

@@ -43,3 +43,27 @@ def test_without_labels_all_is_rejected_and_ties_are(spark, rough):
     bare = rough.select("doc_id", rough["n_chars"], F.lit(None).cast("string").alias("lang"), F.lit("words").alias("text"))
     assert not any(r.lang_keep for r in L.identify(bare).collect())
     assert L.Classifier({"a": b"same same same", "b": b"same same same"}, 0.001)("same words") [1:] == (0.0, False)
+
+
+def test_every_label_has_a_dictionary(spark):
+    import random
+
+    def text(rng, words):
+        return "\n".join(" ".join(rng.choices(words, k=12)) for _ in range(6))
+
+    rows = []
+    for n in range(70):
+        rng = random.Random(n)
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(40)]
+        # The labels differ in frequency, so that a cap would take the last ones.
+        rows += [(100 * n + i, f"l{n:02}", text(rng, words)) for i in range(3 + (n < 40))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    assert sorted(L.fit_dictionaries(docs)) == [f"l{n:02}" for n in range(70)]
+    got = L.identify(docs).collect()
+    assert len(got) == len(rows) and all(r.predicted_lang == r.lang and r.lang_keep for r in got)
+    assert L.stage(docs).count() == len(rows)
+
+
+def test_a_label_keeps_its_rows_where_identifiers_are_shared(spark):
+    docs = spark.createDataFrame([(1, "a", "some words of a kind"), (1, "b", "andere Worte einer Art")], "doc_id bigint, lang string, text string")
+    assert L.fit_dictionaries(docs) == {"a": b"some words of a kind", "b": b"andere worte einer art"}
