@@ -20,7 +20,7 @@ from foliospark.llm import kernels as K
 from foliospark.llm import license_templates
 from foliospark.llm.common import chunks, only, table
 
-#: Words that ``.+`` stands for at most.
+#: Words of any kind that ``.+`` stands for at most; besides, it runs to the next mandatory word, however far that is.
 MOST = 20
 MARKUP = re.compile(r"<<(beginOptional|endOptional|var;[^<>]*)>>")
 ANY = -1
@@ -35,16 +35,18 @@ def words_of(text: str) -> tuple[list[str], list[int]]:
 
 
 class Nfa:
-    """Edges by state: (word hash or ANY, next); free moves; accepted licence by state."""
+    """Edges by state: (word hash or ANY, next); those for all words but one: (that word, next); free moves; accepted licence by state."""
 
     def __init__(self):
         self.edges: list[list[tuple[int, int]]] = []
+        self.others: list[list[tuple[int, int]]] = []
         self.free: list[list[int]] = []
         self.accepts: dict[int, int] = {}
         self.start = self.state()
 
     def state(self) -> int:
         self.edges.append([])
+        self.others.append([])
         self.free.append([])
         return len(self.edges) - 1
 
@@ -55,13 +57,19 @@ class Nfa:
             at = new
         return at
 
-    def variable(self, at: int, match: str) -> int:
+    def variable(self, at: int, match: str, until: int | None = None) -> int:
+        """``until`` is the mandatory word that follows, if one does."""
         lengths = (1, MOST) if match == ".+" else tuple(map(int, m.groups())) if (m := _LENGTHS.fullmatch(match)) else None
         end = self.state()
         if lengths is None:
             for option in match.split("|"):
                 self.free[self.literal(at, option)].append(end)
             return end
+        if match == ".+" and until is not None:
+            new = self.state()
+            self.others[at].append((until, new))
+            self.others[new].append((until, new))
+            self.free[new].append(end)
         for i in range(lengths[1] + 1):
             if i >= lengths[0]:
                 self.free[at].append(end)
@@ -75,7 +83,8 @@ class Nfa:
         at = self.state()
         self.free[self.start].append(at)
         open_: list[int] = []
-        for i, part in enumerate(MARKUP.split(template)):
+        parts = MARKUP.split(template)
+        for i, part in enumerate(parts):
             if i % 2 == 0:
                 at = self.literal(at, part)
             elif part == "beginOptional":
@@ -91,7 +100,7 @@ class Nfa:
                 found = re.search(r'match="([^"]*)"', part)
                 if not found:
                     raise ValueError(f"var without match: {part}")
-                at = self.variable(at, found[1])
+                at = self.variable(at, found[1], next(iter(words_of(parts[i + 1])[1]), None))
         if open_:
             raise ValueError("beginOptional without endOptional")
         self.accepts[at] = licence
@@ -112,8 +121,8 @@ class Nfa:
             for q in self.closure([s]):
                 if q in self.accepts:
                     raise ValueError("a template needs at least two words")
-                out |= {(first, w) for w, _ in self.edges[q]}
-        if any(first == ANY for first, _ in out):
+                out |= {(first, w) for w, _ in self.edges[q]} | {(first, ANY) for _ in self.others[q]}
+        if any(first == ANY for first, _ in out) or any(self.others[q] for q in self.closure([self.start])):
             raise ValueError("a template can't begin with replaceable words")
         return out
 
@@ -153,7 +162,7 @@ class Automaton:
         if word not in self.vocabulary:
             word = ANY
         if (to := self.moves[i].get(word)) is None:
-            after = self.nfa.closure([s for q in self.sets[i] for w, s in self.nfa.edges[q] if w in (word, ANY)])
+            after = self.nfa.closure([s for q in self.sets[i] for w, s in self.nfa.edges[q] if w in (word, ANY)] + [s for q in self.sets[i] for w, s in self.nfa.others[q] if w != word])
             to = self.moves[i][word] = self._id(after) if after else -1
         return to
 

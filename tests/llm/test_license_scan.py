@@ -108,3 +108,57 @@ def test_whole_table_against_lines(spark):
     lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "All-Rights-Reserved"}
     want = sorted((r.doc_id, lines[x]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for x in r.text.split("\n") if x in lines)
     assert sorted((r.doc_id, r.license) for r in L.query(spark, sf).collect()) == want
+
+
+def filled(template, **names):
+    """The template as a text: the variables of the given names, else the first alternative; options left out."""
+    template = re.sub(r"<<beginOptional>>((?!<<beginOptional>>).)*?<<endOptional>>", " ", template)
+    return re.sub(r'<<var;name="(\w+)";match="([^"]*)">>', lambda m: names.get(m[1], "Some One" if m[2].startswith(".") else m[2].split("|")[0]), template)
+
+
+@pytest.mark.parametrize("name", ["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "Unlicense", "MPL-2.0", "Zlib", "BSL-1.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"])
+def test_a_text_altered_in_its_last_clause_is_none(name):
+    for text in {n: t for n, _, t in license_templates.TEMPLATES}[name]:
+        words = filled(text).split()
+        if len(words) > 30:
+            assert names(" ".join(words)) == [name]
+            assert names(" ".join([*words[:-3], "changed", *words[-2:]])) == []
+            assert names(" ".join(words[:-3])) == []
+
+
+def test_standard_notices_and_tags():
+    notice = """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General
+    Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later
+    version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+    warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.
+    You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free
+    Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA"""
+    assert names(notice) == ["LGPL-2.1"]
+    affero = notice.replace("Lesser", "Affero").replace("library", "program").replace("2.1", "3")
+    assert names(affero) == ["AGPL-3.0"]
+    assert names("This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0") == ["EPL-2.0"]
+    for tag, want in (("MIT", "MIT"), ("MIT-0", "MIT-0"), ("LGPL-2.1-or-later", "LGPL-2.1"), ("0BSD", "0BSD"), ("CC-BY-NC-SA-4.0", "CC-BY-NC-SA-4.0")):
+        assert names(f"# SPDX-License-Identifier: {tag}") == [want]
+
+
+def test_names_run_to_the_next_mandatory_word():
+    text = {n: t for n, _, t in license_templates.TEMPLATES}["BSD-3-Clause"][0]
+    long = " ".join(["Institute of Very Long Names"] * 30)
+    once = filled(text, holder=long, organisation=long)
+    assert names(once) == ["BSD-3-Clause"]
+    assert names(f"{once} and {filled(text)}") == ["BSD-3-Clause", "BSD-3-Clause"]
+
+
+def test_isc_and_mpl_need_their_last_clauses():
+    isc = """Copyright (c) 2020, Some One. Permission to use, copy, modify, and/or distribute this software for any purpose with or
+    without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE
+    SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+    WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR
+    CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT,
+    NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+    mpl = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+    distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+    assert names(isc) == ["ISC"] and names(mpl) == ["MPL-2.0"]
+    assert names(isc.replace("USE OR PERFORMANCE", "USE")) == [] and names(isc[: isc.index("IN NO EVENT")]) == []
+    assert names(mpl.replace("was not", "was")) == []
+    assert names("This is free and unencumbered software released into the public domain, for a fee.") == []
