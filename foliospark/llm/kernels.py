@@ -76,8 +76,35 @@ def classes(buf: np.ndarray) -> np.ndarray:
     return kind
 
 
-def words(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and text of each run of letters, marks and digits."""
+#: Scripts that don't part words: each of their letters, marks and digits is taken as a word.
+UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+#: A word in SQL (RE2), for lower-cased texts; matches of the first branch that aren't letters, marks or digits are none.
+WORD_SQL = rf"[{UNSPACED}]|(?:[^\P{{L}}{UNSPACED}]|[^\P{{N}}{UNSPACED}]|[^\P{{M}}{UNSPACED}])+"
+
+
+@functools.cache
+def unspaced() -> np.ndarray:
+    """Of every code point, whether it is a word by itself."""
+    out = np.zeros(0x110000, bool)
+    text = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for m in regex.finditer(rf"[{UNSPACED}]+", text):
+        out[ord(m[0][0]) : ord(m[0][-1]) + 1] = True
+    return out & IS_WORD[code_points()]
+
+
+def alone(buf: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """The first bytes of characters that are words by themselves."""
+    at = np.flatnonzero((buf >= 0xE0) & IS_WORD[kind])
+    if not at.size:
+        return at
+    b = np.concatenate([buf, np.zeros(3, np.uint8)])
+    b0, b1, b2, b3 = (b[at + i].astype(np.int32) for i in range(4))
+    cp = np.where(b0 < 0xF0, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63, (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63)
+    return at[unspaced()[np.minimum(cp, 0x10FFFF)]]
+
+
+def words(kind: np.ndarray, offsets: np.ndarray, buf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and text of each run of letters, marks and digits; with ``buf``, characters of unspaced scripts are words each."""
     w = IS_WORD[kind]
     if not w.size:
         return (np.zeros(0, np.int64),) * 3
@@ -88,6 +115,11 @@ def words(kind: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first, last = offsets[full], offsets[full + 1] - 1
     start[first] = w[first]
     end[last] = w[last]
+    if buf is not None and (at := alone(buf, kind)).size:
+        after = at + 3 + (buf[at] >= 0xF0)
+        start[at], end[after - 1] = True, True
+        start[after[after < w.size]] |= w[after[after < w.size]]
+        end[at[at > 0] - 1] |= w[at[at > 0] - 1]
     starts = np.flatnonzero(start)
     return starts, np.flatnonzero(end) + 1, np.searchsorted(offsets, starts, "right") - 1
 
@@ -132,14 +164,34 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
-def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The column's bytes and, for each word of its texts, start, end, text and the hash of its lower case."""
+def hashed_words(column: pa.Array, units: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The column's bytes and, for each word of its texts, start, end, text and the hash of its lower case; ``units``: see words()."""
     column, buf, offsets = texts_of(column)
     low = texts_of(lower(column))[1]
-    start, end, owner = words(classes(buf), offsets)
+    start, end, owner = words(classes(buf), offsets, buf if units else None)
     return buf, start, end, owner, span_hashes(low, start, end)
 
 
+class Grams:
+    """Hashes of runs of words, from prefix sums over the words' hashes."""
+
+    def __init__(self, h: np.ndarray, owner: np.ndarray):
+        self.owner = owner
+        up, self.down = _powers(h.size)
+        self.sums = np.zeros(h.size + 1, _U)
+        np.cumsum(h * up[: h.size], out=self.sums[1:])
+
+    def at(self, size: int, where: np.ndarray) -> np.ndarray:
+        """The hash of the ``size`` words from each of the words ``where`` on, 0 where its text has no more so many."""
+        out = np.zeros(where.size, _U)
+        inside = np.flatnonzero(where + size <= self.owner.size)
+        w = where[inside]
+        same = self.owner[w] == self.owner[w + size - 1]
+        inside, w = inside[same], w[same]
+        out[inside] = mix((self.sums[w + size] - self.sums[w]) * self.down[w]) | _U(1)
+        return out
+
+
 def gram_hashes(h: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
     """The hash of the ``size`` words from each word on, 0 where its text has no more so many."""
     out = np.zeros(h.size, _U)
@@ -156,10 +208,21 @@ class HashSet:
     """A set of 64-bit hashes that large arrays are looked up in: by a table of low bits, then exactly."""
 
     def __init__(self, values: np.ndarray):
-        self.values = np.unique(values.astype(_U))
-        self.mask = _U((1 << max(16, int(self.values.size).bit_length() + 5)) - 1)
+        self.__setstate__(np.unique(values.astype(_U)))
+
+    def __getstate__(self) -> np.ndarray:
+        return self.values
+
+    def __setstate__(self, values: np.ndarray) -> None:
+        self.values = values
+        bits = int(values.size).bit_length()
+        self.mask = _U((1 << max(16, bits + (5 if bits < 15 else 3))) - 1)
         self.table = np.zeros(int(self.mask) + 1, bool)
-        self.table[(self.values & self.mask).astype(np.int64)] = True
+        self.table[(values & self.mask).astype(np.int64)] = True
+
+    @property
+    def nbytes(self) -> int:
+        return self.values.nbytes + self.table.nbytes
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The indexes of those of h that are in the set."""
