@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import os
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -127,10 +129,32 @@ class Bpe:
         return out, total[np.searchsorted(ends, offsets, "right")]
 
 
-@functools.lru_cache(2)
-def loaded(path: str) -> tuple[dict[bytes, int], dict[bytes, int]]:
+def save_proof(path: str, where: str) -> None:
+    """Proves the vocabulary at ``path`` and keeps the proof: the checksum of the rank file, then a bit a rank, set for whole strings."""
+    ranks, whole = loaded(path)
+    bits = np.zeros(max(ranks.values()) + 1, bool)
+    bits[list(whole.values())] = True
+    with open(where, "wb") as f:
+        f.write(_checksum(path) + np.packbits(bits).tobytes())
+
+
+def _checksum(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return hashlib.sha256(f.read()).digest()
+
+
+@functools.lru_cache(4)
+def loaded(path: str, proof: str | None = None) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """The ranks, and the whole strings: from a proof that save_proof() kept, or proved here."""
     ranks = read_ranks(path)
-    return ranks, prove(ranks)
+    if proof is None:
+        return ranks, prove(ranks)
+    with open(proof, "rb") as f:
+        data = f.read()
+    if data[:32] != _checksum(path):
+        raise ValueError(f"{proof} isn't the proof of {path}")
+    bits = np.unpackbits(np.frombuffer(data[32:], np.uint8))
+    return ranks, {v: r for v, r in ranks.items() if bits[r]}
 
 
 def on_worker(shared) -> Bpe:
@@ -138,3 +162,7 @@ def on_worker(shared) -> Bpe:
     if (made := getattr(shared, "_made", None)) is None:
         made = shared._made = Bpe(*shared.value)
     return made
+
+
+if __name__ == "__main__":  # python -m foliospark.llm.bpe RANKS PROOF
+    save_proof(*sys.argv[1:3])

@@ -11,24 +11,28 @@ are scored exactly. A query whose bounds don't prove that early takes all its se
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.llm import kernels as K
-from foliospark.llm.common import chunks, cut, offsets_array, only, table
+from foliospark.llm.common import chunks, cut, id_type, offsets_array, only, table
 
 TOP, K1, B = 10, 1.2, 0.75
 LEVELS = 1024
 #: Postings of a shard at most (a document is never split), and those that a query takes between two attempts at a proof.
 SHARD_POSTINGS, STEP = 4_000_000, 4096
+#: Characters of the queries that go to the tasks at a time, or one query; more queries are more blocks, each with a pass of its own.
+BLOCK_CHARS = 32 << 20
 
 
 class Index:
-    """A shard: its documents with their lengths, and (document, term, occurrences) postings in document order."""
+    """A shard: its documents (by numbers that order them as their identifiers do) with their lengths, and (document, term, occurrences) postings in document order."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, idf: np.ndarray, average: float, scale: float):
         self.ids, self.term = ids, term
@@ -48,11 +52,11 @@ class Index:
         self.processed = 0
 
     def search(self, terms: np.ndarray, times: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best k documents with a term of the query and their scores, by score and identifier."""
+        """The places of the best k documents with a term of the query and their scores, by score and identifier."""
         have = self.of_term[terms + 1] > self.of_term[terms]
         terms, times = terms[have], times[have]
         if not terms.size:
-            return self.ids[:0], np.zeros(0)
+            return np.zeros(0, np.int64), np.zeros(0)
         counts = self.of_term[terms + 1] - self.of_term[terms]
         segments = np.repeat(self.of_term[terms] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
         which = np.repeat(np.arange(terms.size), counts)
@@ -91,14 +95,14 @@ class Index:
         self.wanted[terms] = 0
         score, able = np.round(score[score > 0], 6), able[score > 0]
         best = np.lexsort((self.ids[able], -score))[:k]
-        return self.ids[able[best]], score[best]
+        return able[best], score[best]
 
 
 class Queries:
     """Terms and times of each query, as numbers of the distinct words of all."""
 
     def __init__(self, texts: list[str]):
-        _, _, _, owner, h = K.hashed_words(pa.array(texts, pa.string()))
+        _, _, _, owner, h = K.hashed_words(pa.array(texts, pa.string()), True)
         self.words, code = np.unique(h, return_inverse=True)
         cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
         self.each = [np.unique(code[a:b], return_counts=True) for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -113,7 +117,7 @@ def postings(docs: DataFrame, words: np.ndarray) -> DataFrame:
         known = K.HashSet(values)
         for b in chunks(batches, "text"):
             n = b.num_rows
-            _, _, _, owner, h = K.hashed_words(b.column("text"))
+            _, _, _, owner, h = K.hashed_words(b.column("text"), True)
             at = known.find(h)
             key = owner[at] * np.int64(max(1, values.size)) + np.searchsorted(values, h[at])
             key, tf = np.unique(key, return_counts=True)
@@ -124,8 +128,9 @@ def postings(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 names=["doc_id", "length", "terms", "times"],
             )
 
-    docs = only(docs, "doc_id", "text").where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    return docs.mapInArrow(run, "doc_id bigint, length bigint, terms array<int>, times array<int>")
+    kind = id_type(docs)
+    docs = only(docs, "doc_id", "text").where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast(kind))
+    return docs.mapInArrow(run, f"doc_id {kind}, length bigint, terms array<int>, times array<int>")
 
 
 def _flat(column: pa.Array) -> np.ndarray:
@@ -152,38 +157,41 @@ def shards(batches) -> Iterator[list[pa.RecordBatch]]:
         yield held
 
 
-def index_of(held: list[pa.RecordBatch], idf: np.ndarray, average: float, scale: float) -> Index:
+def index_of(held: list[pa.RecordBatch], idf: np.ndarray, average: float, scale: float) -> tuple[Index, pa.Array]:
+    """The index of a shard, and its documents' identifiers by place."""
     column = lambda name: [b.column(name) for b in held]
-    ids, lengths = (np.concatenate([c.to_numpy(zero_copy_only=False) for c in column(n)]) for n in ("doc_id", "length"))
+    names = pa.chunked_array(column("doc_id")).combine_chunks()
+    lengths = np.concatenate([c.to_numpy(zero_copy_only=False) for c in column("length")])
     counts = np.concatenate([np.diff(c.offsets.to_numpy()) for c in column("terms")])
     term, tf = (np.concatenate([_flat(c) for c in column(n)]) for n in ("terms", "times"))
-    return Index(ids, lengths, np.repeat(np.arange(ids.size), counts), term, tf, idf, average, scale)
+    if pa.types.is_integer(names.type):
+        ids = names.to_numpy(zero_copy_only=False)
+    else:
+        ids = np.empty(len(names), np.int64)
+        ids[pc.array_sort_indices(names).to_numpy()] = np.arange(len(names))
+    return Index(ids, lengths, np.repeat(np.arange(ids.size), counts), term, tf, idf, average, scale), names
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "item_id") -> DataFrame:
-    """item_id, rank, doc_id and score: for every row of queries the k documents of the highest BM25 score.
+def blocks(queries: DataFrame, id_column: str, most: int) -> Iterator[list[tuple]]:
+    """The distinct (identifier, text) of the queries in order, at most ``most`` characters of text or one query at a time."""
+    held, size = [], 0
+    for r in only(queries, id_column, "text").where("text is not null").distinct().orderBy(id_column, "text").toLocalIterator():
+        if held and size + len(r[1]) > most:
+            yield held
+            held, size = [], 0
+        held.append((r[0], r[1]))
+        size += len(r[1])
+    if held:
+        yield held
 
-    1. One pass over the texts keeps each document's length and its occurrences of the queries' words; it is written to
-       the shared folder and nothing reads the texts again.
-    2. Documents, their mean length and each word's document count are taken over all of it, in two aggregations.
-    3. Each task indexes its documents, shard by shard, and runs every query on each shard.
-    4. The shards' best k are merged by an exchange on the query: k rows a shard and query, whatever the shard's size.
 
-    The queries and the counts of their words go to all tasks; both are as large as the query table, which comes to the
-    driver. Scores are rounded to six decimals, and equal ones ranked by doc_id; documents without a word of the query
-    aren't found, so there may be fewer than k rows, and none for a query that is null, empty or wordless. Rows that
-    repeat a query are one, an item_id with several texts has k rows for each. Rows of docs without identifier or text
-    aren't searched and don't count; repeated rows are found each; long texts count whole; other columns are ignored.
-    """
+def _search_block(docs: DataFrame, rows: list[tuple], k: int, id_column: str, kind: str) -> DataFrame | None:
     spark = docs.sparkSession
-    kind = queries.schema[id_column].dataType.simpleString()
-    rows = sorted({(r[0], r[1]) for r in only(queries, id_column, "text").where("text is not null").distinct().toLocalIterator()}, key=lambda r: (r[0] is not None, r[0], r[1]))
     asked = Queries([t for _, t in rows])
     forward, _ = cut(postings(docs, asked.words))
     n, total = forward.agg(F.count("*"), F.sum("length")).first()
-    out = f"{id_column} {kind}, rank bigint, doc_id bigint, score double"
     if not n or not total or not asked.words.size:
-        return spark.createDataFrame([], out)
+        return None
     df = np.zeros(asked.words.size)
     for r in forward.select(F.explode("terms").alias("term")).groupBy("term").count().toLocalIterator():
         df[r[0]] = r[1]
@@ -193,26 +201,49 @@ def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "
     def run(batches):
         each, idf, average, scale = shared.value
         for held in shards(batches):
-            own = index_of(held, idf, average, scale)
+            own, names = index_of(held, idf, average, scale)
             found = [own.search(terms, times, k) for terms, times in each]
-            yield pa.record_batch(
-                [pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])), pa.array(np.concatenate([f[0] for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found]))],
-                names=["query", "doc_id", "score"],
-            )
+            places = np.concatenate([f[0] for f in found]).astype(np.int64)
+            yield pa.record_batch([pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])), names.take(pa.array(places)), pa.array(np.concatenate([f[1] for f in found]))], names=["query", "doc_id", "score"])
 
-    best = forward.mapInArrow(run, "query bigint, doc_id bigint, score double")
+    doc_kind = forward.schema["doc_id"].dataType.simpleString()
+    best = forward.mapInArrow(run, f"query bigint, doc_id {doc_kind}, score double")
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")).cast("bigint")).where(F.col("rank") <= k)
     names = spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], f"query bigint, {id_column} {kind}")
     return ranked.join(names, "query").select(id_column, "rank", "doc_id", "score")
 
 
+def search(docs: DataFrame, queries: DataFrame, k: int = TOP, id_column: str = "item_id") -> DataFrame:
+    """item_id, rank, doc_id and score: for every row of queries the k documents of the highest BM25 score.
+
+    1. One pass over the texts keeps each document's length and its occurrences of the queries' words; it is written to
+       the shared folder and nothing reads the texts again.
+    2. Documents, their mean length and each word's document count are taken over all of it, in two aggregations.
+    3. Each task indexes its documents, shard by shard, and runs every query on each shard.
+    4. The shards' best k are merged by an exchange on the query: k rows a shard and query, whatever the shard's size.
+
+    The queries and the counts of their words go to all tasks, in blocks of BLOCK_CHARS characters of queries; each block
+    takes a pass over the documents, and the results are put together. Scores are rounded to six decimals, and equal ones
+    ranked by doc_id (as a bigint if it is a whole number, else as a string); documents without a word of the query
+    aren't found, so there may be fewer than k rows, and none for a query that is null, empty or wordless. Rows that
+    repeat a query are one, an item_id with several texts has k rows for each. Rows of docs without identifier or text
+    aren't searched and don't count; repeated rows are found each; long texts count whole; other columns are ignored.
+    """
+    kind = queries.schema[id_column].dataType.simpleString()
+    found = [x for rows in blocks(queries, id_column, BLOCK_CHARS) if (x := _search_block(docs, rows, k, id_column, kind)) is not None]
+    if not found:
+        return docs.sparkSession.createDataFrame([], f"{id_column} {kind}, rank bigint, doc_id {id_type(docs)}, score double")
+    return reduce(DataFrame.unionByName, found)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+_WORDS = rf"list_filter(regexp_extract_all(lower(text), '{K.WORD_SQL}'), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}\p{{M}}]'))"
 ORACLE_SQL = rf"""
-WITH doc_words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}]+')) AS word FROM documents),
-query_words AS (SELECT item_id, word, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}\p{{M}}]+')) AS word FROM benchmark) GROUP BY item_id, word),
+WITH doc_words AS (SELECT doc_id, unnest({_WORDS}) AS word FROM documents),
+query_words AS (SELECT item_id, word, count(*) AS times FROM (SELECT item_id, unnest({_WORDS}) AS word FROM benchmark) GROUP BY item_id, word),
 lengths AS (SELECT d.doc_id, count(word) AS length FROM documents d LEFT JOIN doc_words USING (doc_id) GROUP BY d.doc_id),
 totals AS (SELECT count(*) AS n, sum(length)::DOUBLE / count(*) AS average FROM lengths),
 tfs AS (SELECT doc_id, word, count(*) AS tf FROM doc_words GROUP BY doc_id, word),

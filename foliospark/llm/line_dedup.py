@@ -1,7 +1,9 @@
 """Line dedup by site-relative frequency: lines on too large a share of a host's pages are boilerplate.
 
 A page's lines are the texts between block-level tags of its HTML, without scripts, styles and comments, trimmed and
-with white space collapsed. For each host and line, the pages with the line are divided by the host's pages.
+with white space collapsed. For each host and line, the pages with the line are divided by the host's pages. The page
+whose line is judged counts for neither, as it says nothing about repetition: (n - 1) / (N - 1), which is n / N for all but
+small hosts and drops nothing of a host's only page.
 """
 
 from __future__ import annotations
@@ -11,8 +13,8 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import cut, only, table
 
-#: Share of a host's pages from which a line is boilerplate, and the pages it must be on at least.
-RATIO, LEAST_PAGES = 0.1, 3
+#: Share of a host's other pages from which a line is boilerplate.
+RATIO = 0.1
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
 BLOCK = r"(?i)\n|</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)\b[^>]*>"
 TAG = r"<[^<>]*>"
@@ -40,15 +42,15 @@ def _text(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, SPACES, " "))
 
 
-def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, ratio: float = RATIO) -> DataFrame:
     """page_id, host, n_lines, n_dropped and text (the lines that stay, joined by line feeds) for every row of pages.
 
     1. One pass shreds the pages into lines, which are written to the shared folder.
     2. Host and hash of each page's distinct lines are counted: partial counts, then an exchange of 16 bytes for each line
-       that a partition has seen of a host; no text moves. Lines on ``least_pages`` pages that make more than ``ratio`` of
-       the host's stay, as one array of hashes a host: fewer than a page's lines / ratio, however many pages it has.
+       that a partition has seen of a host; no text moves. Lines on more than ``ratio`` of the other pages
+       make one array of hashes a host: about a page's lines / ratio at most, however many pages it has.
     3. These arrays are written, so their size decides whether they are broadcast or joined by host, where adaptive
-       skew handling splits a hot host's pages; the lines are then filtered in place.
+       skew handling splits a hot host's pages. A page's lines that are among them are found by one hash lookup a line.
 
     A line counts once a page, and each row is a page, repeated ones too. A null or empty page has no lines and an
     empty text; a null or unreadable URL has the empty host, whose pages are a site like another. A ratio that is
@@ -58,11 +60,13 @@ def drop_boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int =
     shredded, _ = cut(pages.select("page_id", host_of(F.col("url")).alias("host"), lines_of(F.col("html")).alias("lines")))
     total = shredded.groupBy("host").agg(F.count("*").alias("n_pages"))
     seen = shredded.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
-    common = seen.where(F.col("n") >= least_pages).join(total, "host").where(F.col("n") > F.lit(ratio) * F.col("n_pages"))
+    common = seen.where("n > 1").join(total, "host").where(F.col("n") - 1 > F.lit(ratio) * (F.col("n_pages") - 1))
     boilerplate, _ = cut(common.groupBy("host").agg(F.collect_list("line").alias("bad")))
-    kept = F.when(F.col("bad").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("bad", F.xxhash64(x))))
+    found = F.array_intersect(F.transform("lines", lambda x: F.xxhash64(x)), "bad")
+    kept = F.when(F.col("found").isNull() | (F.size("found") == 0), F.col("lines")).otherwise(F.filter("lines", lambda x: ~F.array_contains("found", F.xxhash64(x))))
     return (
         shredded.join(boilerplate, "host", "left")
+        .withColumn("found", found)
         .withColumn("kept", kept)
         .select("page_id", "host", F.size("lines").alias("n_lines"), (F.size("lines") - F.size("kept")).alias("n_dropped"), F.concat_ws("\n", "kept").alias("text"))
     )
@@ -85,7 +89,7 @@ WITH shredded AS (
   FROM pages),
 totals AS (SELECT host, count(*) AS n_pages FROM shredded GROUP BY host),
 seen AS (SELECT host, line, count(*) AS n FROM (SELECT DISTINCT row_id, host, unnest(lines) AS line FROM shredded) GROUP BY host, line),
-bad AS (SELECT host, line FROM seen JOIN totals USING (host) WHERE n >= {LEAST_PAGES} AND n > {RATIO} * n_pages),
+bad AS (SELECT host, line FROM seen JOIN totals USING (host) WHERE n - 1 > {RATIO} * (n_pages - 1)),
 flat AS (SELECT row_id, host, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM shredded),
 kept AS (SELECT row_id, count(*) AS n, string_agg(line, chr(10) ORDER BY pos) AS text FROM flat ANTI JOIN bad USING (host, line) GROUP BY row_id)
 SELECT page_id, host, CAST(coalesce(len(lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(lines), 0) - coalesce(n, 0) AS INTEGER) AS n_dropped, coalesce(text, '') AS text

@@ -24,7 +24,8 @@ def test_a_shard_finds_what_a_full_scan_does(seed, n_docs, n_terms, k):
     weight = idf * (counts * (S.K1 + 1) / (counts + (S.K1 * (1 - S.B + S.B * lengths / average))[:, None]))
     score = np.round(weight[:, terms] @ times, 6)
     want = sorted(((-s, i) for s, i in zip(score, ids, strict=True) if s > 0))[:k]
-    got_ids, got = index.search(terms, times, k)
+    places, got = index.search(terms, times, k)
+    got_ids = ids[places]
     assert np.allclose([-s for s, _ in want], got, atol=2e-6)
     if len({s for s, _ in want}) == len(want):
         assert got_ids.tolist() == [i for _, i in want]
@@ -70,3 +71,17 @@ def test_whole_table_equals_the_sql(spark):
         duckdb.execute(f"create or replace view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
     want = sorted(duckdb.execute(S.ORACLE_SQL).fetchall())
     assert sorted(tuple(r) for r in S.query(spark, "/root/testdata/sf0.01").collect()) == want
+
+
+def test_blocks_of_queries_find_what_one_does(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    one = sorted(tuple(r) for r in S.query(spark, sf).collect())
+    monkeypatch.setattr(S, "BLOCK_CHARS", 3000)
+    assert len(list(S.blocks(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", 3000))) > 2
+    assert sorted(tuple(r) for r in S.query(spark, sf).collect()) == one
+
+
+def test_identifiers_may_be_strings(spark):
+    docs = spark.createDataFrame([(f"d{i}", "same words here") for i in (9, 4, 10, 1)] + [("z", "other"), (None, "words"), ("é", None)], "doc_id string, text string")
+    queries = spark.createDataFrame([("q", "words")], "item_id string, text string")
+    assert [(r.item_id, r.doc_id) for r in S.search(docs, queries, k=3).orderBy("rank").collect()] == [("q", "d1"), ("q", "d10"), ("q", "d4")]

@@ -66,6 +66,51 @@ def test_shards_answer_lookups(rough, none, encoder):
     assert sstable.sstable_shards(none).collect() == []
 
 
+def test_rows_of_one_identifier_are_parted_and_found(spark, encoder):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text number {i} " * 20) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("doc_id", "text", "'x' as lang", "cast(null as string) as source")
+    shards = sstable.sstable_shards(docs, shard_bytes=1 << 12).cache()
+    ends = sorted((r.first_doc_id if r.first_doc_id is not None else -1, r.last_doc_id if r.last_doc_id is not None else -1) for r in shards.collect())
+    assert sum(a == b == -1 for a, b in ends) > 3 and sum(a == b == 7 for a, b in ends) > 3
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+    decode = lambda d: sorted(encoder[1].decode(r.token_ids) for r in d.collect())
+    assert decode(sstable.entries(shards)) == sorted(t for _, t in rows)
+    for ids in ([7], [None], [5, 2, 999, 5], [None, 7, 599], []):
+        assert decode(sstable.lookup(shards, ids)) == sorted(t for i, t in rows if i in ids), ids
+    assert sstable.lookup(shards, [5]).first().meta == ["x", None]
+    with pytest.raises(ValueError):
+        sstable.lookup(shards, range(sstable.MOST_IDS + 1))
+
+
+def test_identifiers_may_be_strings(spark, encoder):
+    rows = [(i, f"text of {i}") for i in ("", "b", "a", "ab", "é", "Z", None, "a")]
+    shards = sstable.sstable_shards(spark.createDataFrame(rows, "doc_id string, text string"), meta=(), shard_bytes=20).cache()
+    got = [(r.doc_id, encoder[1].decode(r.token_ids)) for r in sstable.entries(shards).collect()]
+    assert sorted(got, key=str) == sorted(rows, key=str)
+    assert sorted(r.doc_id for r in sstable.lookup(shards, ["a", "é", "none"]).collect()) == ["a", "a", "é"]
+    assert [r.doc_id for r in sstable.lookup(shards, [""]).collect()] == [""] and [r.doc_id for r in sstable.lookup(shards, [None]).collect()] == [None]
+
+
+def test_the_bloom_filters_rate_is_as_computed():
+    w = sstable.Writer(1 << 16, 2)
+    for i in range(20_000):
+        w.add(sstable.key_of(i * 3), b"")
+    own = sstable.SSTable(w.finish())
+    assert all(own.may_have(i * 3) for i in range(20_000))
+    assert sum(own.may_have(i * 3 + 1) for i in range(50_000)) < 0.011 * 50_000  # 0.82 % for 7 probes of 10 bits a key
+
+
+def test_a_proof_is_kept_offline(tmp_path):
+    path = bpe.default_vocabulary()
+    where = str(tmp_path / "proof")
+    bpe.save_proof(path, where)
+    assert bpe.loaded(path, where) == bpe.loaded(path)
+    other = tmp_path / "other.tiktoken"
+    other.write_bytes(b"IQ== 0\n")
+    with pytest.raises(ValueError):
+        bpe.loaded(str(other), where)
+
+
 def test_a_damaged_shard_is_refused(rough):
     data = bytearray(sstable.sstable_shards(rough).first().sst)
     data[10] ^= 1
