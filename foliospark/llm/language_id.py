@@ -2,13 +2,16 @@
 
 For each language, lines of a bounded sample of labelled rows become a raw-content zstandard dictionary. A text
 is compressed with each, in pieces so short that the dictionary and not the text itself explains them, and the
-sums are compared. Each piece follows a primer, the dictionary's last bytes, whose own cost is taken off: alone, a text
-of a few words would be stored as it is and cost the same in every language. The best language stands if the runner-up needs at least ``margin`` more, else it is rejected.
+sums are compared. The best language stands if the runner-up needs at least ``margin`` more, else it is rejected.
+
+A text of SHORT_BYTES or less follows a primer, the dictionary's last bytes, whose own cost is taken off, and is searched
+for matches more thoroughly: alone, a text of a few words would be stored as it is and cost the same in every language.
 """
 
 from __future__ import annotations
 
-from itertools import groupby
+import re
+from itertools import groupby, zip_longest
 
 import pyarrow as pa
 import zstandard
@@ -19,59 +22,87 @@ from pyspark.sql.window import Window
 
 from foliospark.llm.common import chunks, inner, only, table
 
-LEVEL, PIECE_BYTES, PRIMER_BYTES = 12, 4096, 256
+LEVEL, SHORT_LEVEL, SHORT_BYTES, PIECE_BYTES, PRIMER_BYTES = 6, 12, 300, 4096, 256
 #: Share by which the runner-up must be larger.
 MARGIN = 0.005
+#: Bounds of what the fit sees of a language: labelled rows, and bytes of their lines in its dictionary.
+PER_LANGUAGE, DICTIONARY_BYTES = 60, 1 << 16
+#: Characters of a stretch of text that is taken or left as a whole; longer lines are several.
+STRETCH = 1024
+_STRETCH = re.compile(rf"[^\n]{{1,{STRETCH}}}(?=\s|$)|[^\n]{{1,{STRETCH}}}")
+
+
+def stretches(text: str) -> list[str]:
+    """The lines of a text in lower case, long ones cut at blanks where there are any."""
+    return _STRETCH.findall(text.lower())
 
 
-def interleaved(texts: list[str], most: int) -> bytes:
-    """Lines of the texts in turn until there are ``most`` bytes."""
-    out, size, open_ = [], 0, [iter(t.lower().split("\n")) for t in texts]
-    while open_ and size < most:
-        left = []
-        for lines in open_:
-            if (line := next(lines, None)) is not None:
-                out.append(line)
-                size += len(line.encode()) + 1
-                left.append(lines)
-        open_ = left
-    return "\n".join(out).encode()[-most:]
+def interleaved(texts: list[list[str]], most: int) -> bytes:
+    """Stretches of the texts in turn, each whole, until the next would make more than ``most`` bytes; of a few bytes, over and over.
+
+    The compressor takes no dictionary of fewer than 8 bytes.
+    """
+    out, size = [], 0
+    for line in (x for turn in zip_longest(*texts) for x in turn if x is not None):
+        if (size := size + len(line.encode()) + 1) > most + 1:
+            break
+        out.append(line)
+    data = "\n".join(out).encode()
+    return data * (-(-8 // len(data))) if data else b""
 
 
-def fit_dictionaries(docs: DataFrame, per_language: int = 60, dictionary_bytes: int = 1 << 16) -> dict[str, bytes]:
+def fit_dictionaries(docs: DataFrame, per_language: int = PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each language in docs.lang, from at most ``per_language`` rows of each, those of the least hash.
 
     These bounds are what the fit may see of a language; every label counts, however many there are. The
-    choice reads only doc_id and lang and keeps a few rows a partition; texts are fetched for the chosen rows, and
-    the driver has those of a partition at a time. Rows without a label, an identifier or a text don't take part.
+    choice reads only doc_id and lang and keeps a few rows a partition. A chosen row is cut into stretches where it is read,
+    of which as many as a dictionary could hold come to the driver, a language at a time. Where an identifier has
+    several texts in a language, the least stands. Rows without a label, an identifier or a text don't take part.
     """
-    docs = only(docs, "doc_id", "lang", "text")
-    narrow = docs.where("doc_id is not null and lang is not null").select("doc_id", "lang")
+    docs = only(docs, "doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null")
     ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = narrow.withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= per_language).select("doc_id", "lang").distinct()
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).orderBy("lang", "doc_id")
-    out: dict[str, bytes] = {}
-    for lang, own in groupby(rows.toLocalIterator(), key=lambda r: r.lang):
-        if len(d := interleaved([r.text for r in own], dictionary_bytes)) >= 8:
-            out[lang] = d
-    return out
+    chosen = docs.select("doc_id", "lang").withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= per_language).select("doc_id", "lang").distinct()
+    rows = docs.join(chosen, ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+    def cut_up(batches):
+        for b in batches:
+            out = []
+            for text in b.column("text").to_pylist():
+                mine, size = [], 0
+                for line in stretches(text):
+                    if (size := size + len(line.encode()) + 1) > dictionary_bytes:
+                        break
+                    mine.append(line)
+                out.append(mine)
+            yield pa.record_batch([b.column("lang"), b.column("doc_id"), pa.array(out, pa.list_(pa.string()))], names=["lang", "doc_id", "lines"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = rows.mapInArrow(cut_up, f"lang string, doc_id {kind}, lines array<string>").orderBy("lang", "doc_id")
+    made = ((lang, interleaved([r.lines for r in own], dictionary_bytes)) for lang, own in groupby(found.toLocalIterator(), key=lambda r: r.lang))
+    return {lang: d for lang, d in made if d}
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes], margin: float):
-        self.margin, self.packers = margin, []
+        self.margin, self.packers, self.short = margin, [], []
         for lang, data in sorted(dictionaries.items()):
-            own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            own.precompute_compress(level=LEVEL)
-            pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-            primer = data[-PRIMER_BYTES:]
-            self.packers.append((lang, pack, primer, len(pack(primer))))
+            self.packers.append((lang, self._packer(data, LEVEL)))
+            pack, primer = self._packer(data, SHORT_LEVEL), data[-PRIMER_BYTES:]
+            self.short.append((lang, pack, primer, len(pack(primer))))
+
+    @staticmethod
+    def _packer(data: bytes, level: int):
+        own = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        own.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress
 
     def sizes(self, text: str) -> list[tuple[int, str]]:
         """Compressed bytes, without the primer's, and language, the smallest first, equal ones by name."""
         data = text.lower().encode()
+        if len(data) <= SHORT_BYTES:
+            return sorted((len(pack(primer + data)) - own, lang) for lang, pack, primer, own in self.short)
         pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
-        return sorted((sum(len(pack(primer + p)) - own for p in pieces), lang) for lang, pack, primer, own in self.packers)
+        return sorted((sum(map(len, map(pack, pieces))), lang) for lang, pack in self.packers)
 
     def __call__(self, text: str | None) -> tuple[str | None, float | None, bool]:
         """Best language, its margin, and whether it stands."""
@@ -100,7 +131,9 @@ def _found(docs: DataFrame, labelled: DataFrame | None, margin: float, **fit) ->
     def run(batches):
         own = on_worker(shared)
         for b in chunks(batches, at):
-            found = [own(t) for t in b.column(at).to_pylist()]
+            codes = b.column(at).dictionary_encode()  # texts that are alike are packed once
+            each = [own(t) for t in codes.dictionary.to_pylist()]
+            found = [(None, None, False) if i is None else each[i] for i in codes.indices.to_pylist()]
             yield pa.record_batch(
                 [*b.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.bool_())],
                 names=[*b.schema.names, *ADDED],
@@ -126,7 +159,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, margin: float =
 def stage(docs: DataFrame) -> DataFrame:
     """The rows of docs whose language stands, with the columns they have; lang becomes the language found.
 
-    Columns named like identify's new ones aren't kept.
+    Null, empty and blank texts are rejected and go, ties too; all else as in identify. Columns named like identify's new ones aren't kept.
     """
     found, names = _found(docs, None, MARGIN)
     found = found.where("lang_keep")

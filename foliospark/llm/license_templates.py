@@ -1,17 +1,20 @@
 """Licence texts and notices as templates in the usual template markup.
 
 ``<<beginOptional>> ... <<endOptional>>`` may be absent; ``<<var;name="...";match="...">>`` stands for replaceable
-words: ``.+`` for 1 to MOST words or all before the next mandatory one, ``.{a,b}`` for a to b words, and ``x|y`` for one
-of the alternatives. All else is mandatory. Punctuation and case don't count. Only the optional line of copyright before
-a text is bounded in words, so that prose isn't taken for it; the text matches without.
+words: ``.+`` for those up to the next two mandatory ones, however many, ``.{a,b}`` for a to b words, and ``x|y`` for one
+of the alternatives. All else is mandatory. Punctuation and case don't count. A line of copyright before a text isn't part of it.
+
+The long texts are files in license_texts: what may stand before, the text, and what may follow, parted by lines of ``%%``.
 """
 
 from __future__ import annotations
 
+import re
+from importlib import resources
+
 _MIT = (
     '<<beginOptional>>The MIT License<<endOptional>> <<beginOptional>>MIT License<<endOptional>>'
     '<<beginOptional>>(MIT)<<endOptional>>'
-    '<<beginOptional>>Copyright <<var;name="copyright";match=".{1,30}">><<endOptional>>'
     " Permission is hereby granted, free of charge,"
     " to any person obtaining a copy of"
     ' <<var;name="what";match="this software and associated documentation files|this software">>'
@@ -41,7 +44,6 @@ _MIT = (
 )
 
 _BSD_HEAD = (
-    '<<beginOptional>>Copyright <<var;name="copyright";match=".{1,30}">><<endOptional>>'
     " Redistribution and use in source and binary forms,"
     " with or without modification, are permitted provided"
     " that the following conditions are met:"
@@ -82,7 +84,6 @@ _BSD_TAIL = (
 )
 
 _ISC_GRANT = (
-    '<<beginOptional>>Copyright <<var;name="copyright";match=".{1,30}">><<endOptional>>'
     " Permission to use, copy, modify,"
     ' <<var;name="and";match="and/or|and">> distribute this software for any'
     " purpose with or without fee is hereby granted"
@@ -130,7 +131,6 @@ _MPL = (
 )
 
 _ZLIB = (
-    '<<beginOptional>>Copyright <<var;name="copyright";match=".{1,30}">><<endOptional>>'
     " This software is provided 'as-is', without any express or implied warranty. In no event will"
     ' <<var;name="holder";match=".+">> be held liable for any damages arising from the use of this software.'
     " Permission is granted to anyone to use this software for any purpose, including commercial applications, and to"
@@ -199,7 +199,7 @@ _TEXTS = (
         "permissive",
         (
             f'Licensed under the {_APACHE_NAME} <<beginOptional>>(the "License"); you may not use'
-            ' <<var;name="what";match=".{1,6}">> except in compliance with the License<<endOptional>>',
+            ' <<var;name="what";match=".+">> except in compliance with the License<<endOptional>>',
             f"Released under the {_APACHE_NAME}",
             f'{_GRANTED} <<var;name="verb";match="licensed|released|distributed">> under the {_APACHE_NAME}',
         ),
@@ -263,8 +263,27 @@ _TEXTS = (
     ("All-Rights-Reserved", "proprietary", ("All rights reserved",)),
 )
 
+
+
+def _whole(name: str) -> str:
+    """A long text as a template: its head and tail are optional, and links may go by either scheme."""
+    head, body, tail = (resources.files("foliospark.llm") / "license_texts" / f"{name}.txt").read_text(encoding="utf-8").split("\n%%\n")
+    parts = (f"<<beginOptional>> {head} <<endOptional>>" if head.strip() else "", body, f"<<beginOptional>> {tail} <<endOptional>>" if tail.strip() else "")
+    return re.sub(r"\bhttps?\b", '<<var;name="url";match="https|http">>', " ".join(parts))
+
+
+_LONG = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+_TEXTS = tuple((name, category, (*texts, _whole(name)) if name in _LONG else texts) for name, category, texts in _TEXTS) + (
+    ("GPL-1.0", "copyleft", (_whole("GPL-1.0"),)),
+    ("LGPL-2.0", "weak copyleft", (*_gnu("Library", "2"), *_gnu("Library", "2.0"), _whole("LGPL-2.0"))),
+    ("MPL-1.1", "weak copyleft", (_whole("MPL-1.1"),)),
+    ("GFDL-1.2", "copyleft", (_whole("GFDL-1.2"),)),
+    ("GFDL-1.3", "copyleft", (_whole("GFDL-1.3"),)),
+    ("Artistic-1.0-Perl", "permissive", (_whole("Artistic-1.0-Perl"),)),
+)
+
 #: (identifier, category, templates), each with its tags; the last ones have only tags, so that no shorter one stands for them.
 TEMPLATES = (
-    *((name, category, texts + (() if name == "All-Rights-Reserved" else _tag(*(name + x for x in (_LATER if "GPL" in name else ("",)))))) for name, category, texts in _TEXTS),
+    *((name, category, texts + (() if name == "All-Rights-Reserved" else _tag(*(name + x for x in (_LATER if "GPL" in name or "GFDL" in name else ("",)))))) for name, category, texts in _TEXTS),
     *((name, "permissive", _tag(name)) for name in ("MIT-0", "BSD-2-Clause-Patent", "BSD-3-Clause-Clear", "BSD-3-Clause-LBNL")),
 )

@@ -16,13 +16,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliospark.llm import kernels as K
 from foliospark.llm.common import chunks, offsets_array, only, table
 
-#: Labelled documents of each label that the fit sees, and the characters of the longest of them.
-PER_LABEL, SAMPLE_CHARS = 1500, 1 << 16
+#: Labelled documents of each label that the fit sees at most, and characters of all of them together.
+PER_LABEL, SAMPLE_CHARS = 1500, 16 << 20
 THRESHOLD = 0.5
 PLAIN = np.zeros(256, bool)
 PLAIN[list(b".,;:'\"!?()-")] = True
@@ -206,26 +205,38 @@ def fit(texts: list[str], labels: list[int], steps: int = 150) -> Crf | None:
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """Texts and labels of at most ``per_label`` documents of each label, those of the least hash.
+    """Texts and labels of at most ``per_label`` documents of each label in the order of their identifiers' hashes, whole texts of any
+    length, until a label's next one would make more than ``sample_chars`` characters.
 
-    Rows without identifier, label or text, identifiers with both labels, and texts of over ``sample_chars`` don't take
-    part. The choice is made on the labels; only the chosen rows' texts come to the driver.
+    Rows without identifier, label or text and identifiers with both labels don't take part. The choice is made on the
+    labels, of which each partition keeps as many as could be chosen, and on the lengths of their texts; only the chosen
+    texts come to the driver.
     """
     own = only(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("most")).where("q = most")
-    # Twice as many as are wanted: some may have no text, or too long a one.
-    ranked = own.withColumn("at", F.row_number().over(Window.partitionBy("q").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("at") <= 2 * per_label)
-    chosen = {r.doc_id: (r.q, r.at) for r in ranked.collect()}  # 4 * per_label rows at most
-    if not chosen:
-        return [], []
     kind = labels.schema["doc_id"].dataType.simpleString()
-    ids = docs.sparkSession.createDataFrame([(i,) for i in chosen], f"id {kind}")
-    texts = only(docs, "doc_id", "text").where(F.length("text") <= sample_chars)
-    found = texts.join(F.broadcast(ids), texts["doc_id"] == ids["id"]).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    out: list[tuple[str, int]] = []
+    chosen = {}
+    for q in (0, 1):  # twice as many as are wanted: some may have no text
+        for at, r in enumerate(own.where(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_label).select("doc_id").collect()):
+            chosen[r.doc_id] = (q, at)
+    texts = only(docs, "doc_id", "text").where("text is not null")
+
+    def of(ids) -> DataFrame:
+        """The rows of the identifiers, of which there are 4 * per_label at most."""
+        few = docs.sparkSession.createDataFrame([(i,) for i in ids], f"id {kind}")
+        return texts.join(F.broadcast(few), texts["doc_id"] == few["id"])
+
+    sizes = {r.doc_id: r.n for r in of(chosen).groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).collect()} if chosen else {}
+    taken = []
     for q in (0, 1):
-        mine = sorted((chosen[r.doc_id][1], r.text) for r in found if chosen[r.doc_id][0] == q)
-        out += [(t, q) for _, t in mine[:per_label]]
-    return [t for t, _ in out], [q for _, q in out]
+        left = sample_chars
+        for _, i in sorted((at, i) for i, (label, at) in chosen.items() if label == q and i in sizes)[:per_label]:
+            if (left := left - sizes[i]) < 0:
+                break
+            taken.append(i)
+    if not taken:
+        return [], []
+    found = {r.doc_id: r.text for r in of(taken).groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    return [found[i] for i in taken], [chosen[i][0] for i in taken]
 
 
 def score_batch(texts: pa.Array, own: Crf | None, threshold: float) -> list[pa.Array]:

@@ -16,17 +16,40 @@ def test_sizes_are_those_of_plain_compression():
 
     texts = {"a": b"some words of one kind " * 30, "b": b"andere Worte einer Art " * 30}
     own = L.Classifier(texts, 0.01)
-    for text in ("some words of one kind, andere Worte", "x" * 10_000):
+    for text in ("some words of one kind, andere Worte", "x" * 10_000, "y" * L.SHORT_BYTES, "Worte " * 51):
         want = []
         for lang, data in texts.items():
-            pack = zstandard.ZstdCompressor(level=L.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
             raw = text.lower().encode()
-            primer = data[-L.PRIMER_BYTES :]
-            want.append((sum(len(pack.compress(primer + raw[i : i + L.PIECE_BYTES])) - len(pack.compress(primer)) for i in range(0, len(raw), L.PIECE_BYTES)), lang))
+            short = len(raw) <= L.SHORT_BYTES
+            pack = zstandard.ZstdCompressor(level=L.SHORT_LEVEL if short else L.LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            primer = data[-L.PRIMER_BYTES :] if short else b""
+            own_cost = len(pack.compress(primer)) if short else 0
+            want.append((sum(len(pack.compress(primer + raw[i : i + L.PIECE_BYTES])) - own_cost for i in range(0, len(raw), L.PIECE_BYTES)), lang))
         assert own.sizes(text) == sorted(want)
     assert own("words of one kind and some words of one kind")[::2] == ("a", True)
 
 
+def test_stretches_and_their_order():
+    assert L.stretches("Ab\n\ncd " + "e" * 2000) == ["ab", "cd", "e" * 1024, "e" * 976]
+    assert "".join(L.stretches("word " * 500)).replace(" ", "") == "word" * 500 and max(map(len, L.stretches("word " * 500))) <= L.STRETCH
+    assert L.interleaved([["a", "bbbb"], ["cc", "d"]], 100) == b"a\ncc\nbbbb\nd"
+    assert L.interleaved([["a" * 50, "b"], ["c" * 8, "d"], []], 60) == b"a" * 50 + b"\n" + b"c" * 8
+    assert L.interleaved([["ab"]], 100) == b"abababab" and L.interleaved([[]], 9) == b""
+
+
+def test_dictionaries_are_repeatable_with_clashing_identifiers(spark):
+    rows = [(i % 4, "ab"[i % 2], f"row {i} has its own words {i * 7919}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, lang string, text string")
+    first = L.fit_dictionaries(docs, per_language=2)
+    assert first == L.fit_dictionaries(docs.repartition(7).sortWithinPartitions("text"), per_language=2) == L.fit_dictionaries(docs.coalesce(1), per_language=2)
+    assert len(first) == 2
+
+
+def test_a_label_of_a_few_bytes_has_a_dictionary(spark):
+    docs = spark.createDataFrame([(1, "a", "ja"), (2, "b", "some more words of a language")], "doc_id bigint, lang string, text string")
+    assert L.fit_dictionaries(docs) == {"a": b"jajajaja", "b": b"some more words of a language"}
+
+
 def test_rough_rows(rough, none):
     got = L.identify(rough).collect()
     assert len(got) == 9

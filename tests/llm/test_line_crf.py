@@ -65,6 +65,41 @@ def test_held_out_labels(labelled):
     assert (keep[good]).mean() > 0.995 and (~keep[~good]).mean() > 0.95
 
 
+def test_the_sample_is_of_whole_texts_and_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * (50_000 if i % 10 == 0 else 10)) for i in range(100)] + [(3, "y")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id bigint, quality int")
+    texts, q = C.sample(docs, labels, per_label=30)
+    assert q == [0] * 30 + [1] * 30 and any(len(t) == 50_000 for t in texts)
+    order = [r.doc_id for r in labels.selectExpr("doc_id").orderBy("doc_id").collect()]
+    assert C.sample(docs, labels, per_label=30) == (texts, q) and len(order) == 120
+    few, _ = C.sample(docs, labels, per_label=30, sample_chars=100)
+    assert 0 < len(few) < 60 and sum(len(t) for t in few) <= 200
+    plan = labels.groupBy("doc_id").count()._jdf.queryExecution().toString()
+    assert "Window" not in plan
+
+
+def test_the_whole_table_against_one_text_at_a_time(spark):
+    """Batches and layouts change nothing: each document scored alone, by plain sums over its lines."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    own = C.fit(*C.sample(docs, labels))
+    got = {r.doc_id: r for r in C.query(spark, sf).collect()}
+    for r in docs.collect():
+        x, text, size = C.line_features(pa.array([r.text]))
+        e = own.scores(x)
+        f = np.zeros((len(e), 2))
+        b = np.zeros((len(e), 2))
+        for t in range(len(e)):
+            f[t] = np.array([0, e[t]]) + (np.logaddexp(f[t - 1, 0] + own.a[0], f[t - 1, 1] + own.a[1]) if t else 0)
+        for t in range(len(e) - 2, -1, -1):
+            b[t] = np.logaddexp(own.a[:, 0] + b[t + 1, 0], own.a[:, 1] + e[t + 1] + b[t + 1, 1])
+        p = 1 / (1 + np.exp((f + b)[:, 0] - (f + b)[:, 1]))
+        if len(e):
+            assert abs(got[r.doc_id].quality - (p * size).sum() / size.sum()) < 1e-6
+        else:
+            assert got[r.doc_id].quality is None
+
+
 def test_rough_rows(spark, rough, none):
     labels = spark.createDataFrame([(1, 1), (7, 0), (2, 0), (None, 1), (3, None), (5, 1), (5, 0)], "doc_id bigint, quality int")
     got = C.classify(rough, labels, per_label=5).collect()
