@@ -1,5 +1,6 @@
 """Licence templates against regular expressions over words, and hand-made texts."""
 
+import functools
 import re
 
 import pyarrow as pa
@@ -11,6 +12,7 @@ from foliospark.llm import license_scan as L
 from foliospark.llm import license_templates
 
 
+@functools.cache
 def expression(template):
     """The template as an expression over words that each end in a blank."""
     def literal(text):
@@ -34,7 +36,7 @@ def expression(template):
                 out.append(rf"(?:(?!{until})\S+ )+")
             else:
                 out.append("(?:" + "|".join(map(literal, match.split("|"))) + ")")
-    return "".join(out)
+    return re.compile("".join(out))
 
 
 def brute(words, templates):
@@ -43,7 +45,7 @@ def brute(words, templates):
     for i in range(len(words)):
         for n, (_, _, texts) in enumerate(templates):
             for end in range(len(words), i, -1):
-                if any(re.fullmatch(expression(t), "".join(f"{w} " for w in words[i:end])) for t in texts):
+                if any(expression(t).fullmatch("".join(f"{w} " for w in words[i:end])) for t in texts):
                     out[i, n] = end
                     break
     return out
