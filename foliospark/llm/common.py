@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -91,6 +91,11 @@ def cut(df: DataFrame, keep: bool = False) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def row_key(df: DataFrame) -> Column:
+    """A hash of the whole row, of all that can be hashed."""
+    return F.xxhash64(*(f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString() and not isinstance(f.dataType, (T.VariantType, T.NullType))))
+
+
 def id_type(df: DataFrame, name: str = "doc_id") -> str:
     """The type that identifiers are kept as: bigint for whole numbers, else string."""
     return "bigint" if isinstance(only(df, name).schema[0].dataType, T.IntegralType) else "string"

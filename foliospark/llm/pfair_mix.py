@@ -20,10 +20,9 @@ from fractions import Fraction
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import cut, inner, only, table
+from foliospark.llm.common import cut, inner, only, row_key, table
 
 #: Characters of a block, and the power of a source's size that its weight follows.
 BLOCK_CHARS, POWER = 1 << 20, 0.7
@@ -109,12 +108,6 @@ def slots_table(spark: SparkSession, weights: list[int], n_slots: int) -> DataFr
     return cut(one.mapInArrow(run, "mix_number int, mix_block bigint, mix_slot bigint"))[0]
 
 
-def row_key(own: DataFrame) -> Column:
-    """A hash of the whole row, of all that can be hashed: rows that share an identifier or a text are spread by what else they have."""
-    hashable = [f.name for f in own.schema.fields if "map<" not in f.dataType.simpleString() and not isinstance(f.dataType, (T.VariantType, T.NullType))]
-    return F.xxhash64(*hashable)
-
-
 def starts(own: DataFrame, made: DataFrame, text: Column, source: Column) -> tuple[DataFrame, DataFrame]:
     """The rows of own with their source's plan, their bucket and mix_inside, the characters of their bucket before them; and
     (mix_number, n_chars, mix_chars, mix_bucket, mix_sum, mix_before) of every bucket.
