@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import chunks, inner, only, table
+from foliospark.llm.common import chunks, cut, inner, only, table
 
 LEVEL, SHORT_LEVEL, SHORT_BYTES, PIECE_BYTES, PRIMER_BYTES = 6, 12, 300, 4096, 256
 #: Share by which the runner-up must be larger.
@@ -62,6 +62,7 @@ def fit_dictionaries(docs: DataFrame, per_language: int = PER_LANGUAGE, dictiona
     docs = only(docs, "doc_id", "lang", "text").where("doc_id is not null and lang is not null and text is not null")
     ranked = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = docs.select("doc_id", "lang").withColumn("at", F.row_number().over(ranked)).where(F.col("at") <= per_language).select("doc_id", "lang").distinct()
+    chosen, _ = cut(chosen)  # so that its size decides how it is joined
     rows = docs.join(chosen, ["doc_id", "lang"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
     def cut_up(batches):

@@ -27,7 +27,7 @@ from foliospark.llm.common import cut, inner, only, row_key, table
 #: Characters of a block, and the power of a source's size that its weight follows.
 BLOCK_CHARS, POWER = 1 << 20, 0.7
 #: Characters and rows, about, over which one group of rows is added up.
-BUCKET_CHARS, BUCKET_ROWS = 1 << 24, 1 << 18
+BUCKET_CHARS, BUCKET_ROWS = 1 << 22, 1 << 16
 
 
 def whole_weights(weights: list[float]) -> list[int]:
@@ -171,7 +171,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     So no row is lost, and after any slot a source has had its weight's share of the characters give or take less than a
     block and its longest text. What is left of blocks that the last slot cuts off stands in the last slot.
 
-    Two aggregations, with a row a source (these come to the driver) and a row a bucket of about 16 Mi characters; the table
+    Two aggregations, with a row a source (these come to the driver) and a row a bucket of about 4 Mi characters; the table
     of slots; an exchange of the rows by bucket for the running totals, then one of the mix by ranges of slots. Tables by
     source and bucket are written, so their size decides how they are joined.
 
