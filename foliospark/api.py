@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark import __version__
 from foliospark import errors as E
@@ -117,12 +118,15 @@ def visit_rows(pk: DataFrame, formatted: bool = False, **options) -> DataFrame:
     A cell has column_index, kind (blank, string, boolean, number, error), raw, value, bool_value, formatted and has_formula.
     """
     rows = scan_rows(pk, formatted=formatted, **options).where("row_ord is not null")
+    return rows.select("path", "sheet_index", "sheet_name", "row_ord", "row_index", _typed_cells(formatted).alias("cells"))
+
+
+def _typed_cells(formatted: bool) -> Column:
     shown = C.formatted if formatted else lambda c, d: F.lit(None).cast("string")
-    typed = F.transform(
+    return F.transform(
         "cells",
         lambda c: F.struct(c["column_index"].alias("column_index"), c["kind"].alias("kind"), c["raw"].alias("raw"), c["value"].alias("value"), c["bool_value"].alias("bool_value"), shown(c, F.col("date1904")).alias("formatted"), c["has_formula"].alias("has_formula")),
     )
-    return rows.select("path", "sheet_index", "sheet_name", "row_ord", "row_index", typed.alias("cells"))
 
 
 def for_each_row(pk: DataFrame, callback: Callable[[Row], bool | None], formatted: bool = False, **options) -> int:
@@ -180,6 +184,8 @@ def _json_text(c: Column) -> Column:
     return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
 
 
+#: Why a cell fell back to utf8.
+_REASONS = ("invalid numeric encoding", "invalid boolean encoding", "worksheet error value")
 TYPES = tuple("null bool int64 float64 date time datetime utf8".split())
 _SHAPE = {"datetime": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "date": r"^\d{4}-\d{2}-\d{2}$", "time": r"^\d{2}:\d{2}:\d{2}$"}
 
@@ -206,33 +212,42 @@ def _inferred(c: Column) -> Column:
 def infer_schema(pk: DataFrame, sample_rows: int | None = None, **options) -> DataFrame:
     """One row a column of each selected sheet: its promoted type, whether it is nullable, the types seen in order, and warnings.
 
-    Cells are reduced to one row a column and type, with the first row of each, before anything is exchanged, so the
-    aggregation moves a few rows a partition whatever the sheets' length. Columns up to the widest row are listed.
+    Each package is read once. Cells are reduced to one row a column and type, with the first row of each, before anything is
+    exchanged, so the aggregation moves a few rows a partition whatever the sheets' length. Columns up to the widest row are listed.
     """
     if sample_rows is not None and sample_rows < 1:
         raise E.EngineError(E.ARGUMENT, "invalid argument: sample rows must be 1 or greater")
     rows = visit_rows(pk, True, max_rows=sample_rows, **options)
     key = ["path", "sheet_index", "sheet_name"]
-    at = F.struct("row_ord", "row_index")
+    last = F.coalesce(F.get("cells", F.size("cells") - 1)["column_index"], F.lit(-1))
     filled = F.transform(F.filter("cells", lambda c: c["kind"] != "blank"), lambda c: c["column_index"])
-    bare = rows.select(*key, "row_ord", F.coalesce(F.get("cells", F.size("cells") - 1)["column_index"], F.lit(-1)).alias("last"), filled.alias("filled"))
-    typed = rows.select(*key, "row_ord", "row_index", F.explode("cells").alias("c")).select(*key, "row_ord", "row_index", F.col("c.column_index").alias("column_index"), _inferred(F.col("c")).alias("t"))
-    seen = (
-        typed.where("t.type != 'null'")
-        .groupBy(*key, "column_index", F.col("t.type").alias("type"))
-        .agg(F.min(at).alias("at"), F.min(F.when(F.col("t.reason").isNotNull(), F.struct("row_ord", "row_index", F.col("t.reason").alias("reason")))).alias("fallback"))
-    )
-    by_column = seen.groupBy(*key, "column_index").agg(F.array_sort(F.collect_list(F.struct(F.col("at.row_ord").alias("row_ord"), F.col("at.row_index").alias("row_index"), "type"))).alias("types"), F.min("fallback").alias("fallback"))
-    # A column's first row without a value: a gap within a row, or a row that ends before the column.
-    gaps = bare.where("last >= 0").select(*key, "row_ord", F.explode(F.array_except(F.sequence(F.lit(0), F.col("last")), F.col("filled"))).alias("column_index")).groupBy(*key, "column_index").agg(F.min("row_ord").alias("gap"))
-    ends = bare.groupBy(*key, "last").agg(F.min("row_ord").alias("row_ord"), F.count("*").alias("n"))
-    wide = ends.groupBy(*key).agg(F.sum("n").alias("examined_rows"), F.max("last").alias("last_column"), F.collect_list(F.struct("last", "row_ord")).alias("ends"))
-    columns = wide.where("last_column >= 0").select(*key, "examined_rows", "ends", F.explode(F.sequence(F.lit(0), F.col("last_column"))).alias("column_index"))
-    joined = columns.join(by_column, [*key, "column_index"], "left").join(gaps, [*key, "column_index"], "left")
+    # A row's entries: its cells that have a value; its columns without one; and, under -2 - its last column, where it ends.
+    kind = "struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema["cells"].dataType.elementType.fields) + ">"
+    bare = lambda column, what: F.struct(column.cast("int").alias("column_index"), F.lit(what).alias("what"), F.lit(None).cast(kind).alias("cell"))
+    of_cells = F.transform(F.filter("cells", lambda c: c["kind"] != "blank"), lambda c: F.struct(c["column_index"].alias("column_index"), F.lit("cell").alias("what"), c.alias("cell")))
+    holes = F.when(F.size(filled) <= last, F.transform(F.array_except(F.sequence(F.lit(0), last), filled), lambda i: bare(i, "null"))).otherwise(F.slice(F.array(bare(F.lit(0), "null")), 1, 0))
+    each = rows.select(*key, "row_ord", "row_index", F.inline(F.concat(of_cells, holes, F.array(bare(F.lit(-2) - last, "end")))))
+    each = each.select(*key, "row_ord", "row_index", "column_index", "what", F.when(F.col("what") == "cell", _inferred(F.col("cell"))).alias("t"))
+    each = each.select(*key, "row_ord", "row_index", "column_index", F.coalesce("t.type", "what").alias("type"), F.col("t.reason").alias("reason")).where("type != 'cell'")
+    code = F.array_position(F.array(*map(F.lit, _REASONS)), F.col("reason")).cast("int")
+    lapse = F.when(F.col("reason").isNotNull(), F.col("row_ord"))
+    seen = each.groupBy(*key, "column_index", "type").agg(
+        F.min("row_ord").alias("row_ord"), F.min_by("row_index", "row_ord").alias("row_index"), F.count("*").alias("n"), F.min(lapse).alias("lapse_ord"), F.min_by("row_index", lapse).alias("lapse_index"), F.min_by(code, lapse).alias("lapse")
+    )
+    fallback = F.min(F.when(F.col("lapse").isNotNull(), F.struct(F.col("lapse_ord").alias("row_ord"), F.col("lapse_index").alias("row_index"), F.get(F.array(*map(F.lit, _REASONS)), F.col("lapse") - 1).alias("reason"))))
+    valued = ~F.col("type").isin("null", "end")
+    by_column = seen.groupBy(*key, "column_index").agg(
+        F.array_sort(F.collect_list(F.when(valued, F.struct("row_ord", "row_index", "type")))).alias("types"), fallback.alias("fallback"), F.min(F.when(F.col("type") == "null", F.col("row_ord"))).alias("gap"),
+        F.max(F.when(F.col("type") == "end", F.struct((F.lit(-2) - F.col("column_index")).alias("last"), "row_ord", "n"))).alias("end"),
+    )
+    # Where rows end is known by sheet: a row that ends before a column has no value there.
+    sheet = Window.partitionBy(*key)
+    joined = by_column.withColumn("ends", F.collect_list("end").over(sheet)).where("column_index >= 0")
+    joined = joined.withColumn("examined_rows", F.aggregate(F.filter("ends", lambda e: e["last"] >= -1), F.lit(0).cast("bigint"), lambda a, e: a + e["n"]))
     short = F.array_min(F.transform(F.filter("ends", lambda e: e["last"] < F.col("column_index")), lambda e: e["row_ord"]))
     hole = F.least("gap", short)
     none = F.when(hole.isNotNull(), F.array(F.struct(hole.alias("row_ord"), F.lit(None).cast("bigint").alias("row_index"), F.lit("null").alias("type")))).otherwise(F.array().cast("array<struct<row_ord: bigint, row_index: bigint, type: string>>"))
-    types = F.coalesce(F.col("types"), F.array().cast("array<struct<row_ord: bigint, row_index: bigint, type: string>>"))
+    types = F.col("types")
     observed = F.transform(F.array_sort(F.concat(types, none)), lambda t: t["type"])
     names = F.transform(types, lambda t: t["type"])
 
@@ -329,12 +344,18 @@ def typed_table(pk: DataFrame, schema: list[tuple[str, int, str, bool]], on_mism
     """Worksheet rows as a table with an explicit schema: path, row_ord and its columns; times are microseconds of the day.
 
     A cell that doesn't fit ends the query with its row, column, name, expected and actual kind, or is null with
-    ``on_mismatch="null"``. Narrow: each row is converted where it is read.
+    ``on_mismatch="null"``. Narrow: each row is converted where it is read, in sheets of the usual form a whole column at a time.
     """
     validate_schema(schema)
-    rows = visit_rows(pk, True, **options)
+    direct = [(f"c{i}", *rest) for i, (_, *rest) in enumerate(schema)]
+    names = ("sheet", "all_sheets", "include_hidden", "sheet_index", "max_rows", "limits", "worksheet_limits", "mode")
+    if unknown := set(options) - set(names):
+        raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
+    o = dict.fromkeys(names) | {"all_sheets": False, "include_hidden": False, "limits": LIMITS, "mode": "failfast"} | options
+    scanned = shred.rows(pk, o["sheet"], o["sheet_index"], o["all_sheets"], o["include_hidden"], True, o["max_rows"], o["limits"], o["worksheet_limits"], o["mode"], direct)
+    scanned = scanned.where("row_ord is not null").withColumn("cells", _typed_cells(True))
     out = [F.col("path"), F.col("row_ord")]
-    for name, index, kind, nullable in schema:
+    for i, (name, index, kind, nullable) in enumerate(schema):
         cell = F.get(F.filter("cells", _at_column(index)), F.lit(0))
         value, actual = _converted(cell, kind)
         absent = cell.isNull() | (cell["kind"] == "blank")
@@ -344,8 +365,11 @@ def typed_table(pk: DataFrame, schema: list[tuple[str, int, str, bool]], on_mism
             if kind == "null":
                 bad = ~absent
             value = F.when(bad, F.raise_error(said).cast(value_type(kind))).otherwise(value)
-        out.append(value.cast(value_type(kind)).alias(name))
-    return rows.select(*out)
+        value = value.cast(value_type(kind))
+        if "direct" in scanned.columns:
+            value = F.when(F.col("cells").isNull(), F.col(f"direct.c{i}")).otherwise(value)
+        out.append(value.alias(name))
+    return scanned.select(*out)
 
 
 def value_type(kind: str) -> str:

@@ -14,8 +14,8 @@ _TABLE = "complete: boolean, grid_column_count: int, rows: array<struct<row_ordi
 
 
 def _tables(depth: int) -> str:
-    """Tables within tables, as deep as asked; a schema can't say more."""
-    block = f"array<struct<{_BLOCK}>>"
+    """Tables within tables, as deep as asked; the rows of deeper ones are read as JSON text, which is all of them."""
+    block = f"array<struct<{_BLOCK}, complete: boolean, grid_column_count: int, rows: string>>"
     for _ in range(depth):
         block = f"array<struct<{_BLOCK}, {_TABLE.format(block)}>>"
     return f"array<struct<part_type: string, part_path: string, table_ordinal: int, {_TABLE.format(block)}>>"

@@ -85,13 +85,13 @@ def csv_line(cells: Column, date1904: Column, delimiter: str = ",", with_format:
 
 
 def column_name(index: Column) -> Column:
-    """The letters of a column from 0: A to XFD and, by the same rule, beyond to 4 letters."""
-    out, n = F.lit(""), index.cast("bigint") + 1
-    for _ in range(4):
-        letter = F.char((F.lit(65) + F.pmod(n - 1, F.lit(26))).cast("bigint"))
-        out = F.when(n > 0, F.concat(letter, out)).otherwise(out)
-        n = F.when(n > 0, F.floor((n - 1) / 26)).otherwise(F.lit(0))
-    return out
+    """The letters of a column from 0: A to XFD and, by the same rule, beyond; seven letters are enough for any column."""
+    n, letters = index.cast("bigint"), []
+    for k in reversed(range(7)):
+        first = sum(26**j for j in range(1, k + 1))  # the first column with more than k letters
+        place = F.pmod(F.floor((n - first) / 26**k), F.lit(26))
+        letters.append(F.when(n >= first, F.char((place + 65).cast("bigint"))).otherwise(""))
+    return F.concat(*letters)
 
 
 def column_index(reference: Column) -> Column:

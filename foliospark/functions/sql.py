@@ -11,9 +11,10 @@ from foliospark.sources import package as P
 from foliospark.sources.archive import Archive
 
 SCALARS = (
-    # A letter for each of at most three places; beyond the last column of a worksheet there is none.
+    # A letter a place; seven places are enough for any column.
     "xl_column_name(i BIGINT) RETURNS STRING RETURN concat("
-    "if(i >= 702, char(65 + (i - 702) div 676), ''), if(i >= 26, char(65 + pmod((i - 26) div 26, 26)), ''), char(65 + pmod(i, 26)))",
+    + ", ".join(f"if(i >= {first}, char(65 + pmod((i - {first}) div {26**k}, 26)), '')" for k, first in reversed([(k, sum(26**j for j in range(1, k + 1))) for k in range(7)]))
+    + ")",
     "csv_quote(v STRING, delimiter STRING) RETURNS STRING RETURN CASE WHEN contains(v, delimiter) OR contains(v, '\"') OR contains(v, char(10)) OR contains(v, char(13)) THEN concat('\"', replace(v, '\"', '\"\"'), '\"') ELSE v END",
     "sheet_slug(name STRING) RETURNS STRING RETURN coalesce(nullif(regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-'), '^-|-$', ''), ''), 'sheet')",
 )
@@ -35,8 +36,8 @@ class OoxmlBlocks:
                 raise E.EngineError(E.ARGUMENT, "invalid argument: text extraction takes DOCX and PPTX")
             for i, (part_type, part, text) in enumerate((docx if kind == "docx" else pptx).blocks(archive)[0], 1):
                 yield i, part_type, part, text, None
-        except E.EngineError as e:
-            yield None, None, None, None, e.code
+        except Exception as e:
+            yield None, None, None, None, getattr(e, "code", E.IO)
 
 
 @udtf(returnType="row_ord bigint, row_index bigint, column_index int, kind string, raw string, value string, error string")
@@ -51,8 +52,8 @@ class XlsxCells:
             for n, (index, cells) in enumerate(reader.rows(data)):
                 for column, c in cells.items():
                     yield n, index, column, c.kind, c.raw, c.value, None
-        except E.EngineError as e:
-            yield None, None, None, None, None, None, e.code
+        except Exception as e:
+            yield None, None, None, None, None, None, getattr(e, "code", E.IO)
 
 
 def register(spark: SparkSession) -> None:

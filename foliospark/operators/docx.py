@@ -135,12 +135,12 @@ class _Table:
         return {"complete": complete, "grid_column_count": self.columns, "rows": self.rows}
 
 
+#: Grid columns are 32-bit numbers; a row's add up to one too.
+MOST_COLUMNS = 1 << 20
+
+
 def _whole(text: str | None) -> int | None:
-    try:
-        n = int(text, 10) if text is not None and "_" not in text and text.strip() == text else None
-    except ValueError:
-        return None
-    return n if n is not None and n >= 0 else None
+    return X.whole(text, MOST_COLUMNS)
 
 
 def _property(table: _Table | None, name: str, raw: bytes, path: str, found: list[dict]) -> None:
@@ -327,13 +327,23 @@ def tables(archive: Archive) -> tuple[list[dict], list[dict]]:
 
 
 def _public(table: dict) -> dict:
-    rows = []
-    for i, row in enumerate(table["rows"], 1):
-        at, cells = row["grid_before"], []
-        for j, cell in enumerate(row["cells"], 1):
-            own = [{"type": "paragraph", "text": b} if isinstance(b, str) else {"type": "table", **_public(b)} for b in cell["blocks"]]
-            cells.append({"cell_ordinal": j, "grid_start": at, "grid_span": cell["grid_span"], "vertical_merge": cell["vertical_merge"], "complete": True, "blocks": own})
-            at += cell["grid_span"]
-        rows.append({"row_ordinal": i, "grid_before": row["grid_before"], "grid_after": row["grid_after"], "complete": True, "cells": cells})
-    counted = {} if table["grid_column_count"] is None else {"grid_column_count": table["grid_column_count"]}
-    return {"complete": table["complete"], **counted, "rows": rows}
+    """Without recursion: tables may be nested deeper than calls can be."""
+    out: dict = {}
+    todo = [(table, out)]
+    while todo:
+        table, into = todo.pop()
+        rows = []
+        for i, row in enumerate(table["rows"], 1):
+            at, cells = row["grid_before"], []
+            for j, cell in enumerate(row["cells"], 1):
+                own = []
+                for b in cell["blocks"]:
+                    own.append({"type": "paragraph", "text": b} if isinstance(b, str) else {"type": "table"})
+                    if not isinstance(b, str):
+                        todo.append((b, own[-1]))
+                cells.append({"cell_ordinal": j, "grid_start": at, "grid_span": cell["grid_span"], "vertical_merge": cell["vertical_merge"], "complete": True, "blocks": own})
+                at += cell["grid_span"]
+            rows.append({"row_ordinal": i, "grid_before": row["grid_before"], "grid_after": row["grid_after"], "complete": True, "cells": cells})
+        counted = {} if table["grid_column_count"] is None else {"grid_column_count": table["grid_column_count"]}
+        into |= {"complete": table["complete"], **counted, "rows": rows}
+    return out

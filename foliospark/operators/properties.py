@@ -14,8 +14,7 @@ FIELDS = (*CORE.values(), *APP.values(), *COUNTS.values())
 
 
 def _count(text: str) -> int | None:
-    digits = text[1:] if text.startswith("+") else text
-    return int(digits) if digits.isascii() and digits.isdigit() and int(digits) < 1 << 63 else None
+    return X.whole(text)
 
 
 def _fields(data: bytes, path: str, texts: dict[str, str], counts: dict[str, str], out: dict, found: list[dict]) -> None:

@@ -194,3 +194,41 @@ def read(data: bytes, begin: int, end: int, strings: list[str], formats: list[st
         on = (code == 1) & (style >= 0) & (style < len(formats))
         form = pa.array(formats, pa.string()).take(pa.array(np.where(on, style, 0), mask=~on))
     return Columns(index - 1, np.searchsorted(row, np.arange(rows.size + 1)), column, kinds, raw, value, boolean, form, pa.array(formula))
+
+
+#: Types whose values need no format: their Arrow and their SQL types.
+DIRECT = {"int64": (pa.int64(), "bigint"), "float64": (pa.float64(), "double"), "bool": (pa.bool_(), "boolean"), "utf8": (pa.string(), "string")}
+_SHAPES = {"int64": r"^-?[0-9]{1,18}$", "float64": r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"}
+
+
+def values(own: Columns, schema: list[tuple[str, int, str, bool]]) -> list[pa.Array] | None:
+    """The rows' values of a schema, a column each; None where a cell doesn't fit or its text isn't as plain as most."""
+    n = own.index.size
+    row = np.repeat(np.arange(n), np.diff(own.offsets))
+    out = []
+    for _, index, kind, nullable in schema:
+        at = np.flatnonzero(own.column == index)
+        kinds = own.kind.take(pa.array(at))
+        filled = pc.not_equal(kinds, "blank")
+        if not pc.all(filled).as_py():
+            at, kinds = at[filled.to_numpy(zero_copy_only=False)], kinds.filter(filled)
+        if not nullable and at.size < n:
+            return None
+        wanted = {"utf8": "string", "bool": "boolean"}.get(kind, "number")
+        if not pc.all(pc.equal(kinds, wanted)).as_py():
+            return None
+        found = {"utf8": own.value, "bool": own.boolean}.get(kind, own.raw).take(pa.array(at))
+        if found.null_count:
+            return None
+        if kind in _SHAPES:
+            if not pc.all(pc.match_substring_regex(found, _SHAPES[kind])).as_py():
+                return None
+            found = found.cast(DIRECT[kind][0])
+            if kind == "float64" and not pc.all(pc.is_finite(found)).as_py():
+                return None
+        if at.size < n:
+            place = np.full(n, -1)
+            place[row[at]] = np.arange(at.size)
+            found = found.take(pa.array(place, mask=place < 0))
+        out.append(found)
+    return out

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from foliospark import errors as E
 from foliospark.operators import docx, pptx, properties, sheet_columns, xlsx
@@ -26,8 +27,9 @@ _ERROR = pa.struct([("code", _S), ("message", _S)])
 _END = f"warnings array<{E.WARNING_TYPE}>, error {E.ERROR_TYPE}"
 
 
-def _error(e: E.EngineError) -> dict:
-    return {"code": e.code, "message": e.message}
+def _error(e: Exception) -> dict:
+    """An engine's error as it is; any other, which an odd file may bring about, as one of input."""
+    return {"code": e.code, "message": e.message} if isinstance(e, E.EngineError) else {"code": E.IO, "message": f"I/O error: {type(e).__name__}: {str(e)[:200]}"}
 
 
 def _packages(batches) -> Iterator[tuple[str, bytes]]:
@@ -39,19 +41,26 @@ def _packages(batches) -> Iterator[tuple[str, bytes]]:
 
 
 def _each(batches, schema: pa.Schema, read: Callable[[str, Archive], dict], limits: Limits, mode: str) -> Iterator[pa.RecordBatch]:
-    """One row a package, a batch at a time."""
+    """One row a package, a batch at a time. In the lenient modes no package ends the scan, whatever is in it."""
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], schema=schema)
+
     for b in batches:
         rows = []
         for path, content in _packages([b]):
             try:
-                rows.append({"path": path, **read(path, Archive(content, limits))})
-            except E.EngineError as e:
+                row = {"path": path, **read(path, Archive(content, limits))}
+                if mode != "failfast":
+                    made([row])
+                rows.append(row)
+            except Exception as e:
                 if mode == "failfast":
                     raise
                 if mode == "permissive":
                     rows.append({"path": path, "error": _error(e)})
         if rows:
-            yield pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], schema=schema)
+            yield made(rows)
 
 
 def _scan(packages: DataFrame, arrow: list[tuple[str, pa.DataType]], sql: str, read, limits: Limits, mode: str) -> DataFrame:
@@ -112,15 +121,50 @@ _CELL_SQL = (
 )
 
 
-def _flat(table: dict, base: dict, nest: list[int]) -> Iterator[dict]:
+def _flat(table: dict, base: dict) -> Iterator[dict]:
     """The cells of a table and of those within it; nest holds row, cell and place of each table around."""
-    own = base | {"nest": nest, "table_complete": table["complete"], "grid_column_count": table.get("grid_column_count")}
-    for row in table["rows"]:
-        for cell in row["cells"]:
-            yield own | {k: row[k] for k in ("row_ordinal", "grid_before", "grid_after")} | {k: cell[k] for k in ("cell_ordinal", "grid_start", "grid_span", "vertical_merge")} | {"paragraphs": [b["text"] for b in cell["blocks"] if b["type"] == "paragraph"]}
-            for i, b in enumerate(cell["blocks"], 1):
-                if b["type"] == "table":
-                    yield from _flat(b, base, [*nest, row["row_ordinal"], cell["cell_ordinal"], i])
+
+    def own_cells(table: dict, nest: list[int]) -> Iterator[dict | tuple]:
+        own = base | {"nest": nest, "table_complete": table["complete"], "grid_column_count": table.get("grid_column_count")}
+        for row in table["rows"]:
+            for cell in row["cells"]:
+                yield own | {k: row[k] for k in ("row_ordinal", "grid_before", "grid_after")} | {k: cell[k] for k in ("cell_ordinal", "grid_start", "grid_span", "vertical_merge")} | {"paragraphs": [b["text"] for b in cell["blocks"] if b["type"] == "paragraph"]}
+                for i, b in enumerate(cell["blocks"], 1):
+                    if b["type"] == "table":
+                        yield b, [*nest, row["row_ordinal"], cell["cell_ordinal"], i]
+
+    open_ = [own_cells(table, [])]
+    while open_:
+        found = next(open_[-1], None)
+        if found is None:
+            open_.pop()
+        elif isinstance(found, tuple):
+            open_.append(own_cells(*found))
+        else:
+            yield found
+
+
+def _json(value: object) -> str:
+    """JSON of trees of any depth."""
+    try:
+        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+    except RecursionError:
+        pass
+    out, todo = [], [(value, True)]
+    while todo:
+        x, is_value = todo.pop()
+        if not is_value:
+            out.append(x)
+        elif isinstance(x, dict | list):
+            pairs = x.items() if isinstance(x, dict) else ((None, v) for v in x)
+            parts: list[tuple] = [("{" if isinstance(x, dict) else "[", False)]
+            for i, (k, v) in enumerate(pairs):
+                parts.append(("," * bool(i) + (json.dumps(k, ensure_ascii=False) + ":" if k is not None else ""), False))
+                parts.append((v, True))
+            todo.extend(reversed([*parts, ("}" if isinstance(x, dict) else "]", False)]))
+        else:
+            out.append(json.dumps(x, ensure_ascii=False))
+    return "".join(out)
 
 
 def tables(packages: DataFrame, limits: Limits, mode: str) -> DataFrame:
@@ -130,8 +174,8 @@ def tables(packages: DataFrame, limits: Limits, mode: str) -> DataFrame:
             raise E.EngineError(E.ARGUMENT, f"invalid argument: table extraction takes DOCX, not {kind.upper()}")
         own, found = docx.tables(archive)
         parts = {p: i for i, p in enumerate(dict.fromkeys(t["part_path"] for t in own), 1)}
-        cells = [c for t in own for c in _flat(t, {"part_ord": parts[t["part_path"]], **{k: t[k] for k in ("part_type", "part_path", "table_ordinal")}}, [])]
-        return {"tables_json": json.dumps(own, ensure_ascii=False, separators=(",", ":")), "n_tables": len(own), "cells": cells, "warnings": found}
+        cells = [c for t in own for c in _flat(t, {"part_ord": parts[t["part_path"]], **{k: t[k] for k in ("part_type", "part_path", "table_ordinal")}})]
+        return {"tables_json": _json(own), "n_tables": len(own), "cells": cells, "warnings": found}
 
     arrow = [("tables_json", _S), ("n_tables", pa.int32()), ("cells", pa.list_(pa.struct(_CELL_FIELDS)))]
     return _scan(packages, arrow, f"tables_json string, n_tables int, cells {_CELL_SQL}", read, limits, mode)
@@ -245,17 +289,40 @@ def _rows_of(path: str, index: int, name: str, first: int, date1904: bool, row_i
     )
 
 
+def _direct_batches(path: str, index: int, name: str, date1904: bool, own: sheet_columns.Columns, values: list[pa.Array], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    flat = pa.StructArray.from_arrays(values, fields=list(schema[-1].type))
+    for first in range(0, own.index.size, COLUMN_ROWS):
+        n = min(COLUMN_ROWS, own.index.size - first)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.repeat(pa.scalar(path, _S), n), pa.repeat(pa.scalar(index, pa.int32()), n), pa.repeat(pa.scalar(name, _S), n),
+                pa.array(np.arange(first, first + n)), pa.array(own.index[first : first + n]), pa.repeat(pa.scalar(date1904), n),
+                pa.nulls(n, pa.list_(_CELL)), pa.nulls(n, _WARNINGS), pa.nulls(n, _ERROR), flat.slice(first, n),
+            ],
+            schema=schema,
+        )
+
+
 def _status(path: str, index: int | None, name: str | None, found: list[dict], error: dict | None) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{f.name: None for f in _ROWS} | {"path": path, "sheet_index": index, "sheet_name": name, "warnings": found, "error": error}], schema=_ROWS)
 
 
+#: Rows of a batch of columns, which are no more than a few arrays.
+COLUMN_ROWS = 1 << 15
+
+
 def rows(
-    packages: DataFrame, sheet: str | None, sheet_index: int | None, all_sheets: bool, include_hidden: bool, formatted: bool, max_rows: int | None, limits: Limits, worksheet_limits: Limits | None, mode: str
+    packages: DataFrame, sheet: str | None, sheet_index: int | None, all_sheets: bool, include_hidden: bool, formatted: bool, max_rows: int | None, limits: Limits, worksheet_limits: Limits | None, mode: str,
+    direct: list[tuple[str, int, str, bool]] | None = None,
 ) -> DataFrame:
     """Worksheet rows with their cells, in worksheet order by row_ord; then for each sheet a row without row_ord, for warnings and error.
 
-    A sheet that fails half-way keeps the rows before. With ``max_rows`` the worksheet is left after so many rows.
+    A sheet that fails half-way keeps the rows before. With ``max_rows`` the worksheet is left after so many rows. With ``direct``, a
+    schema, rows also have ``direct``, a struct of its values; it is set, and cells aren't, in sheets of the usual form of which all cells fit.
     """
+    with_direct = bool(direct) and all(kind in sheet_columns.DIRECT for _, _, kind, _ in direct)
+    fields = [pa.field(n, sheet_columns.DIRECT[kind][0], True) for n, _, kind, _ in direct] if with_direct else []
+    out_schema = pa.schema([*_ROWS, pa.field("direct", pa.struct(fields))]) if with_direct else _ROWS
     if sheet is not None and sheet_index is not None:
         raise E.EngineError(E.ARGUMENT, "invalid argument: select an XLSX sheet by name or index, not both")
     if mode not in ("failfast", "dropmalformed", "permissive"):
@@ -268,7 +335,11 @@ def rows(
         rows = reader.columns(data) if max_rows is None else None
         if rows is not None:
             found, rows = rows
-            yield from _column_batches(path, index, own.name, opened.book.date1904, found)
+            values = sheet_columns.values(found, direct) if with_direct else None
+            if values is not None:
+                yield from _direct_batches(path, index, own.name, opened.book.date1904, found, values, out_schema)
+            else:
+                yield from _column_batches(path, index, own.name, opened.book.date1904, found)
             first = n = found.index.size
         for row in reader.rows(data) if rows is None else rows:
             held.append(row)
@@ -288,7 +359,7 @@ def rows(
             try:
                 opened = xlsx.open_workbook(Archive(content, limits), formatted)
                 chosen = xlsx.in_scope(opened.book.sheets, include_hidden) if all_sheets else [xlsx.select(opened.book.sheets, sheet, sheet_index, include_hidden)]
-            except E.EngineError as e:
+            except Exception as e:
                 if mode == "failfast":
                     raise
                 if mode == "permissive":
@@ -298,10 +369,18 @@ def rows(
                 name = own.name
                 try:
                     yield from one(path, opened, index, own)
-                except E.EngineError as e:
+                except Exception as e:
                     if mode == "failfast":
                         raise
                     if mode == "permissive":
                         yield _status(path, index, name, opened.warnings, _error(e))
 
-    return packages.select("path", "content").mapInArrow(run, ROWS_SQL)
+    def whole(batches):
+        for b in run(batches):
+            yield b if b.num_columns == len(out_schema) else pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, out_schema[-1].type)], schema=out_schema)
+
+    if not with_direct:
+        return packages.select("path", "content").mapInArrow(run, ROWS_SQL)
+    kinds = T.StructType([T.StructField(n, T._parse_datatype_string(sheet_columns.DIRECT[kind][1])) for n, _, kind, _ in direct])
+    schema = T.StructType([*T._parse_datatype_string(ROWS_SQL).fields, T.StructField("direct", kinds)])
+    return packages.select("path", "content").mapInArrow(whole, schema)

@@ -159,11 +159,11 @@ def styles(data: bytes, path: str = "xl/styles.xml") -> tuple[list[str | None],
                 inside = inside or kind == X.START
             elif name == "numFmt":
                 own = X.attributes(raw)
-                if own.get("numFmtId", "").isdecimal() and "formatCode" in own:
-                    custom[int(own["numFmtId"])] = own["formatCode"]
+                if (n := X.whole(own.get("numFmtId"))) is not None and "formatCode" in own:
+                    custom[n] = own["formatCode"]
             elif name == "xf" and inside:
-                n = X.attribute(raw, "numFmtId") or ""
-                code = (custom.get(int(n)) or _BUILT_IN.get(int(n))) if n.isdecimal() else None
+                n = X.whole(X.attribute(raw, "numFmtId"))
+                code = custom.get(n) or _BUILT_IN.get(n) if n is not None else None
                 out.append(classify_format(code) if code is not None else None)
     except X.XmlFault as e:
         return out, [E.malformed(path, e)]
@@ -171,6 +171,8 @@ def styles(data: bytes, path: str = "xl/styles.xml") -> tuple[list[str | None],
 
 
 _LETTERS = re.compile(r"[A-Za-z]+")
+#: Columns are 32-bit numbers.
+MOST_COLUMN = (1 << 31) - 2
 
 
 def column_of(reference: str) -> int | None:
@@ -181,6 +183,8 @@ def column_of(reference: str) -> int | None:
     n = 0
     for c in m[0].upper():
         n = n * 26 + ord(c) - 64
+        if n > MOST_COLUMN:
+            raise E.EngineError(E.BAD_XML, f"malformed XML: column {m[0][:20]} is out of range")
     return n - 1
 
 
@@ -206,15 +210,14 @@ class SheetReader:
 
     def cell(self, kind: str | None, text: str, style: str | None, formula: bool) -> Cell:
         if kind == "s":
-            n = text.strip()
-            n = n[1:] if n.startswith("+") else n
-            if not (n.isascii() and n.isdigit()):
+            n = X.whole(text.strip())
+            if n is None:
                 self.warnings.append(E.warning(E.W_INDEX, self.path, f"invalid shared string index '{text}'"))
                 return Cell("string", text, text, None, None, formula)
-            if int(n) >= len(self.strings):
-                self.warnings.append(E.warning(E.W_BOUNDS, self.path, f"shared string index {int(n)} is out of bounds"))
+            if n >= len(self.strings):
+                self.warnings.append(E.warning(E.W_BOUNDS, self.path, f"shared string index {n} is out of bounds"))
                 return Cell("string", text, "", None, None, formula)
-            return Cell("string", text, self.strings[int(n)], None, None, formula)
+            return Cell("string", text, self.strings[n], None, None, formula)
         if kind == "b":
             return Cell("boolean", text, None, _TRUTH.get(text.strip()), None, formula)
         if kind in ("str", "inlineStr"):
@@ -223,9 +226,8 @@ class SheetReader:
             return Cell("error", text, None, None, None, formula)
         if not text:
             return Cell("blank", None, None, None, None, True) if formula else BLANK
-        style = style[1:] if style and style.startswith("+") else style
-        known = self.formats is not None and style is not None and style.isascii() and style.isdigit() and int(style) < len(self.formats)
-        return Cell("number", text, None, None, self.formats[int(style)] if known else None, formula)
+        n = X.whole(style) if self.formats is not None else None
+        return Cell("number", text, None, None, self.formats[n] if n is not None and n < len(self.formats) else None, formula)
 
     _FAST = re.compile(
         rb'<c r="([A-Z]{1,3})\d+"(?: s="(\d+)")?(?: t="(\w+)")?(?:/>|>(<f>[^<]*</f>|<f/>)?(?:<v>([^<]*)</v>|<is><t(?: xml:space="preserve")?>([^<]*)</t></is>)?</c>)'
@@ -322,9 +324,8 @@ class SheetReader:
                             yield state["row"], dict(sorted(state["cells"].items()))
                         state["row"] = None
                         continue
-                    n = X.attribute(raw, "r") or ""
-                    n = n[1:] if n.startswith("+") else n
-                    index = int(n) - 1 if n.isascii() and n.isdigit() and int(n) > 0 else state["next"]
+                    n = X.whole(X.attribute(raw, "r"))
+                    index = n - 1 if n else state["next"]
                     state |= {"next": index + 1, "row": index, "cells": {}, "most": -1}
                     if kind == X.EMPTY:
                         state["row"] = None

@@ -50,6 +50,16 @@ def local(name: bytes) -> str:
     return name.rpartition(b":")[2].decode("utf-8", "replace")
 
 
+def whole(text: str | None, most: int = (1 << 63) - 1) -> int | None:
+    """Plain decimal digits, with a plus or none before them, as a number up to ``most``; else None."""
+    if text is None:
+        return None
+    digits = text[1:] if text.startswith("+") else text
+    if not (digits.isascii() and digits.isdigit()) or len(digits := digits.lstrip("0") or "0") > 19:
+        return None
+    return n if (n := int(digits)) <= most else None
+
+
 def attributes(raw: bytes) -> dict[str, str]:
     """By local name; the first of each."""
     out: dict[str, str] = {}
