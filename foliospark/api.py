@@ -7,12 +7,14 @@ row for each with ``error`` set. Recoverable oddities are in ``warnings``.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +22,7 @@ from foliospark import __version__
 from foliospark import errors as E
 from foliospark.functions import cells as C
 from foliospark.operators import shred
+from foliospark.sources import folders
 from foliospark.sources.archive import Limits
 
 LIMITS = Limits()
@@ -130,24 +133,33 @@ def _typed_cells(formatted: bool) -> Column:
 
 
 def for_each_row(pk: DataFrame, callback: Callable[[Row], bool | None], formatted: bool = False, **options) -> int:
-    """Calls back with each worksheet row, in order, until it gives False; the number of calls. Rows come to the driver a partition at a time."""
+    """Calls back with each worksheet row, in order, until it gives False; the number of calls.
+
+    Packages are parted by path, one to a partition, so that nothing is sorted and the first call waits for the first package alone; rows come
+    to the driver a partition at a time.
+    """
     n = 0
-    for row in visit_rows(pk, formatted, **options).orderBy("path", "sheet_index", "row_ord").toLocalIterator():
+    for row in visit_rows(_by_path(pk), formatted, **options).toLocalIterator():
         n += 1
         if callback(row) is False:
             break
     return n
 
 
+def _by_path(pk: DataFrame) -> DataFrame:
+    """Packages in the order of their paths: their contents are exchanged once, their rows never."""
+    return pk.repartitionByRange(max(1, min(10_000, pk.select("path").count())), "path").sortWithinPartitions("path")
+
+
 def cells(pk: DataFrame, formatted: bool = False, **options) -> DataFrame:
     """One row a cell."""
     return visit_rows(pk, formatted, **options).select("path", "sheet_index", "sheet_name", "row_ord", "row_index", F.inline("cells"))
 
 
 def row_warnings(pk: DataFrame, formatted: bool = False, **options) -> DataFrame:
-    """One row a warning of the scan, in order."""
+    """One row a warning of the scan, in order: path, sheet_index, ord, category, code, part_path, message."""
     found = scan_rows(pk, formatted=formatted, **options).where("row_ord is null")
-    return found.select("path", "sheet_index", F.posexplode("warnings").alias("ord", "w")).select("path", "sheet_index", "ord", "w.*")
+    return found.select("path", "sheet_index", F.posexplode("warnings").alias("ord", "w")).select("path", "sheet_index", "ord", "w.category", "w.code", F.col("w.path").alias("part_path"), "w.message")
 
 
 def parse_delimiter(text: str) -> str:
@@ -376,19 +388,94 @@ def value_type(kind: str) -> str:
     return {"null": "void", "bool": "boolean", "int64": "bigint", "float64": "double", "date": "date", "time": "bigint", "datetime": "timestamp_ntz", "utf8": "string"}[kind]
 
 
-def write_parquet(pk: DataFrame, schema: list[tuple[str, int, str, bool]], path: str, batch_rows: int = 8192, **options) -> None:
-    """A typed table as Parquet with row groups of at most ``batch_rows`` rows."""
+def write_parquet(pk: DataFrame, schema: list[tuple[str, int, str, bool]], path: str, batch_rows: int = 8192, **options) -> dict[str, int]:
+    """A typed table as Parquet with row groups of at most ``batch_rows`` rows; gives the rows and row groups written."""
     if batch_rows < 1:
         raise E.EngineError(E.ARGUMENT, "invalid argument: batch rows must be 1 or greater")
-    typed_table(pk, schema, **options).drop("path", "row_ord").write.option("parquet.block.row.count.limit", batch_rows).parquet(path)
+    own = typed_table(pk, schema, **options).drop("path", "row_ord")
+    seen = Observation()
+    own.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("parquet.block.row.count.limit", batch_rows).parquet(path)
+    return {"rows": seen.get["rows"], "row_groups": _row_groups(own.sparkSession, path)}
+
+
+def _row_groups(spark: SparkSession, path: str) -> int:
+    """Of all files of a folder, read from their footers by the tasks."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path")
 
+    def count(batches):
+        import pyarrow as pa
+        import pyarrow.parquet as pq
 
-def record_batches(pk: DataFrame, schema: list[tuple[str, int, str, bool]], batch_rows: int = 8192, **options):
-    """Arrow batches of at most ``batch_rows`` rows, a package's rows in order."""
+        for b in batches:
+            n = 0
+            for name in b.column("path").to_pylist():
+                system, at = folders.file_system(name)
+                with system.open_input_file(at) as f:
+                    n += pq.ParquetFile(f).num_row_groups
+            yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    return files.mapInArrow(count, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def record_batches(pk: DataFrame, schema: list[tuple[str, int, str, bool]], batch_rows: int = 8192, **options) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most ``batch_rows`` rows, a package's rows in order; a partition at a time comes to the driver."""
     if batch_rows < 1:
         raise E.EngineError(E.ARGUMENT, "invalid argument: batch rows must be 1 or greater")
-    table = typed_table(pk, schema, **options).orderBy("path", "row_ord").drop("path", "row_ord").toArrow()
-    return table.to_batches(max_chunksize=batch_rows)
+    table = typed_table(_by_path(pk), schema, **options)
+
+    def pack(batches):
+        import io
+
+        for b in batches:
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b)
+            yield pa.record_batch([pa.array([out.getvalue()], pa.binary())], names=["data"])
+
+    def arrived() -> Iterator[tuple[str, pa.RecordBatch]]:
+        for r in table.drop("row_ord").mapInArrow(pack, "data binary").toLocalIterator():
+            for b in pa.ipc.open_stream(r.data):
+                begin, paths = 0, b.column("path").to_pylist()
+                for i in range(1, b.num_rows + 1):
+                    if i == b.num_rows or paths[i] != paths[begin]:
+                        yield paths[begin], b.slice(begin, i - begin).drop_columns("path")
+                        begin = i
+
+    def batches() -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at, n = None, 0
+        for path, b in arrived():
+            if held and path != at:
+                yield _one(held)
+                held, n = [], 0
+            at = path
+            while n + b.num_rows >= batch_rows:
+                held.append(b.slice(0, batch_rows - n))
+                b = b.slice(batch_rows - n)
+                yield _one(held)
+                held, n = [], 0
+            if b.num_rows:
+                held.append(b)
+                n += b.num_rows
+        if held:
+            yield _one(held)
+
+    return batches()
+
+
+def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+
+def visit_batches(pk: DataFrame, schema: list[tuple[str, int, str, bool]], callback: Callable[[pa.RecordBatch], bool | None], batch_rows: int = 8192, **options) -> dict[str, int]:
+    """Calls back with each batch until it gives False; gives the rows and batches visited."""
+    seen = {"rows": 0, "batches": 0}
+    for b in record_batches(pk, schema, batch_rows, **options):
+        seen["rows"] += b.num_rows
+        seen["batches"] += 1
+        if callback(b) is False:
+            break
+    return seen
 
 
 def _some(warnings: str = "warnings") -> Column:
@@ -466,22 +553,33 @@ def joined_text(pk: DataFrame, order: list[str] | None = None, limits: Limits =
     return "\n---\n".join(texts)
 
 
-def warning_lines(found: Iterable[Row]) -> list[str]:
+def warning_lines(found: Iterable[Row | dict], form: str = "text") -> list[str]:
+    """Warnings for a reader: as lines of text, as JSON lines, or (none) not at all."""
+    if form == "none":
+        return []
+    if form == "json":
+        return [json.dumps({k: w[k] for k in ("category", "code", "path", "message")}, ensure_ascii=False, separators=(",", ":")) for w in found]
     return [f"warning[{w['category']}/{w['code']}]: {w['path']}: {w['message']}" for w in found]
 
 
+def skipped(path: str, error: Row | dict) -> dict:
+    """The warning for an input that a batch leaves out."""
+    return E.warning(E.W_SKIPPED, path, f"skipped after error[{error['code']}]: {error['message']}")
+
+
 def sheet_list_text(pk: DataFrame, include_hidden: bool = False) -> DataFrame:
     """path, index and a line such as ``2: Notes`` or, with hidden ones, ``2: Notes (hidden)``."""
     line = F.format_string("%d: %s", "index", "name") if not include_hidden else F.format_string("%d: %s (%s)", "index", "name", "visibility")
     return list_sheets(pk, include_hidden).select("path", "index", line.alias("line"))
 
 
-def export_all_sheets(pk: DataFrame, folder: str, delimiter: str = ",", formatted: bool = False, include_hidden: bool = False) -> DataFrame:
+def export_all_sheets(pk: DataFrame, folder: str, delimiter: str = ",", formatted: bool = False, include_hidden: bool = False, flat: bool = False) -> DataFrame:
     """Writes a CSV file for each sheet of each package, in a folder of the package below ``folder``, and its manifest beside them.
 
-    A sheet's file is written by the task that reads it, row by row, so ``folder`` is one that all tasks share; a sheet that
-    fails keeps the rows before. Gives a row a sheet: path, index, name, visibility, csv_path, warnings, error; a package that
-    can't be read has one without a sheet.
+    ``folder`` is one that all tasks share, a path or a URI. A package's folder has the name of its file and a hash of its whole path, so
+    packages of one name keep apart; ``flat``, for one package, writes into ``folder`` itself. A sheet's file is written by the task
+    that reads it, row by row, and takes its name when it is done; a sheet that fails keeps the rows before. Gives a row a sheet: path,
+    index, name, visibility, csv_path, warnings, error; a package that can't be read has one without a sheet.
     """
     own = parse_delimiter(delimiter)
     scanned = scan_rows(pk, all_sheets=True, include_hidden=include_hidden, formatted=formatted, mode="permissive")
@@ -491,6 +589,7 @@ def export_all_sheets(pk: DataFrame, folder: str, delimiter: str = ",", formatte
     def write(batches):
         import pandas as pd
 
+        system, base = folders.file_system(folder)
         target, at = None, None
         for pdf in batches:
             out = []
@@ -500,16 +599,15 @@ def export_all_sheets(pk: DataFrame, folder: str, delimiter: str = ",", formatte
                     continue
                 key = (r.path, int(r.sheet_index))
                 if key != at:
-                    if target:
-                        target.close()
-                    where = Path(folder) / _stem(r.path)
-                    where.mkdir(parents=True, exist_ok=True)
-                    target, at = open(where / f"{key[1]:03d}-{r.slug}.csv", mode="w", newline="", encoding="utf-8"), key
+                    where = base if flat else f"{base}/{package_folder(r.path)}"
+                    system.create_dir(where, recursive=True)
+                    name, at = f"{key[1]:03d}-{r.slug}.csv", key
+                    target = folders.Replacing(system, f"{where}/{name}")
                 if r.line is not None:
-                    target.write(f"{r.line}\n")
+                    target.write(f"{r.line}\n".encode())
                 else:
-                    target.close()
-                    out.append((r.path, key[1], r.sheet_name, Path(target.name).name, r.status))
+                    target.done()
+                    out.append((r.path, key[1], r.sheet_name, name, r.status))
                     target = at = None
             yield pd.DataFrame(out, columns=["path", "index", "name", "csv_path", "status"])
 
@@ -519,13 +617,17 @@ def export_all_sheets(pk: DataFrame, folder: str, delimiter: str = ",", formatte
     for r in sorted(found, key=lambda r: (r.path, r["index"] or 0)):
         status = json.loads(r.status)
         rows.append({"path": r.path, "index": r["index"], "name": r.name, "visibility": states.get((r.path, r["index"])), "csv_path": r.csv_path, "warnings": status.get("warnings") or [], "error": status.get("error")})
+    system, base = folders.file_system(folder)
     for path in dict.fromkeys(r["path"] for r in rows):
         sheets = [{k: v for k, v in r.items() if k != "path" and v is not None} for r in rows if r["path"] == path and r["index"] is not None]
-        where = Path(folder) / _stem(path)
-        where.mkdir(parents=True, exist_ok=True)
-        (where / "manifest.json").write_text(json.dumps({"engine_version": __version__, "file": path, "sheets": sheets}, ensure_ascii=False, indent=2), encoding="utf-8")
+        where = base if flat else f"{base}/{package_folder(path)}"
+        system.create_dir(where, recursive=True)
+        out = folders.Replacing(system, f"{where}/manifest.json")
+        out.write(json.dumps({"engine_version": __version__, "file": path, "sheets": sheets}, ensure_ascii=False, indent=2).encode())
+        out.done()
     return pk.sparkSession.createDataFrame(rows, f"path string, index int, name string, visibility string, csv_path string, warnings array<{E.WARNING_TYPE}>, error {E.ERROR_TYPE}")
 
 
-def _stem(path: str) -> str:
-    return Path(re.sub(r"^[a-z0-9]+:/*", "/", path)).stem
+def package_folder(path: str) -> str:
+    """The folder of a package's exports: the stem of its file and eight digits of its whole path's hash."""
+    return f"{Path(re.sub(r'^[a-z0-9]+:/*', '/', path)).stem}-{hashlib.sha256(path.encode()).hexdigest()[:8]}"

@@ -31,10 +31,14 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from foliospark.plans import more  # noqa: F401
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from foliospark.plans import more  # noqa: F401
+
     return dict(SQL)
 
 

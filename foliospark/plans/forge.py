@@ -28,6 +28,23 @@ def archive(parts: dict[str, str | bytes], deflate: bool = False) -> bytes:
     return out.getvalue()
 
 
+def edited(data: bytes, name: str, change: Callable[[bytes], bytes]) -> bytes:
+    """A package with one part changed."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        return archive({n: change(z.read(n)) if n == name else z.read(n) for n in z.namelist()})
+
+
+def encrypted(data: bytes, name: str) -> bytes:
+    """A package in which one part claims to be encrypted."""
+    out, at = bytearray(data), 0
+    while (at := data.find(b"PK\1\2", at)) >= 0:
+        size = int.from_bytes(data[at + 28 : at + 30], "little")
+        if data[at + 46 : at + 46 + size].decode() == name:
+            out[at + 8] |= 1
+        at += 46
+    return bytes(out)
+
+
 def rels(*items: tuple[str, str, str], external: tuple[str, ...] = ()) -> str:
     """(id, type suffix, target) of each relationship."""
     own = "".join(f'<Relationship Id="{i}" Type="{_R}/{t}" Target="{esc(target)}"{" TargetMode=\"External\"" if i in external else ""}/>' for i, t, target in items)

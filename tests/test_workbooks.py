@@ -168,9 +168,9 @@ def test_all_sheets_with_manifest(spark, tmp_path):
     pk = api.from_bytes(spark, [("dir/book.xlsx", BOOK)])
     got = api.export_all_sheets(pk, str(tmp_path / "out"), include_hidden=True).orderBy("index").collect()
     assert [r.csv_path for r in got] == ["001-sales-q1.csv", "002-hidden.csv", "003-twice.csv", "004-twice.csv", "005-ops-q1.csv"]
-    assert (tmp_path / "out/book/005-ops-q1.csv").read_text() == "4\n"
+    assert (tmp_path / "out" / api.package_folder("dir/book.xlsx") / "005-ops-q1.csv").read_text() == "4\n"
     assert [r.visibility for r in got] == ["visible", "hidden", "visible", "visible", "veryHidden"]
-    manifest = json.loads((tmp_path / "out/book/manifest.json").read_text())
+    manifest = json.loads((tmp_path / "out" / api.package_folder("dir/book.xlsx") / "manifest.json").read_text())
     assert manifest["file"] == "dir/book.xlsx" and len(manifest["sheets"]) == 5 and manifest["sheets"][1]["warnings"] == []
 
 
