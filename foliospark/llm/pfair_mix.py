@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliospark.llm.common import cut, inner, only, row_key, table
+from foliospark.llm.common import chunks, cut, inner, only, row_key, table
 
 #: Characters of a block, and the power of a source's size that its weight follows.
 BLOCK_CHARS, POWER = 1 << 20, 0.7
@@ -108,21 +110,44 @@ def slots_table(spark: SparkSession, weights: list[int], n_slots: int) -> DataFr
     return cut(one.mapInArrow(run, "mix_number int, mix_block bigint, mix_slot bigint"))[0]
 
 
-def starts(own: DataFrame, made: DataFrame, text: Column, source: Column) -> tuple[DataFrame, DataFrame]:
-    """The rows of own with their source's plan, their bucket and mix_inside, the characters of their bucket before them; and
-    (mix_number, n_chars, mix_chars, mix_bucket, mix_sum, mix_before) of every bucket.
+def _recoded(docs: DataFrame, text: str, kind: T.DataType, each: Callable[[bytes], bytes]) -> DataFrame:
+    """docs with the text column, as bytes, recoded; null stays null."""
+    schema = T.StructType([T.StructField(f.name, kind if f.name == text else f.dataType) for f in docs.schema.fields])
+    at = docs.columns.index(text)
+
+    def run(batches):
+        for b in chunks(batches, at):
+            columns = list(b.columns)
+            made = [None if x is None else each(x) for x in columns[at].cast(pa.binary()).to_pylist()]
+            columns[at] = pa.array(made, pa.binary()).cast(pa.string() if isinstance(kind, T.StringType) else pa.binary())
+            yield pa.record_batch(columns, names=b.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def packed(docs: DataFrame, text: str) -> DataFrame:
+    """docs with compressed texts, which is how they go through the exchanges."""
+    return _recoded(docs, text, T.BinaryType(), lambda x: zstandard.compress(x, 3))
+
+
+def unpacked(docs: DataFrame, text: str) -> DataFrame:
+    return _recoded(docs, text, T.StringType(), zstandard.decompress)
+
+
+def starts(own: DataFrame, made: DataFrame, text: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of own, texts packed, with their source's plan, their bucket, mix_length and mix_inside, the characters of
+    their bucket before them; and (mix_number, n_chars, mix_chars, mix_bucket, mix_sum, mix_before) of every bucket.
 
     A source's rows stand in the order of buckets by the row's hash, then hash. So the characters before a bucket come from
     one aggregation with a row a bucket, and no task adds up more than a bucket and rows alike in all columns.
     """
-    key = row_key(own)
-    length = F.coalesce(F.length(text), F.lit(0)).cast("bigint")
-    keyed = own.join(made, source.eqNullSafe(made["mix_source"])).withColumn("mix_key", key).withColumn("mix_bucket", F.pmod("mix_key", F.col("n_buckets")))
-    sums = keyed.groupBy("mix_number", "n_chars", "mix_chars", "mix_bucket").agg(F.sum(length).alias("mix_sum"))
+    keyed = own.withColumn("mix_length", F.coalesce(F.length(text), F.lit(0)).cast("bigint")).withColumn("mix_key", row_key(own))
+    planned = lambda df: df.join(made, F.col(source).eqNullSafe(F.col("mix_source"))).withColumn("mix_bucket", F.pmod("mix_key", F.col("n_buckets")))
+    sums = planned(keyed).groupBy("mix_number", "n_chars", "mix_chars", "mix_bucket").agg(F.sum("mix_length").alias("mix_sum"))
     before = Window.partitionBy("mix_number").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets, _ = cut(sums.withColumn("mix_before", F.coalesce(F.sum("mix_sum").over(before), F.lit(0).cast("bigint"))))
     inside = Window.partitionBy("mix_number", "mix_bucket").orderBy("mix_key", text).rowsBetween(Window.unboundedPreceding, -1)
-    return keyed.withColumn("mix_inside", F.coalesce(F.sum(length).over(inside), F.lit(0).cast("bigint"))), buckets
+    return planned(packed(keyed, text)).withColumn("mix_inside", F.coalesce(F.sum("mix_length").over(inside), F.lit(0).cast("bigint"))), buckets
 
 
 NEW = ("mix_block", "mix_epoch", "mix_slot")
@@ -135,7 +160,7 @@ def _mixed(docs: DataFrame, weights: dict | None, block_chars: int, power: float
     if found is None:
         return own.limit(0).select("*", *(F.lit(None).cast("bigint").alias(c) for c in NEW)), names
     made, exact, n_slots = found
-    text, source = (own[f"_{names.index(c)}"] for c in ("text", "source"))
+    text, source = (f"_{names.index(c)}" for c in ("text", "source"))
     ordered, buckets = starts(own, made, text, source)
     slots = slots_table(docs.sparkSession, exact, n_slots)
     # For each bucket and each time that it comes, the slots of the blocks that it is in. A block without a slot goes into the last one.
@@ -157,7 +182,7 @@ def _mixed(docs: DataFrame, weights: dict | None, block_chars: int, power: float
         .withColumn("mix_slot", F.expr("get(mix_span.slots, cast(mix_block - mix_span.at_block as int))"))
     )
     order = ["mix_slot", f"_{names.index('doc_id')}", "mix_epoch"]
-    return placed.select(*own.columns, *NEW).repartitionByRange(*order).sortWithinPartitions(*order), names
+    return unpacked(placed.select(*own.columns, *NEW).repartitionByRange(*order).sortWithinPartitions(*order), text), names
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_CHARS, power: float = POWER) -> DataFrame:
@@ -172,8 +197,8 @@ def mix(docs: DataFrame, weights: dict | None = None, block_chars: int = BLOCK_C
     block and its longest text. What is left of blocks that the last slot cuts off stands in the last slot.
 
     Two aggregations, with a row a source (these come to the driver) and a row a bucket of about 4 Mi characters; the table
-    of slots; an exchange of the rows by bucket for the running totals, then one of the mix by ranges of slots. Tables by
-    source and bucket are written, so their size decides how they are joined.
+    of slots; an exchange of the rows by bucket for the running totals, then one of the mix by ranges of slots, through both
+    of which texts go compressed. Tables by source and bucket are written, so their size decides how they are joined.
 
     Null sources are a source of their own. A source with no or weight 0 in ``weights`` isn't part of the mix. A source without
     a character can have no share: its rows come once, in the first slot. A null text counts no characters, rows without

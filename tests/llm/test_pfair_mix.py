@@ -139,10 +139,10 @@ def test_running_totals_go_over_buckets(spark, monkeypatch):
     rows = [(i, "x" * (i % 37), "ab"[i % 2]) for i in range(600)] + [(1000 + i, "", "e") for i in range(200)]
     own = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     made, _, _ = P.plan(own, None, 500, 1.0)
-    ordered, buckets = P.starts(own, made, own["text"], own["source"])
+    ordered, buckets = P.starts(own, made, "text", "source")
     got = ordered.join(buckets.select("mix_number", "mix_bucket", "mix_before"), ["mix_number", "mix_bucket"]).collect()
     for s, n in (("a", 300), ("b", 300), ("e", 200)):
-        mine = sorted((r.mix_before + r.mix_inside, r.mix_before + r.mix_inside + len(r.text)) for r in got if r.source == s)
+        mine = sorted((r.mix_before + r.mix_inside, r.mix_before + r.mix_inside + r.mix_length) for r in got if r.source == s)
         assert len(mine) == n and mine[0][0] == 0 and all(a[1] == b[0] for a, b in zip(mine, mine[1:]))
     assert len({r.mix_bucket for r in got if r.source == "e"}) > 2
     mixed = P.mix(own, block_chars=500).collect()
