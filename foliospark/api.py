@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -579,53 +580,67 @@ def export_all_sheets(pk: DataFrame, folder: str, delimiter: str = ",", formatte
     ``folder`` is one that all tasks share, a path or a URI. A package's folder has the name of its file and a hash of its whole path, so
     packages of one name keep apart; ``flat``, for one package, writes into ``folder`` itself. A sheet's file is written by the task
     that reads it, row by row, and takes its name when it is done; a sheet that fails keeps the rows before. Gives a row a sheet: path,
-    index, name, visibility, csv_path, warnings, error; a package that can't be read has one without a sheet.
+    index, name, visibility, csv_path, warnings, error; a package that can't be read has one without a sheet. Nothing but that table,
+    which is written to the shared folder, comes of the tasks: no row goes through the driver.
     """
     own = parse_delimiter(delimiter)
     scanned = scan_rows(pk, all_sheets=True, include_hidden=include_hidden, formatted=formatted, mode="permissive")
     line = F.when(F.col("row_ord").isNotNull(), C.csv_line(F.col("cells"), F.col("date1904"), own, formatted))
-    lines = scanned.select("path", "sheet_index", "sheet_name", C.slug(F.col("sheet_name")).alias("slug"), line.alias("line"), F.to_json(F.struct("warnings", "error")).alias("status"))
+    lines = scanned.select("path", "sheet_index", "sheet_name", C.slug(F.col("sheet_name")).alias("slug"), line.alias("line"), F.to_json(F.struct("warnings", "error")).alias("status"), "visibility")
+    names = ["path", "index", "name", "visibility", "csv_path", "status"]
 
     def write(batches):
         import pandas as pd
 
         system, base = folders.file_system(folder)
-        target, at = None, None
+
+        def folder_of(path: str) -> str:
+            where = base if flat else f"{base}/{package_folder(path)}"
+            system.create_dir(where, recursive=True)
+            return where
+
+        def manifest(rows: list[tuple]) -> None:
+            """Of one package, whose rows follow each other."""
+            sheets = []
+            for path, index, name, visibility, csv_path, status in rows:
+                found = json.loads(status)
+                own = {"index": index, "name": name, "visibility": visibility, "csv_path": csv_path, "warnings": found.get("warnings") or [], "error": found.get("error")}
+                sheets += [{k: v for k, v in own.items() if v is not None}] if index is not None else []
+            out = folders.Replacing(system, f"{folder_of(rows[0][0])}/manifest.json")
+            out.write(json.dumps({"engine_version": __version__, "file": rows[0][0], "sheets": sheets}, ensure_ascii=False, indent=2).encode())
+            out.done()
+
+        target, at, held = None, None, []
         for pdf in batches:
-            out = []
+            done = []
             for r in pdf.itertuples(index=False):
+                if held and held[0][0] != r.path:
+                    manifest(held)
+                    done, held = done + held, []
                 if pd.isna(r.sheet_index):
-                    out.append((r.path, None, None, None, r.status))
+                    held.append((r.path, None, None, None, None, r.status))
                     continue
                 key = (r.path, int(r.sheet_index))
                 if key != at:
-                    where = base if flat else f"{base}/{package_folder(r.path)}"
-                    system.create_dir(where, recursive=True)
                     name, at = f"{key[1]:03d}-{r.slug}.csv", key
-                    target = folders.Replacing(system, f"{where}/{name}")
+                    target = folders.Replacing(system, f"{folder_of(r.path)}/{name}")
                 if r.line is not None:
                     target.write(f"{r.line}\n".encode())
                 else:
                     target.done()
-                    out.append((r.path, key[1], r.sheet_name, name, r.status))
+                    held.append((r.path, key[1], r.sheet_name, r.visibility, name, r.status))
                     target = at = None
-            yield pd.DataFrame(out, columns=["path", "index", "name", "csv_path", "status"])
-
-    found = lines.mapInPandas(write, "path string, index int, name string, csv_path string, status string").collect()
-    states = {(r.path, r["index"]): r.visibility for r in shred.sheets(pk, include_hidden, LIMITS, "dropmalformed").select("path", F.inline("sheets")).collect()}
-    rows = []
-    for r in sorted(found, key=lambda r: (r.path, r["index"] or 0)):
-        status = json.loads(r.status)
-        rows.append({"path": r.path, "index": r["index"], "name": r.name, "visibility": states.get((r.path, r["index"])), "csv_path": r.csv_path, "warnings": status.get("warnings") or [], "error": status.get("error")})
-    system, base = folders.file_system(folder)
-    for path in dict.fromkeys(r["path"] for r in rows):
-        sheets = [{k: v for k, v in r.items() if k != "path" and v is not None} for r in rows if r["path"] == path and r["index"] is not None]
-        where = base if flat else f"{base}/{package_folder(path)}"
-        system.create_dir(where, recursive=True)
-        out = folders.Replacing(system, f"{where}/manifest.json")
-        out.write(json.dumps({"engine_version": __version__, "file": path, "sheets": sheets}, ensure_ascii=False, indent=2).encode())
-        out.done()
-    return pk.sparkSession.createDataFrame(rows, f"path string, index int, name string, visibility string, csv_path string, warnings array<{E.WARNING_TYPE}>, error {E.ERROR_TYPE}")
+            yield pd.DataFrame(done, columns=names)
+        if held:
+            manifest(held)
+            yield pd.DataFrame(held, columns=names)
+
+    found = lines.mapInPandas(write, "path string, index int, name string, visibility string, csv_path string, status string")
+    state = F.from_json("status", f"struct<warnings: array<{E.WARNING_TYPE}>, error: {E.ERROR_TYPE}>")
+    found = found.select("path", "index", "name", "visibility", "csv_path", F.coalesce(state["warnings"], F.array().cast(f"array<{E.WARNING_TYPE}>")).alias("warnings"), state["error"].alias("error"))
+    where = f"{folders.shared_folder(pk.sparkSession)}/exported-{uuid.uuid4().hex}"
+    found.write.parquet(where)  # the exporting happens here, and once
+    return pk.sparkSession.read.schema(found.schema).parquet(where)
 
 
 def package_folder(path: str) -> str:

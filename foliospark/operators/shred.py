@@ -250,8 +250,8 @@ def strings(packages: DataFrame, limits: Limits, mode: str) -> DataFrame:
 
 _CELL = pa.struct([("column_index", pa.int32()), ("kind", _S), ("raw", _S), ("value", _S), ("bool_value", pa.bool_()), ("format", _S), ("has_formula", pa.bool_())])
 CELL_SQL = "struct<column_index: int, kind: string, raw: string, value: string, bool_value: boolean, format: string, has_formula: boolean>"
-ROWS_SQL = f"path string, sheet_index int, sheet_name string, row_ord bigint, row_index bigint, date1904 boolean, cells array<{CELL_SQL}>, {_END}"
-_ROWS = pa.schema([("path", _S), ("sheet_index", pa.int32()), ("sheet_name", _S), ("row_ord", pa.int64()), ("row_index", pa.int64()), ("date1904", pa.bool_()), ("cells", pa.list_(_CELL)), ("warnings", _WARNINGS), ("error", _ERROR)])
+ROWS_SQL = f"path string, sheet_index int, sheet_name string, row_ord bigint, row_index bigint, date1904 boolean, cells array<{CELL_SQL}>, {_END}, visibility string"
+_ROWS = pa.schema([("path", _S), ("sheet_index", pa.int32()), ("sheet_name", _S), ("row_ord", pa.int64()), ("row_index", pa.int64()), ("date1904", pa.bool_()), ("cells", pa.list_(_CELL)), ("warnings", _WARNINGS), ("error", _ERROR), ("visibility", _S)])
 
 
 def _row_batch(path: str, index: int, name: str, first: int, date1904: bool, rows: list[tuple[int, dict[int, xlsx.Cell]]]) -> pa.RecordBatch:
@@ -283,7 +283,7 @@ def _rows_of(path: str, index: int, name: str, first: int, date1904: bool, row_i
         [
             pa.repeat(pa.scalar(path, _S), n), pa.repeat(pa.scalar(index, pa.int32()), n), pa.repeat(pa.scalar(name, _S), n),
             pa.array(range(first, first + n), pa.int64()), row_index, pa.repeat(pa.scalar(date1904), n),
-            pa.ListArray.from_arrays(offsets, flat), pa.nulls(n, _WARNINGS), pa.nulls(n, _ERROR),
+            pa.ListArray.from_arrays(offsets, flat), pa.nulls(n, _WARNINGS), pa.nulls(n, _ERROR), pa.nulls(n, _S),
         ],
         schema=_ROWS,
     )
@@ -297,14 +297,15 @@ def _direct_batches(path: str, index: int, name: str, date1904: bool, own: sheet
             [
                 pa.repeat(pa.scalar(path, _S), n), pa.repeat(pa.scalar(index, pa.int32()), n), pa.repeat(pa.scalar(name, _S), n),
                 pa.array(np.arange(first, first + n)), pa.array(own.index[first : first + n]), pa.repeat(pa.scalar(date1904), n),
-                pa.nulls(n, pa.list_(_CELL)), pa.nulls(n, _WARNINGS), pa.nulls(n, _ERROR), flat.slice(first, n),
+                pa.nulls(n, pa.list_(_CELL)), pa.nulls(n, _WARNINGS), pa.nulls(n, _ERROR), pa.nulls(n, _S), flat.slice(first, n),
             ],
             schema=schema,
         )
 
 
-def _status(path: str, index: int | None, name: str | None, found: list[dict], error: dict | None) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{f.name: None for f in _ROWS} | {"path": path, "sheet_index": index, "sheet_name": name, "warnings": found, "error": error}], schema=_ROWS)
+def _status(path: str, index: int | None, name: str | None, found: list[dict], error: dict | None, visibility: str | None = None) -> pa.RecordBatch:
+    row = {"path": path, "sheet_index": index, "sheet_name": name, "warnings": found, "error": error, "visibility": visibility}
+    return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) if f.name in row else pa.nulls(1, f.type) for f in _ROWS], schema=_ROWS)
 
 
 #: Rows of a batch of columns, which are no more than a few arrays.
@@ -351,7 +352,7 @@ def rows(
                 break
         if held:
             yield _row_batch(path, index, own.name, first, opened.book.date1904, held)
-        yield _status(path, index, own.name, opened.warnings + reader.warnings, None)
+        yield _status(path, index, own.name, opened.warnings + reader.warnings, None, own.visibility)
 
     def run(batches):
         for path, content in _packages(batches):
@@ -373,7 +374,7 @@ def rows(
                     if mode == "failfast":
                         raise
                     if mode == "permissive":
-                        yield _status(path, index, name, opened.warnings, _error(e))
+                        yield _status(path, index, name, opened.warnings, _error(e), own.visibility)
 
     def whole(batches):
         for b in run(batches):
