@@ -176,7 +176,7 @@ def test_exports_of_packages_of_one_name_keep_apart(spark, tmp_path):
         assert sorted(p.name for p in where.iterdir()) == ["001-orders.csv", "manifest.json"]
 
 
-def test_batches_and_their_numbers(spark, tmp_path):
+def test_batches_and_their_numbers(spark, tmp_path, monkeypatch):
     books = [(f"{n}.xlsx", G.workbook([("S", "", G.sheet_xml([G.cell(i, 0, None, 100 * n + i) for i in range(1, 8)]))])) for n in range(3)]
     pk, schema = api.from_bytes(spark, books), [("v", 0, "int64", False)]
     got = list(api.record_batches(pk, schema, 3))
@@ -186,6 +186,8 @@ def test_batches_and_their_numbers(spark, tmp_path):
     assert api.visit_batches(pk, schema, lambda b: seen.append(b.num_rows) or len(seen) < 2, 3) == {"rows": 6, "batches": 2}
     assert api.write_parquet(pk.repartition(1), schema, str(tmp_path / "out"), 4) == {"rows": 21, "row_groups": 6}
     assert spark.read.parquet(str(tmp_path / "out")).count() == 21
+    monkeypatch.setattr(api, "FOOTERS", 0)
+    assert api._row_groups(spark, str(tmp_path / "out")) == 6
 
 
 def test_inference_reads_each_package_once(spark):
