@@ -60,9 +60,9 @@ def text_blocks(pk: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     return structured_text(pk, limits, "failfast").select("path", F.inline("blocks"))
 
 
-def docx_tables(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
-    """path, tables_json (the trees of all tables), n_tables, cells (the same, flat)."""
-    return shred.tables(pk, limits, mode)
+def docx_tables(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast", cells: bool = True) -> DataFrame:
+    """path, tables_json (the trees of all tables), n_tables, and with ``cells`` the same, flat."""
+    return shred.tables(pk, limits, mode, cells)
 
 
 def docx_table_cells(pk: DataFrame, limits: Limits = LIMITS) -> DataFrame:

@@ -21,6 +21,8 @@ from foliospark.sources.archive import Archive, Limits
 
 #: Worksheet rows of an Arrow batch.
 BATCH_ROWS = 2048
+#: Bytes of an Arrow batch, about.
+BATCH_BYTES = 8 << 20
 _S = pa.string()
 _WARNINGS = pa.list_(pa.struct([("category", _S), ("code", _S), ("path", _S), ("message", _S)]))
 _ERROR = pa.struct([("code", _S), ("message", _S)])
@@ -40,27 +42,67 @@ def _packages(batches) -> Iterator[tuple[str, bytes]]:
                 yield path[i].as_py(), content[i].as_py() or b""
 
 
+def _weight(value: object) -> int:
+    """About the bytes that a value takes, for how many rows go in a batch."""
+    if isinstance(value, str):
+        return 50 + len(value)
+    if isinstance(value, pa.Array):
+        return value.nbytes
+    if isinstance(value, dict | list):
+        return 100 + sum(map(_weight, value.values() if isinstance(value, dict) else value))
+    return 10
+
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    """A column of Python values, or of lists of which some are arrays."""
+    if not any(isinstance(v, pa.Array) for v in values):
+        return pa.array(values, kind)
+    sizes = [0 if v is None else len(v) for v in values]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.array([v is None for v in values] + [False]))
+    return pa.ListArray.from_arrays(offsets, pa.concat_arrays([pa.array([], kind.value_type), *(v if isinstance(v, pa.Array) else pa.array(v, kind.value_type) for v in values if v is not None)]), kind)
+
+
 def _each(batches, schema: pa.Schema, read: Callable[[str, Archive], dict], limits: Limits, mode: str) -> Iterator[pa.RecordBatch]:
-    """One row a package, a batch at a time. In the lenient modes no package ends the scan, whatever is in it."""
+    """One row a package, in batches of some MB. In the lenient modes no package ends the scan, whatever is in it."""
 
     def made(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist([{f.name: r.get(f.name) for f in schema} for r in rows], schema=schema)
-
-    for b in batches:
-        rows = []
-        for path, content in _packages([b]):
+        return pa.RecordBatch.from_arrays([_column([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+    def whole(rows: list[dict]) -> pa.RecordBatch | None:
+        """The batch; where it can't be made, which a row may be to blame for, without that or with its error."""
+        try:
+            return made(rows)
+        except Exception:
+            if mode == "failfast":
+                raise
+        kept = []
+        for row in rows:
             try:
-                row = {"path": path, **read(path, Archive(content, limits))}
-                if mode != "failfast":
-                    made([row])
-                rows.append(row)
+                made([row])
+                kept.append(row)
             except Exception as e:
-                if mode == "failfast":
-                    raise
                 if mode == "permissive":
-                    rows.append({"path": path, "error": _error(e)})
-        if rows:
-            yield made(rows)
+                    kept.append({"path": row["path"], "error": _error(e)})
+        return made(kept) if kept else None
+
+    rows, size = [], 0
+    for path, content in _packages(batches):
+        try:
+            row = {"path": path, **read(path, Archive(content, limits))}
+        except Exception as e:
+            if mode == "failfast":
+                raise
+            if mode == "dropmalformed":
+                continue
+            row = {"path": path, "error": _error(e)}
+        rows.append(row)
+        size += _weight(row)
+        if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+            if (b := whole(rows)) is not None:
+                yield b
+            rows, size = [], 0
+    if rows and (b := whole(rows)) is not None:
+        yield b
 
 
 def _scan(packages: DataFrame, arrow: list[tuple[str, pa.DataType]], sql: str, read, limits: Limits, mode: str) -> DataFrame:
@@ -122,18 +164,18 @@ _CELL_SQL = (
 
 
 def _flat(table: dict, base: dict) -> Iterator[dict]:
-    """The cells of a table and of those within it; nest holds row, cell and place of each table around."""
+    """The cells of a table and of those within it; nest holds row, cell and place of each table around, in an array that its cells share."""
 
-    def own_cells(table: dict, nest: list[int]) -> Iterator[dict | tuple]:
+    def own_cells(table: dict, nest: np.ndarray) -> Iterator[dict | tuple]:
         own = base | {"nest": nest, "table_complete": table["complete"], "grid_column_count": table.get("grid_column_count")}
         for row in table["rows"]:
             for cell in row["cells"]:
                 yield own | {k: row[k] for k in ("row_ordinal", "grid_before", "grid_after")} | {k: cell[k] for k in ("cell_ordinal", "grid_start", "grid_span", "vertical_merge")} | {"paragraphs": [b["text"] for b in cell["blocks"] if b["type"] == "paragraph"]}
                 for i, b in enumerate(cell["blocks"], 1):
                     if b["type"] == "table":
-                        yield b, [*nest, row["row_ordinal"], cell["cell_ordinal"], i]
+                        yield b, np.append(nest, np.array([row["row_ordinal"], cell["cell_ordinal"], i], np.int32))
 
-    open_ = [own_cells(table, [])]
+    open_ = [own_cells(table, np.empty(0, np.int32))]
     while open_:
         found = next(open_[-1], None)
         if found is None:
@@ -144,6 +186,16 @@ def _flat(table: dict, base: dict) -> Iterator[dict]:
             yield found
 
 
+def _cells(tables: list[dict]) -> pa.Array:
+    """The cells of tables as an array. The nests of deep tables are long, so they go from arrays to an array."""
+    parts = {p: i for i, p in enumerate(dict.fromkeys(t["part_path"] for t in tables), 1)}
+    cells = [c for t in tables for c in _flat(t, {"part_ord": parts[t["part_path"]], **{k: t[k] for k in ("part_type", "part_path", "table_ordinal")}})]
+    nests = [c["nest"] for c in cells]
+    offsets = pa.array(np.concatenate([[0], np.cumsum([n.size for n in nests])]), pa.int32())
+    nest = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(nests) if nests else [], pa.int32()))
+    return pa.StructArray.from_arrays([nest if name == "nest" else pa.array([c[name] for c in cells], kind) for name, kind in _CELL_FIELDS], fields=[pa.field(*f) for f in _CELL_FIELDS])
+
+
 def _json(value: object) -> str:
     """JSON of trees of any depth."""
     try:
@@ -167,18 +219,19 @@ def _json(value: object) -> str:
     return "".join(out)
 
 
-def tables(packages: DataFrame, limits: Limits, mode: str) -> DataFrame:
+def tables(packages: DataFrame, limits: Limits, mode: str, cells: bool = True) -> DataFrame:
+    """With ``cells`` the flat form too, which repeats the places of all tables around and so grows as the square of their depth."""
+
     def read(path: str, archive: Archive) -> dict:
         kind = _kind(path, archive)
         if kind != "docx":
             raise E.EngineError(E.ARGUMENT, f"invalid argument: table extraction takes DOCX, not {kind.upper()}")
         own, found = docx.tables(archive)
-        parts = {p: i for i, p in enumerate(dict.fromkeys(t["part_path"] for t in own), 1)}
-        cells = [c for t in own for c in _flat(t, {"part_ord": parts[t["part_path"]], **{k: t[k] for k in ("part_type", "part_path", "table_ordinal")}})]
-        return {"tables_json": _json(own), "n_tables": len(own), "cells": cells, "warnings": found}
+        flat = {"cells": _cells(own)} if cells else {}
+        return {"tables_json": _json(own), "n_tables": len(own), **flat, "warnings": found}
 
-    arrow = [("tables_json", _S), ("n_tables", pa.int32()), ("cells", pa.list_(pa.struct(_CELL_FIELDS)))]
-    return _scan(packages, arrow, f"tables_json string, n_tables int, cells {_CELL_SQL}", read, limits, mode)
+    arrow = [("tables_json", _S), ("n_tables", pa.int32())] + [("cells", pa.list_(pa.struct(_CELL_FIELDS)))] * cells
+    return _scan(packages, arrow, "tables_json string, n_tables int" + f", cells {_CELL_SQL}" * cells, read, limits, mode)
 
 
 _INFO = [(f, _S) for f in (*properties.CORE.values(), *properties.APP.values())] + [(f, pa.int64()) for f in properties.COUNTS.values()] + [("custom_properties", pa.map_(_S, _S)), ("has_macros", pa.bool_())]
