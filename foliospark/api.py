@@ -516,7 +516,7 @@ def structured_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfas
 
 def tables_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
     """path and all tables of a document as JSON, with the warnings."""
-    own = docx_tables(pk, limits, mode)
+    own = docx_tables(pk, limits, mode, cells=False)
     head = F.concat(F.lit('{"schema_version":1,"file":'), _json_text(F.col("path")), F.lit(',"document_type":"docx","tables":'))
     return own.select("path", F.concat(head, F.col("tables_json"), F.lit(',"warnings":'), F.to_json(F.coalesce("warnings", F.from_json(F.lit("[]"), f"array<{E.WARNING_TYPE}>"))), F.lit("}")).alias("value"))
 

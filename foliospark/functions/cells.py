@@ -54,7 +54,7 @@ def formatted(cell: Column, date1904: Column) -> Column:
         .when(kind == "currency", F.concat(F.lit("$"), fixed(value, decimals)))
         .when(kind == "decimal", fixed(value, decimals))
     )
-    return F.when((cell["kind"] == "number") & cell["format"].isNotNull() & value.isNotNull(), shown)
+    return F.when(cell["shown"].isNotNull(), cell["shown"]).when((cell["kind"] == "number") & cell["format"].isNotNull() & value.isNotNull(), shown)
 
 
 def cell_text(cell: Column, date1904: Column, with_format: bool) -> Column:

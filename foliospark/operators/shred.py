@@ -301,8 +301,9 @@ def strings(packages: DataFrame, limits: Limits, mode: str) -> DataFrame:
     return _scan(packages, [("strings", pa.list_(_S))], "strings array<string>", read, limits, mode)
 
 
-_CELL = pa.struct([("column_index", pa.int32()), ("kind", _S), ("raw", _S), ("value", _S), ("bool_value", pa.bool_()), ("format", _S), ("has_formula", pa.bool_())])
-CELL_SQL = "struct<column_index: int, kind: string, raw: string, value: string, bool_value: boolean, format: string, has_formula: boolean>"
+#: ``shown`` is the number as its format has it where that was found by column; else it is up to ``format``.
+_CELL = pa.struct([("column_index", pa.int32()), ("kind", _S), ("raw", _S), ("value", _S), ("bool_value", pa.bool_()), ("format", _S), ("shown", _S), ("has_formula", pa.bool_())])
+CELL_SQL = "struct<column_index: int, kind: string, raw: string, value: string, bool_value: boolean, format: string, shown: string, has_formula: boolean>"
 ROWS_SQL = f"path string, sheet_index int, sheet_name string, row_ord bigint, row_index bigint, date1904 boolean, cells array<{CELL_SQL}>, {_END}, visibility string"
 _ROWS = pa.schema([("path", _S), ("sheet_index", pa.int32()), ("sheet_name", _S), ("row_ord", pa.int64()), ("row_index", pa.int64()), ("date1904", pa.bool_()), ("cells", pa.list_(_CELL)), ("warnings", _WARNINGS), ("error", _ERROR), ("visibility", _S)])
 
@@ -316,14 +317,14 @@ def _row_batch(path: str, index: int, name: str, first: int, date1904: bool, row
         offsets.append(len(columns))
     kinds, raws, values, truths, formats, formulas = zip(*cells, strict=True) if cells else ((),) * 6
     flat = pa.StructArray.from_arrays(
-        [pa.array(columns, pa.int32()), pa.array(kinds, _S), pa.array(raws, _S), pa.array(values, _S), pa.array(truths, pa.bool_()), pa.array(formats, _S), pa.array(formulas, pa.bool_())],
+        [pa.array(columns, pa.int32()), pa.array(kinds, _S), pa.array(raws, _S), pa.array(values, _S), pa.array(truths, pa.bool_()), pa.array(formats, _S), pa.nulls(len(cells), _S), pa.array(formulas, pa.bool_())],
         fields=list(_CELL),
     )
     return _rows_of(path, index, name, first, date1904, pa.array([i for i, _ in rows], pa.int64()), pa.array(offsets, pa.int32()), flat)
 
 
 def _column_batches(path: str, index: int, name: str, date1904: bool, own: sheet_columns.Columns) -> Iterator[pa.RecordBatch]:
-    flat = pa.StructArray.from_arrays([pa.array(own.column.astype(np.int32)), own.kind, own.raw, own.value, own.boolean, own.format, own.formula], fields=list(_CELL))
+    flat = pa.StructArray.from_arrays([pa.array(own.column.astype(np.int32)), own.kind, own.raw, own.value, own.boolean, own.format, sheet_columns.shown(own, date1904), own.formula], fields=list(_CELL))
     for first in range(0, own.index.size, BATCH_ROWS):
         last = min(first + BATCH_ROWS, own.index.size)
         a, z = int(own.offsets[first]), int(own.offsets[last])
@@ -363,6 +364,23 @@ def _status(path: str, index: int | None, name: str | None, found: list[dict], e
 
 #: Rows of a batch of columns, which are no more than a few arrays.
 COLUMN_ROWS = 1 << 15
+#: Bytes of a worksheet from which array operations, a few hundred whatever its size, take less than a step for each cell.
+SMALL_SHEET = 1 << 13
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches as fewer, of about BATCH_ROWS rows or BATCH_BYTES."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        size += b.nbytes
+        if rows >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def rows(
@@ -386,7 +404,7 @@ def rows(
         reader, data = xlsx.sheet_reader(opened, own, worksheet_limits)
         held: list = []
         first = n = 0
-        rows = reader.columns(data) if max_rows is None else None
+        rows = reader.columns(data) if max_rows is None and len(data) >= SMALL_SHEET else None
         if rows is not None:
             found, rows = rows
             values = sheet_columns.values(found, direct) if with_direct else None
@@ -434,7 +452,7 @@ def rows(
             yield b if b.num_columns == len(out_schema) else pa.RecordBatch.from_arrays([*b.columns, pa.nulls(b.num_rows, out_schema[-1].type)], schema=out_schema)
 
     if not with_direct:
-        return packages.select("path", "content").mapInArrow(run, ROWS_SQL)
+        return packages.select("path", "content").mapInArrow(lambda batches: _joined(run(batches)), ROWS_SQL)
     kinds = T.StructType([T.StructField(n, T._parse_datatype_string(sheet_columns.DIRECT[kind][1])) for n, _, kind, _ in direct])
     schema = T.StructType([*T._parse_datatype_string(ROWS_SQL).fields, T.StructField("direct", kinds)])
-    return packages.select("path", "content").mapInArrow(whole, schema)
+    return packages.select("path", "content").mapInArrow(lambda batches: _joined(whole(batches)), schema)

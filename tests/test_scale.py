@@ -62,3 +62,28 @@ def test_batches_are_bounded_by_bytes(mode):
     assert len(made) >= 4 and max(b.nbytes for b in made) < 2 * shred.BATCH_BYTES
     assert [p for b in made for p in b["path"].to_pylist()] == [str(i) for i in range(40) if mode != "dropmalformed" or i != 7]
     assert [p for b in made for p, e in zip(b["path"].to_pylist(), b["error"].to_pylist(), strict=True) if e] == ["7"] * (mode == "permissive")
+
+
+def test_rows_of_small_packages_share_batches(spark):
+    """A few rows a package aren't a batch each."""
+    pk = api.from_bytes(spark, [(f"{i}.xlsx", G.workbook([("S", "", G.sheet_xml([G.cell(1, 0, None, i)]))])) for i in range(300)]).coalesce(1)
+    sizes = api.scan_rows(pk).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], names=["n"]) for b in shred._joined(batches)), "n bigint").collect()
+    assert [r.n for r in sizes] == [600] and len(list(shred._joined(iter([pa.record_batch([pa.array([1])], names=["n"])] * 300)))) == 1
+
+
+def test_formats_by_column_are_those_of_expressions(spark):
+    """A sheet of the usual form, whose formats go by column, against the same with a comment, which is read by rows."""
+    some = random.Random(5)
+    formats = [0, 14, 22, 45, 10, 9, 2, 1, 44, "#,##0.0", "0.000000", "0.0000000"]
+    values = ["0", "-0", "0.5", "1.5", "2.5", "-0.001", "-0.5", "0.125", "60", "60.99", "61", "59", "-3", "2958465.9999999", "2899999", "2900000", "3000000", "1e3", " 4", "7.", "12345678901", "1.005", "0.9999999", "1e400", "x"]
+    values += [f"{some.uniform(-1, 1) * 10 ** some.randint(0, 10):.{some.randint(0, 12)}f}" for _ in range(400)] + [repr(some.randint(0, 3_000_000) + some.randint(0, 86400) / 86400) for _ in range(200)]
+    values += [repr(some.randint(0, 10**6) / 8 + k / 2) for k in range(50)]
+    rows = ["".join(G.cell(i, j, None, v, j) for j in range(len(formats))) for i, v in enumerate(values, 1)]
+    usual = G.sheet_xml(rows)
+    odd = usual.replace("<sheetData>", "<sheetData><!-- -->")
+    for date1904 in (False, True):
+        pk = api.from_bytes(spark, [(n, G.workbook([("S", "", x)], formats=formats, date1904=date1904)) for n, x in (("a", usual), ("b", odd))])
+        found = {n: api.visit_rows(pk.where(f"path = '{n}'"), True).drop("path").orderBy("row_ord").collect() for n in "ab"}
+        assert found["a"] == found["b"]
+        raw = api.scan_rows(pk, formatted=True).where("row_ord is not null").selectExpr("path", "inline(cells)").where("shown is not null").groupBy("path").count().collect()
+        assert [r.path for r in raw] == ["a"] and raw[0]["count"] > 0.6 * len(values) * (len(formats) - 3 * date1904)
