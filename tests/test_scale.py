@@ -1,6 +1,8 @@
 """What keeps the queries' cost in proportion to their rows: tasks by rows, batches by bytes, formats by column."""
 
+import io
 import random
+import zipfile
 
 import pyarrow as pa
 import pytest
@@ -87,3 +89,71 @@ def test_formats_by_column_are_those_of_expressions(spark):
         assert found["a"] == found["b"]
         raw = api.scan_rows(pk, formatted=True).where("row_ord is not null").selectExpr("path", "inline(cells)").where("shown is not null").groupBy("path").count().collect()
         assert [r.path for r in raw] == ["a"] and raw[0]["count"] > 0.6 * len(values) * (len(formats) - 3 * date1904)
+
+
+def test_stored_packages_are_zipfiles_bytes():
+    parts = {"[Content_Types].xml": "<Types/>", "a/b.bin": b"\0\xff" * 9, "empty": ""}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for n, d in parts.items():
+            z.writestr(zipfile.ZipInfo(n, (1980, 1, 1, 0, 0, 0)), d)
+    assert G.archive(parts) == out.getvalue()
+    assert zipfile.ZipFile(io.BytesIO(G.archive({"\xe4": "x"}))).namelist() == ["\xe4"]
+
+
+@pytest.mark.parametrize("deflate", [False, True])
+def test_parts_are_read_without_file_objects_as_by_zipfile(monkeypatch, deflate):
+    """A sound part takes no file object; of a damaged one zipfile says what is wrong, as before."""
+    from foliospark.sources.archive import Archive
+
+    parts = {"a.xml": "x" * 5000, "b.xml": "some text, not long", "c.xml": ""}
+    data = G.archive(parts, deflate)
+    with monkeypatch.context() as m:
+        m.setattr(zipfile.ZipFile, "open", lambda *_: pytest.fail("opened"))
+        for whole in (data, b"before the archive" + data):
+            assert {n: Archive(whole).read(n).decode() for n in parts} == parts
+
+    def outcomes(data):
+        try:
+            archive = Archive(data)
+        except Exception as e:
+            return repr(e)
+        found = []
+        for n in parts:
+            try:
+                found.append(archive.read(n))
+            except Exception as e:
+                found.append(repr(e))
+        return found
+
+    some = random.Random(3)
+    for _ in range(600):
+        odd = bytearray(data)
+        for _ in range(some.randint(1, 3)):
+            odd[some.randrange(len(odd))] = some.randrange(256)
+        got = outcomes(bytes(odd))
+        with monkeypatch.context() as m:
+            m.setattr(Archive, "_plain", lambda *_: None)
+            assert got == outcomes(bytes(odd))
+
+
+def test_types_and_relationships_that_repeat_are_parsed_once(monkeypatch):
+    """Packages of one writer say the same of their parts; faults are said for each."""
+    from foliospark.operators import docx, properties
+    from foliospark.sources import package as P
+    from foliospark.sources import xml as X
+    from foliospark.sources.archive import Archive
+
+    seen = []
+    plain = X.tokens
+    monkeypatch.setattr(X, "tokens", lambda data, *rest: (seen.append(data), plain(data, *rest))[1])
+    tag = random.random()
+    for i in range(5):
+        a = Archive(G.document(G.paragraph(i), overrides=((f"x{tag}", "application/x"),)))
+        assert P.document_type(a) == "docx" and docx.text(a)[0] == f"{i}\n" and properties.audit(a)[1] == []
+    assert sum(b"<Types" in d for d in seen) == 2 and sum(b"<w:document" in d for d in seen) == 5
+    cut = Archive(G.edited(G.document(G.paragraph("x")), "[Content_Types].xml", lambda x: x.replace(b"</Types>", b"</Oops>")))
+    assert [properties.info(cut)[1][0]["code"] for _ in range(2)] == ["W001"] * 2
+    for _ in range(2):
+        with pytest.raises(Exception, match="E009"):
+            P.document_type(cut)
