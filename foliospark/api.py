@@ -527,35 +527,63 @@ def _metadata(own: DataFrame, *without: str) -> list[Column]:
 
 def info_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
     own = read_info(pk, limits, mode)
-    return own.select("path", F.to_json(F.struct(F.lit(__version__).alias("engine_version"), *_metadata(own))).alias("value"))
+    return own.select("path", info_json_of(own).alias("value"))
+
+
+def info_json_of(own: DataFrame) -> Column:
+    """What info_json gives, for each row of read_info: several forms can be had of one scan."""
+    return F.to_json(F.struct(F.lit(__version__).alias("engine_version"), *_metadata(own)))
+
+
+def info_lines_of(own: DataFrame) -> Column:
+    """The lines of info_text, for each row of read_info."""
+    lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{n}: "), c.cast("string"))) for n, c in ((c, F.col(c)) for c in own.columns if c not in ("path", "custom_properties", "warnings", "error"))]
+    return F.array_compact(F.array(F.concat(F.lit("file: "), "path"), *lines))
 
 
 def info_text(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
     """One line a known field of a package, but for custom properties."""
     own = read_info(pk, limits, mode)
-    lines = [F.when(c.isNotNull(), F.concat(F.lit(f"{n}: "), c.cast("string"))) for n, c in ((c, F.col(c)) for c in own.columns if c not in ("path", "custom_properties", "warnings", "error"))]
-    return own.select("path", F.explode(F.array_compact(F.array(F.concat(F.lit("file: "), "path"), *lines))).alias("line"))
+    return own.select("path", F.explode(info_lines_of(own)).alias("line"))
 
 
 def audit_json(pk: DataFrame, limits: Limits = LIMITS, mode: str = "failfast") -> DataFrame:
     """path and one JSON document a package: document type, metadata and signals."""
     own = read_audit(pk, limits, mode)
-    return own.select("path", F.to_json(F.struct(F.lit(__version__).alias("engine_version"), F.col("path").alias("file"), "document_type", F.struct(*_metadata(own)).alias("metadata"), "signals")).alias("value"))
+    return own.select("path", audit_json_of(own).alias("value"))
+
+
+def _audit(own: DataFrame) -> list[Column]:
+    return [F.col("path").alias("file"), F.col("document_type"), F.struct(*_metadata(own)).alias("metadata"), F.col("signals")]
+
+
+def audit_json_of(own: DataFrame) -> Column:
+    """What audit_json gives, for each row of read_audit: several forms can be had of one scan."""
+    return F.to_json(F.struct(F.lit(__version__).alias("engine_version"), *_audit(own)))
 
 
 def audit_jsonl(pk: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """path and one JSON line a package: its audit or its error, and its warnings if there are any."""
     own = read_audit(pk, limits, "permissive")
-    audit = F.struct(F.lit(__version__).alias("engine_version"), F.col("path").alias("file"), "document_type", F.struct(*_metadata(own)).alias("metadata"), "signals")
+    return own.select("path", audit_line_of(own).alias("value"))
+
+
+def audit_line_of(own: DataFrame) -> Column:
+    """The line of audit_jsonl, for each row of read_audit."""
+    audit = F.struct(F.lit(__version__).alias("engine_version"), *_audit(own))
     kind = F.coalesce("document_type", F.lit("unknown"))
-    return own.select("path", F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col("path").alias("file"), kind.alias("document_type"), F.when(F.col("error").isNull(), audit).alias("audit"), "error", _some())).alias("value"))
+    return F.to_json(F.struct(F.lit(1).alias("schema_version"), F.col("path").alias("file"), kind.alias("document_type"), F.when(F.col("error").isNull(), audit).alias("audit"), "error", _some()))
 
 
 def audit_text(pk: DataFrame, limits: Limits = LIMITS) -> DataFrame:
     """The number of a package's signals, then a line each."""
-    own = read_audit(pk, limits)
+    return read_audit(pk, limits).select("path", F.explode(audit_lines_of()).alias("line"))
+
+
+def audit_lines_of() -> Column:
+    """The lines of audit_text, for each row of read_audit."""
     lines = F.transform("signals", lambda s: F.concat(F.lit("- "), s["severity"], F.lit(" "), s["kind"], F.lit(" "), s["path"], F.lit(": "), s["message"]))
-    return own.select("path", F.explode(F.concat(F.array(F.concat(F.lit("signal_count: "), F.size("signals").cast("string"))), lines)).alias("line"))
+    return F.concat(F.array(F.concat(F.lit("signal_count: "), F.size("signals").cast("string"))), lines)
 
 
 def joined_text(pk: DataFrame, order: list[str] | None = None, limits: Limits = LIMITS) -> str:

@@ -157,3 +157,15 @@ def test_types_and_relationships_that_repeat_are_parsed_once(monkeypatch):
     for _ in range(2):
         with pytest.raises(Exception, match="E009"):
             P.document_type(cut)
+
+
+@pytest.mark.parametrize("name", ["info_forms", "audit_forms"])
+def test_all_forms_come_from_one_scan(spark, tmp_path, name):
+    """Packages were made and read once a form and joined by path, which multiplied those of repeated keys."""
+    spark.createDataFrame([(k, f"s{k}", 1) for k in (1, 2, 2, 6)], "s_suppkey bigint, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    own = Q.queries()[name](spark, str(tmp_path))
+    plan = own._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+    assert sorted(r.path.rpartition(".")[0].rpartition("-")[2] for r in own.collect()) == ["1", "2", "2", "6"]
+    if name == "info_forms":
+        assert {(r.word_count, r.n_lines) for r in own.collect()} == {(3, 7), (6, 8), (18, 8)}
