@@ -32,7 +32,20 @@ LIMITS = Limits()
 def packages(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
     """Files as packages, from anywhere that Spark reads."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(list(paths)).select("path", "length", "content")
+    return _fewer((reader.option("pathGlobFilter", glob) if glob else reader).load(list(paths)).select("path", "length", "content"))
+
+
+#: Spark's partitions that a task takes at most where files are small, and the bytes a task from which they aren't put together.
+PUT_TOGETHER, SMALL = 64, 8 << 20
+
+
+def _fewer(files: DataFrame) -> DataFrame:
+    """Files without a task for each few: Spark counts a file as 4 MB at least, which makes a task of 32 small ones, and starting it takes longer than they do."""
+    n, size = files.rdd.getNumPartitions(), int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if not n or size // n >= SMALL:
+        return files
+    fewer = max(4 * files.sparkSession.sparkContext.defaultParallelism, size // (4 * SMALL), n // PUT_TOGETHER)
+    return files.coalesce(fewer) if fewer < n else files
 
 
 def from_bytes(spark: SparkSession, items: Iterable[tuple[str, bytes]]) -> DataFrame:

@@ -159,6 +159,22 @@ def test_types_and_relationships_that_repeat_are_parsed_once(monkeypatch):
             P.document_type(cut)
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    """A task for every 32 files took longer to start than to run; large files stay by themselves."""
+    for i in range(2000):
+        (tmp_path / f"{i}.docx").write_bytes(b"%d" % i)
+    own = api.packages(spark, str(tmp_path), glob="*.docx")
+    assert own.rdd.getNumPartitions() == 16 and sorted(int(bytes(r.content)) for r in own.collect()) == list(range(2000))
+    large = tmp_path / "large"
+    large.mkdir()
+    for i in range(40):
+        (large / f"{i}.bin").write_bytes(bytes(10 << 20))
+    plain = spark.read.format("binaryFile").load(str(large)).rdd.getNumPartitions()
+    assert api.packages(spark, str(large)).rdd.getNumPartitions() == plain
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        api.packages(spark, str(tmp_path / "none"))
+
+
 @pytest.mark.parametrize("name", ["info_forms", "audit_forms"])
 def test_all_forms_come_from_one_scan(spark, tmp_path, name):
     """Packages were made and read once a form and joined by path, which multiplied those of repeated keys."""
