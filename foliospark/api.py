@@ -206,8 +206,8 @@ def rows_jsonl(pk: DataFrame, sheet: str | None = None, formatted: bool = False,
 
 
 def _json_text(c: Column) -> Column:
-    """A JSON string literal."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1)
+    """A JSON string literal; a plain text is itself between quotes."""
+    return F.when(c.rlike(r"^[ !#-\[\]-~]*\z"), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r"(?s)^\{\"v\":(.*)\}$", 1))
 
 
 #: Why a cell fell back to utf8.
@@ -392,7 +392,8 @@ def typed_table(pk: DataFrame, schema: list[tuple[str, int, str, bool]], on_mism
                 bad = ~absent
             value = F.when(bad, F.raise_error(said).cast(value_type(kind))).otherwise(value)
         value = value.cast(value_type(kind))
-        if "direct" in scanned.columns:
+        # Of a null column there is nothing: rows that went directly have no cell there.
+        if "direct" in scanned.columns and kind != "null":
             value = F.when(F.col("cells").isNull(), F.col(f"direct.c{i}")).otherwise(value)
         out.append(value.alias(name))
     return scanned.select(*out)

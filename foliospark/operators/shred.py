@@ -407,7 +407,7 @@ def rows(
         rows = reader.columns(data) if max_rows is None and len(data) >= SMALL_SHEET else None
         if rows is not None:
             found, rows = rows
-            values = sheet_columns.values(found, direct) if with_direct else None
+            values = sheet_columns.values(found, direct, opened.book.date1904) if with_direct else None
             if values is not None:
                 yield from _direct_batches(path, index, own.name, opened.book.date1904, found, values, out_schema)
             else:

@@ -185,3 +185,38 @@ def test_all_forms_come_from_one_scan(spark, tmp_path, name):
     assert sorted(r.path.rpartition(".")[0].rpartition("-")[2] for r in own.collect()) == ["1", "2", "2", "6"]
     if name == "info_forms":
         assert {(r.word_count, r.n_lines) for r in own.collect()} == {(3, 7), (6, 8), (18, 8)}
+
+
+def test_temporal_columns_go_directly_as_by_cells(spark):
+    """Dates, times, moments and columns of nothing are read by column; the same sheet with a comment goes by cells."""
+    some = random.Random(9)
+    days = [61, 62, 40000, *(some.randint(61, 90000) for _ in range(400))]
+    clocks = [0.0, 0.5, 86399 / 86400, *(some.randint(0, 86399) / 86400 for _ in range(400))]
+    rows = [
+        G.cell(i, 0, None, d, 1) + (G.cell(i, 1, None, repr(c), 2) if i % 3 else "") + G.cell(i, 2, None, repr(d + c), 3) + G.cell(i, 3, "b", i % 2)
+        for i, (d, c) in enumerate(zip(days, clocks, strict=True), 1)
+    ]
+    formats = [0, 14, 45, 22]
+    usual = G.sheet_xml(rows)
+    schema = [("day", 0, "date", False), ("clock", 1, "time", True), ("moment", 2, "datetime", False), ("odd", 3, "bool", False), ("none", 8, "null", True)]
+    for date1904 in (False, True):
+        pk = api.from_bytes(spark, [(n, G.workbook([("S", "", x)], formats=formats, date1904=date1904)) for n, x in (("a", usual), ("b", usual.replace("<sheetData>", "<sheetData><!-- -->")))])
+        table = api.typed_table(pk, schema)
+        assert table.schema["none"].dataType.simpleString() == "void"
+        found = {n: table.where(f"path = '{n}'").drop("path").orderBy("row_ord").collect() for n in "ab"}
+        assert len(found["a"]) == len(days) and found["a"] == found["b"]
+        direct = shred.rows(pk, None, None, False, False, True, None, api.LIMITS, None, "failfast", [(f"c{i}", *x[1:]) for i, x in enumerate(schema)])
+        ways = {(r.path, r.direct is not None) for r in direct.where("row_ord is not null").select("path", "direct").collect()}
+        assert ways == {("a", not date1904), ("b", False)}
+    # What doesn't fit is said as by cells.
+    for odd, kind in ((G.cell(1, 0, None, 5.5), "date"), (G.cell(1, 0, None, 1, 1), "null"), (G.cell(1, 0, None, 40000, 1), "time")):
+        pk = api.from_bytes(spark, [("a", G.workbook([("S", "", G.sheet_xml([odd] + [""] * 2000))], formats=formats))])
+        with pytest.raises(Exception, match=f"column 0, v: expected {kind}"):
+            api.typed_table(pk, [("v", 0, kind, True)]).collect()
+
+
+def test_json_texts_are_those_of_the_general_rule(spark):
+    texts = ["", "plain ~!#[]{}/", 'a"b', "a\\b", "a\n", "\n", "\t", "\x7f", "\u00e4\u2028\U0001f600", "\x00", None]
+    own = spark.createDataFrame([(t,) for t in texts], "t string")
+    general = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(r"""t""", r"""regexp_extract(to_json(struct(t AS v)), '(?s)^\\{"v":(.*)\\}$', 1) AS j""")
+    assert {(r.t, r.j) for r in own.select("t", api._json_text(own.t).alias("j")).collect()} == {(r.t, r.j) for r in general.collect()}
