@@ -220,3 +220,22 @@ def test_json_texts_are_those_of_the_general_rule(spark):
     own = spark.createDataFrame([(t,) for t in texts], "t string")
     general = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr(r"""t""", r"""regexp_extract(to_json(struct(t AS v)), '(?s)^\\{"v":(.*)\\}$', 1) AS j""")
     assert {(r.t, r.j) for r in own.select("t", api._json_text(own.t).alias("j")).collect()} == {(r.t, r.j) for r in general.collect()}
+
+
+@pytest.mark.parametrize("kind", ["int64", "float64", "bool", "utf8", "date", "time", "datetime", "null"])
+def test_a_column_that_isnt_there_doesnt_send_the_sheet_to_the_cells(kind):
+    """What holds for all of no values was taken for what holds for none."""
+    own, _ = sheet_columns_of(G.sheet_xml([G.cell(i, 0, None, i) for i in range(1, 600)]))
+    first, none = sheet_columns.values(own, [("a", 0, "int64", False), ("b", 9, kind, True)], False)
+    assert first.to_pylist() == list(range(1, 600)) and none.null_count == 599 and none.type == sheet_columns.DIRECT[kind][0]
+    if kind != "null":
+        assert sheet_columns.values(own, [("b", 9, kind, False)], False) is None
+
+
+def sheet_columns_of(xml):
+    from foliospark.operators import xlsx
+    from foliospark.sources.archive import Archive
+
+    opened = xlsx.open_workbook(Archive(G.workbook([("S", "", xml)])), True)
+    reader, data = xlsx.sheet_reader(opened, opened.book.sheets[0], None)
+    return reader.columns(data)
